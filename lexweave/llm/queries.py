@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexweave.llm import canonical, lookalike
+from lexweave.llm import canonical, lookalike, mixing, packing, prose, tokens
 from lexweave.sources.tables import table
 
 
@@ -42,6 +42,57 @@ def p4_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.with_normal_form(_texts(spark, sf_dir)).select("table_name", "field_name", "record_id", "normal")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_how, p3_unmatched, p4_found, p4_forms)}
+def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = tokens.staged_sizes(table(spark, sf_dir, "documents"), ["doc_id"])
+    return packing.packed_items(sizes, table(spark, sf_dir, "pack_sizes"))
+
+
+def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Content and fill of every container of every capacity."""
+    return packing.containers(_packed(spark, sf_dir))
+
+
+def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers, fill and the least possible number of containers per capacity."""
+    return packing.packing_report(packing.containers(_packed(spark, sf_dir)))
+
+
+def _mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = tokens.staged_sizes(table(spark, sf_dir, "documents"), ["doc_id", "source"])
+    return mixing.mix(sizes, table(spark, sf_dir, "source_targets"))
+
+
+def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text of the mix with its shard and place."""
+    return _mixed(spark, sf_dir)
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and reached share of each source."""
+    return mixing.reached_shares(_mixed(spark, sf_dir), table(spark, sf_dir, "source_targets"))
+
+
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prose.line_labels(table(spark, sf_dir, "documents"), table(spark, sf_dir, "common_words"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with fewer than half of their characters in complete sentences."""
+    return prose.not_prose(_labels(spark, sf_dir)).select("doc_id")
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares of characters in prose, lists, tables and junk per document."""
+    n = F.col("n_line_chars")
+    shares = [F.when(n > 0, F.round(F.col(f"{s}_chars") / n, 6)).otherwise(0.0).alias(f"{s}_share") for s in ("prose", "list", "table", "junk", "sentence")]
+    return _labels(spark, sf_dir).select("doc_id", "n_lines", *shares)
+
+
+def p9_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and ratios of every text."""
+    return prose.text_statistics(table(spark, sf_dir, "documents"), table(spark, sf_dir, "common_words"))
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_how, p3_unmatched, p4_found, p4_forms, p7_containers, p7_report, p8_mix, p8_shares, p9_found, p9_shares, p9_statistics)}
 
 SQL: dict[str, str] = {}
