@@ -133,4 +133,87 @@ def p6_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_profile, p1_drift, p2_found, p2_children, p2_tables, p5_found, p5_counts, p6_found, p6_paths, p6_descendants)}
 
-SQL: dict[str, str] = {}
+_LEI_DIGITS = "list_aggregate(list_transform(regexp_split_to_array({c}, ''), lambda x: CASE WHEN x BETWEEN 'A' AND 'Z' THEN CAST(ascii(x) - 55 AS VARCHAR) ELSE x END), 'string_agg', '')"
+
+
+def _sql_code(c: str) -> str:
+    lei = f"CASE WHEN regexp_full_match({c}, '[A-Z0-9]{{18}}[0-9]{{2}}') THEN CAST({_LEI_DIGITS.format(c=c)} AS HUGEINT) % 97 = 1 ELSE false END"
+    return f"CASE WHEN {c} IS NULL OR regexp_full_match({c}, '\\s*') THEN 'blank' WHEN {lei} OR regexp_full_match({c}, '[A-Z]{{2}}[A-Z0-9]{{2,8}}\\.[A-Z0-9]{{4,12}}') THEN 'valid' ELSE 'other' END"
+
+
+def _sql_class(kind: str, c: str) -> str:
+    blank = f"WHEN {c} IS NULL OR regexp_full_match({c}, '\\s*') THEN 'blank'"
+    if kind == "code":
+        return _sql_code(c)
+    if kind == "date":
+        return f"CASE {blank} WHEN regexp_full_match({c}, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') AND TRY_CAST({c} AS DATE) IS NOT NULL THEN 'valid' ELSE 'other' END"
+    if kind == "country":
+        return f"CASE {blank} WHEN regexp_full_match({c}, '[A-Z]{{2}}') THEN 'valid' ELSE 'other' END"
+    if kind == "amount":
+        return f"CASE {blank} WHEN regexp_full_match({c}, '[0-9]+(\\.[0-9]+)?') THEN 'digits:' || CAST(length(split_part({c}, '.', 1)) AS VARCHAR) ELSE 'other' END"
+    return f"CASE {blank} ELSE '=' || {c} END"
+
+
+def _sql_values() -> str:
+    kinds = {"s1.3": "code", "s1.6": "date", "s12.1": "country", "s7.2": "amount"} | {q: "category" for q in CATEGORY_QUESTIONS}
+    parts = [f"SELECT 'chain_rows' AS table_name, 'provider_code' AS field_name, load_no, provider_code AS value, {_sql_code('provider_code')} AS cls, true AS formed FROM chain_rows"]
+    for q, kind in kinds.items():
+        c = f"answers['{q}']"
+        parts.append(f"SELECT 'arrangements', 'answers.{q}', load_no, {c}, {_sql_class(kind, c)}, {str(kind != 'category').lower()} FROM arrangements")
+    parts.append("SELECT 'roi_columns', 'mandatory', load_no, CAST(mandatory AS VARCHAR), coalesce(CAST(mandatory AS VARCHAR), 'blank'), false FROM roi_columns")
+    return " UNION ALL ".join(parts)
+
+
+_SQL_DRIFT = f"""
+WITH v AS ({_sql_values()}),
+c AS (SELECT table_name, field_name, load_no, cls, count(*) AS n FROM v WHERE load_no IS NOT NULL GROUP BY ALL),
+t AS (SELECT table_name, field_name, load_no, sum(n) AS total FROM c GROUP BY ALL),
+l AS (SELECT *, lag(load_no) OVER w AS before_load, lag(total) OVER w AS before_total FROM t WINDOW w AS (PARTITION BY table_name, field_name ORDER BY load_no)),
+k AS (SELECT DISTINCT l.table_name, l.field_name, l.load_no, l.before_load, l.total, l.before_total, c.cls FROM l JOIN c ON c.table_name = l.table_name AND c.field_name = l.field_name AND c.load_no IN (l.load_no, l.before_load) WHERE l.before_load IS NOT NULL),
+x AS (SELECT k.*, coalesce(a.n, 0)::DOUBLE AS n1, coalesce(b.n, 0)::DOUBLE AS n0 FROM k
+  LEFT JOIN c a ON a.table_name = k.table_name AND a.field_name = k.field_name AND a.load_no = k.load_no AND a.cls = k.cls
+  LEFT JOIN c b ON b.table_name = k.table_name AND b.field_name = k.field_name AND b.load_no = k.before_load AND b.cls = k.cls),
+d AS (SELECT table_name, field_name, load_no, before_load, count(*) - 1 AS degrees,
+  sum(abs(n1 / total - n0 / before_total)) / 2 AS total_variation,
+  sum(pow(sqrt(before_total::DOUBLE / total) * n1 - sqrt(total::DOUBLE / before_total) * n0, 2) / (n1 + n0)) AS chi_square,
+  sum(((n1 + 0.5) / (total + 0.5) - (n0 + 0.5) / (before_total + 0.5)) * ln(((n1 + 0.5) / (total + 0.5)) / ((n0 + 0.5) / (before_total + 0.5)))) AS stability_index
+  FROM x GROUP BY ALL)
+"""
+
+_SQL_CITES = """
+WITH c AS (
+  SELECT DISTINCT 'content_nodes' AS table_name, node_id AS record_id, cited_at, unnest(list_distinct(list_transform(refs, lambda r: r.href))) AS href, node_id AS row_no FROM content_nodes
+  UNION ALL
+  SELECT 'recitals', recital_id, cited_at, unnest(list_distinct(flatten(list_transform(paragraphs, lambda p: coalesce(list_transform(p.refs, lambda r: r.href), [])))))  AS href, recital_id FROM recitals),
+k AS (SELECT table_name, record_id, cited_at, href, trim(href, E' \\t\\r\\n') AS h FROM c WHERE href IS NOT NULL AND cited_at IS NOT NULL),
+p AS (SELECT *, regexp_replace(lower(url_decode(regexp_extract(h, '^([^#?]*)', 1))), '/+$', '') || '#' || lower(url_decode(regexp_extract(h, '^[^#]*#(.*)$', 1))) AS parent_key FROM k),
+i AS (SELECT regexp_replace(lower(url_decode(trim(route_prefix) || '/' || target_kind || '/' || target_no)), '/+$', '') || '#' || lower(coalesce(anchor, '')) AS parent_key, indexed_at, deleted_at FROM anchor_index),
+o AS (SELECT table_name, record_id, href, strftime(cited_at, '%Y-%m') AS period, EXISTS (SELECT 1 FROM i WHERE i.parent_key = p.parent_key) AS known_once FROM p
+  WHERE NOT EXISTS (SELECT 1 FROM i WHERE i.parent_key = p.parent_key AND i.indexed_at <= p.cited_at AND (i.deleted_at IS NULL OR p.cited_at < i.deleted_at)))
+"""
+
+_SQL_TREE = """
+WITH RECURSIVE r AS (
+  SELECT contract_ref, upper(trim(provider_code, E' \\t\\r\\n')) AS node, coalesce(upper(trim(recipient_code, E' \\t\\r\\n')), '') AS parent, chain_rank, loaded_at, row_id FROM chain_rows),
+n AS (SELECT contract_ref, node, parent, chain_rank FROM r WHERE node <> '' AND contract_ref IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY contract_ref, node ORDER BY loaded_at DESC NULLS LAST, row_id DESC NULLS LAST) = 1),
+e AS (SELECT n.*, m.node IS NULL OR n.parent = n.node OR n.parent = '' AS is_root FROM n LEFT JOIN n m ON m.contract_ref = n.contract_ref AND m.node = n.parent),
+t AS (SELECT contract_ref, node, node AS root, 0 AS depth, [node] AS path FROM e WHERE is_root
+  UNION ALL SELECT e.contract_ref, e.node, t.root, t.depth + 1, list_append(t.path, e.node) FROM e JOIN t ON e.contract_ref = t.contract_ref AND e.parent = t.node WHERE NOT e.is_root)
+"""
+
+SQL: dict[str, str] = {
+    "p1_found": _SQL_DRIFT + "SELECT table_name, field_name, load_no FROM d WHERE total_variation > 0.2",
+    "p1_drift": _SQL_DRIFT + "SELECT table_name, field_name, load_no, before_load, degrees, round(total_variation, 6) AS total_variation, round(chi_square, 6) AS chi_square, round(stability_index, 6) AS stability_index FROM d",
+    "p1_profile": f"""
+WITH v AS ({_sql_values()}),
+c AS (SELECT table_name, field_name, load_no, value, cls, formed, count(*) AS n FROM v WHERE load_no IS NOT NULL GROUP BY ALL)
+SELECT table_name, field_name, load_no, CAST(sum(n) AS BIGINT) AS n_rows, CAST(coalesce(sum(n) FILTER (cls = 'blank'), 0) AS BIGINT) AS n_blank,
+  count(*) FILTER (cls <> 'blank') AS n_distinct, min(value) FILTER (cls <> 'blank') AS min_value, max(value) FILTER (cls <> 'blank') AS max_value,
+  CAST(coalesce(sum(n) FILTER (cls = 'other' AND formed), 0) AS BIGINT) AS n_violations, max(n) FILTER (cls <> 'blank') AS top_count
+FROM c GROUP BY table_name, field_name, load_no""",
+    "p5_found": _SQL_CITES + "SELECT table_name, record_id, href, period FROM o",
+    "p5_counts": _SQL_CITES + "SELECT table_name, period, count(*) AS n_orphans, count(*) FILTER (NOT known_once) AS n_never_known, count(*) FILTER (known_once) AS n_not_alive FROM o GROUP BY ALL",
+    "p6_found": _SQL_TREE + "SELECT e.contract_ref, e.node AS node_code, coalesce(t.root, '') AS root_code, coalesce(t.depth, -1) AS node_depth FROM e LEFT JOIN t ON t.contract_ref = e.contract_ref AND t.node = e.node",
+    "p6_descendants": _SQL_TREE + "SELECT contract_ref, a AS ancestor, node AS descendant, CAST(depth - k + 1 AS INTEGER) AS distance FROM (SELECT contract_ref, node, depth, unnest(path[:depth]) AS a, unnest(range(1, depth + 1)) AS k FROM t WHERE depth > 0)",
+}
