@@ -136,9 +136,8 @@ def may_change(text: Column, script: Column, is_marker: Column) -> Column:
     out = text.rlike(f"[{_restless()}]")
     for home in SCRIPTS:
         others = "".join(rf"\p{{Is{s}}}" for s in SCRIPTS if s != home)
-        alike = _char_class(list(look_alikes()[home]))
         mixed = rf"\p{{Is{home}}}\p{{M}}*[{others}]|[{others}]\p{{M}}*\p{{Is{home}}}"
-        out = out | (script == home) & F.when(is_marker, text.rlike(f"[{alike}]")).otherwise(text.rlike(mixed))
+        out = out | (script == home) & F.when(is_marker, text.rlike(f"[{others}]")).otherwise(text.rlike(mixed))
     return F.coalesce(out, F.lit(False))
 
 

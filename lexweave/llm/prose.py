@@ -138,8 +138,8 @@ def observe(text: str | None, common: frozenset[str], known: dict[str, int]) ->
             if kind is None:
                 kind = known[line] = line_kind(line, common)
             folded = line.lower()
-            if folded in met and kind != 0:
-                kind = 12
+            if folded in met and kind != _KIND["sentence"] and not line[0].islower():
+                kind = _KIND["repeat"]
             met.add(folded)
         else:
             kind = line_kind(line, common)

@@ -95,4 +95,15 @@ def p9_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p3_found, p3_how, p3_unmatched, p4_found, p4_forms, p7_containers, p7_report, p8_mix, p8_shares, p9_found, p9_shares, p9_statistics)}
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "p9_statistics": """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+p AS (SELECT doc_id, t, regexp_extract_all(lower(t), '\\p{L}+') AS w, list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(x, ' ')), lambda x: x <> '') AS l,
+  (SELECT list(DISTINCT lower(word)) FROM common_words WHERE word <> '') AS cw FROM d)
+SELECT doc_id, length(t) AS n_characters, len(w) AS n_words, len(l) AS n_lines,
+  CASE WHEN len(w) > 0 THEN round(length(array_to_string(w, '')) / len(w), 6) END AS mean_word_length,
+  CASE WHEN length(t) > 0 THEN round(length(regexp_replace(t, '[\\p{L}\\p{N}\\s]', '', 'g')) / length(t), 6) END AS symbol_ratio,
+  CASE WHEN len(l) > 0 THEN round(len(list_filter(l, lambda x: regexp_matches(x, '[.!?;:]$'))) / len(l), 6) END AS ended_line_share,
+  CASE WHEN len(w) > 0 THEN round(len(list_filter(w, lambda x: list_contains(cw, x))) / len(w), 6) END AS common_word_share
+FROM p""",
+}
