@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from lexweave.sources.tables import shared_dir
 
@@ -82,7 +83,8 @@ def run_available(stream: DataFrame, mode: str = "complete") -> DataFrame:
 
     query = stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{base}/log").trigger(availableNow=True).start()
     query.awaitTermination()
-    out = spark.read.schema(stream.schema.add("epoch", "int")).option("basePath", f"{base}/out").parquet(f"{base}/out")
+    schema = StructType([*stream.schema.fields, StructField("epoch", IntegerType())])
+    out = spark.read.schema(schema).option("basePath", f"{base}/out").parquet(f"{base}/out")
     if mode == "append":
         return out.drop("epoch")
     last = out.agg(F.max("epoch").alias("m"))
