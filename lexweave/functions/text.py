@@ -82,7 +82,7 @@ def tsv_line(*cells: Column) -> Column:
 
 def markdown_row(cells: Column) -> Column:
     """One row of a table from an array of texts: pipes escaped, line ends blanks."""
-    return F.concat(F.lit("| "), F.array_join(F.transform(cells, lambda x: F.regexp_replace(F.regexp_replace(F.coalesce(x, F.lit("")), r"\|", r"\\\\|"), r"\r?\n", " ")), " | "), F.lit(" |"))
+    return F.concat(F.lit("| "), F.array_join(F.transform(cells, lambda x: F.regexp_replace(F.regexp_replace(F.coalesce(x, F.lit("")), r"\|", r"\\|"), r"\r?\n", " ")), " | "), F.lit(" |"))
 
 
 def markdown_table(rows: Column) -> Column:

@@ -22,7 +22,7 @@ def without_blank(state: DataFrame, value: str) -> DataFrame:
 
 def alive(events: DataFrame, keys: list[str], order: list[str], deleted: Column) -> DataFrame:
     """Keys whose last event is no deletion."""
-    return events.groupBy(*keys).agg(F.max_by(deleted, F.struct(*order)).alias("gone")).filter("NOT gone").drop("gone")
+    return events.groupBy(*keys).agg(F.max_by(F.coalesce(deleted, F.lit(False)), F.struct(*order)).alias("gone")).filter("NOT gone").drop("gone")
 
 
 def toggled(events: DataFrame, keys: list[str], at: str) -> DataFrame:

@@ -136,17 +136,18 @@ def chunks(nodes: DataFrame) -> DataFrame:
     starts = (F.col("node_type").isin("heading", "table", "figure")) | ((F.col("node_type") == "item") & (F.col("depth") == 3))
     kind = F.when(F.col("node_type").isin("heading", "table", "item"), F.col("node_type")).otherwise("text")
     before = F.lag(F.struct(kind.alias("k"), F.col("depth").alias("d"))).over(order)
-    # a text after a table or after an item it does not belong to starts a run of its own
-    leaves = (F.col("depth") <= 2) & (before["d"] > 2) | (before["k"] == "table")
+    # a text after a heading, a table or an item it does not belong to starts a run of its own
+    leaves = (F.col("depth") <= 2) & (before["d"] > 2) | before["k"].isin("table", "heading")
     begin = F.coalesce(starts | leaves, F.lit(True)) | before.isNull()
     marked = nodes.withColumn("t", node_text()).withColumn("b", begin.cast("int")).withColumn("chunk_no", F.sum("b").over(so_far)).withColumn("h", F.last(F.when(F.col("node_type") == "heading", F.col("body")), ignorenulls=True).over(so_far))
-    first = F.min_by(F.struct(kind.alias("kind"), "anchor", F.col("h").alias("heading")), F.struct("path", "node_id"))
+    linkable = F.when(F.count("*").over(Window.partitionBy("doc_key", "anchor")) == 1, F.col("anchor"))
+    marked = marked.withColumn("linkable", linkable)
+    first = F.min_by(F.struct(kind.alias("kind"), "linkable", F.col("h").alias("heading")), F.struct("path", "node_id"))
     text = F.array_join(F.filter(F.transform(F.array_sort(F.collect_list(F.struct("path", "node_id", "t"))), lambda x: x["t"]), lambda t: t != ""), " ")
     grouped = marked.groupBy("doc_key", "chunk_no").agg(first.alias("f"), text.alias("chunk_text")).filter("f.kind <> 'heading' AND chunk_text <> ''")
-    shared = F.count("*").over(Window.partitionBy("doc_key", "f.anchor"))
     number = F.row_number().over(Window.partitionBy("doc_key").orderBy("chunk_no"))
     return grouped.select(
-        "doc_key", number.alias("chunk_no"), "f.heading", "f.kind", F.when(F.col("f.anchor").isNotNull() & (shared == 1), F.col("f.anchor")).alias("anchor"), "chunk_text"
+        "doc_key", number.alias("chunk_no"), "f.heading", "f.kind", F.col("f.linkable").alias("anchor"), "chunk_text"
     )
 
 

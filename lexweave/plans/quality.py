@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 def repeated(df: DataFrame, keys: list[str]) -> DataFrame:
     """Keys that stand more than once."""
-    return df.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1")
+    return df.groupBy(*keys).agg(F.count("*").alias("n_rows")).filter(F.col("n_rows") > 1)
 
 
 def misnumbered(df: DataFrame, group: list[str], number: str, first: int = 1) -> DataFrame:

@@ -384,7 +384,7 @@ UNION ALL SELECT 'orders_customer', count(*) FROM orders WHERE o_custkey NOT IN
 UNION ALL SELECT 'articles_index', count(*) FROM content_nodes WHERE instrument NOT IN (SELECT instrument FROM anchor_index)""",
     "keyset_equality": "(SELECT DISTINCT instrument, 'left' AS only_in FROM content_nodes WHERE instrument NOT IN (SELECT instrument FROM anchor_index)) UNION ALL (SELECT DISTINCT instrument, 'right' FROM anchor_index WHERE instrument NOT IN (SELECT instrument FROM content_nodes))",
     "contiguous_numbering": "SELECT instrument, article_no, CAST(k AS INTEGER) AS expected FROM (SELECT *, row_number() OVER (PARTITION BY instrument ORDER BY article_no) AS k FROM (SELECT DISTINCT instrument, article_no FROM articles)) WHERE article_no IS DISTINCT FROM k",
-    "repeated_keys": "SELECT arrangement_id, count(*) AS n FROM arrangements GROUP BY 1 HAVING count(*) > 1",
+    "repeated_keys": "SELECT arrangement_id, count(*) AS n_rows FROM arrangements GROUP BY 1 HAVING count(*) > 1",
     "domain_checks": """SELECT 'soort' AS check_name, count(*) AS n_violations FROM roi_columns WHERE soort NOT IN ('Alfanumeriek', 'Datum', 'Land', 'Monetair', 'Gesloten lijst') UNION ALL SELECT 'mandatory_raw', count(*) FROM roi_columns WHERE mandatory_raw NOT IN ('Verplicht', 'Facultatief')
 UNION ALL SELECT 'lang', count(*) FROM content_nodes WHERE lang NOT IN ('nl', 'de', 'fr', 'en') UNION ALL SELECT 'node_type', count(*) FROM content_nodes WHERE node_type NOT IN ('heading', 'paragraph', 'text', 'item', 'table', 'figure')""",
     "count_pins": "SELECT coalesce(c.k, p.k) AS target_kind, coalesce(n, 0) AS n, coalesce(pin, 0) AS pin FROM (SELECT target_kind AS k, count(*) AS n FROM anchor_index GROUP BY 1) c FULL JOIN (VALUES ('artikel', 100::BIGINT), ('bijlage', 100), ('hoofdstuk', 7)) p(k, pin) ON c.k = p.k WHERE coalesce(n, 0) <> coalesce(pin, 0)",
