@@ -11,7 +11,7 @@ from lexweave.operators import maps as M
 from lexweave.operators import tree as T
 from lexweave.plans import quality as Q
 from lexweave.sources import html as H
-from lexweave.sources.tables import table
+from lexweave.sources.tables import heavy_table, table
 
 
 def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,7 +83,7 @@ _PAGE = "concat('<html><head><script>var p = \"</p>\";</script></head><body><div
 
 def html_block_nodes(spark, sf_dir):
     """Documents put into pages and read back: one text node a line."""
-    pages = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("instrument"), F.lit("journal").alias("layout"), F.expr(_PAGE).alias("html"))
+    pages = heavy_table(spark, sf_dir, "documents", "doc_id", "title", "text").select(F.col("doc_id").cast("string").alias("instrument"), F.lit("journal").alias("layout"), F.expr(_PAGE).alias("html"))
     read = H.parse_pages(pages).select(F.col("instrument").cast("long").alias("doc_id"), F.explode("paragraphs.content").alias("content"))
     texts = F.from_json("content", "array<struct<type:string,text:string>>")
     return read.select("doc_id", F.posexplode(texts).alias("pos", "n")).select("doc_id", "pos", "n.type", "n.text")

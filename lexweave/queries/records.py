@@ -9,7 +9,7 @@ from lexweave.functions.codes import is_lei
 from lexweave.operators import register as G
 from lexweave.operators import rules as R
 from lexweave.operators import state as S
-from lexweave.sources.tables import table
+from lexweave.sources.tables import heavy_table, table
 from lexweave.streaming import keyed
 
 Q = R.Question
@@ -83,7 +83,7 @@ def register_schema(spark, sf_dir):
 
 
 def _fields(spark, sf_dir):
-    records = table(spark, sf_dir, "arrangements").select("arr_row", "answers", "manual")
+    records = heavy_table(spark, sf_dir, "arrangements", "arr_row", "answers", "manual")
     derived = {"B_21.01.0050": F.col("answers")["s1.1"], "B_22.01.0120": F.col("answers")["s1.3"]}
     return G.resolved(records, _schema(spark, sf_dir), table(spark, sf_dir, "closed_lists"), derived)
 

@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from lexweave.functions import text as X
 from lexweave.operators import search as S
-from lexweave.sources.tables import table
+from lexweave.sources.tables import heavy_table, table
 
 QUERY = "exitstrategie van het testverslag"
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.col("title").alias("heading"), "text", "source", "lang")
+    return heavy_table(spark, sf_dir, "documents", "doc_id", F.col("title").alias("heading"), "text", "source", "lang")
 
 
 def _index(spark: SparkSession, sf_dir: str) -> S.Index:
@@ -27,7 +27,7 @@ def text_clean(spark, sf_dir):
 
 def text_fold_tokens(spark, sf_dir):
     """Tokens of each document, folded."""
-    return table(spark, sf_dir, "documents").select("doc_id", F.explode(X.tokens(F.col("text"))).alias("token")).groupBy("doc_id", "token").agg(F.count("*").alias("n"))
+    return heavy_table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", F.explode(X.tokens(F.col("text"))).alias("token")).groupBy("doc_id", "token").agg(F.count("*").alias("n"))
 
 
 def slug(spark, sf_dir):

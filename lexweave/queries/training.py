@@ -9,11 +9,14 @@ from lexweave.operators import hierarchy as H
 from lexweave.operators import nested as N
 from lexweave.operators import orphans as O
 from lexweave.operators import profile as P
-from lexweave.sources.tables import table
+from lexweave.sources.tables import heavy_table, table
 
 CATEGORY_QUESTIONS = ("s2.1", "s3.1", "s4.2", "s5.1", "s9.1", "s11.1")
 
 
+_FIELD_SOURCES = {"chain_rows": ("provider_code",), "arrangements": ("answers",), "roi_columns": ("mandatory",)}
+
+
 def _profiled() -> list[tuple[str, list[P.Field]]]:
     def answer(q: str):
         return F.col("answers").getItem(q)
@@ -35,7 +38,7 @@ def _profiled() -> list[tuple[str, list[P.Field]]]:
 def _counts(spark: SparkSession, sf_dir: str, count) -> DataFrame:
     out = None
     for name, fields in _profiled():
-        part = count(table(spark, sf_dir, name), "load_no", fields).withColumn("field_name", F.concat(F.lit(f"{name}|"), F.col("field_name")))
+        part = count(heavy_table(spark, sf_dir, name, "load_no", *_FIELD_SOURCES[name]), "load_no", fields).withColumn("field_name", F.concat(F.lit(f"{name}|"), F.col("field_name")))
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -64,7 +67,7 @@ def p1_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _nested(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return N.nested_tables(table(spark, sf_dir, "arrangements"), table(spark, sf_dir, "articles"), table(spark, sf_dir, "questionnaires"))
+    return N.nested_tables(table(spark, sf_dir, "arrangements"), heavy_table(spark, sf_dir, "articles", "article_id", "paragraphs"), heavy_table(spark, sf_dir, "questionnaires", "quest_id", "raw_json"))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:

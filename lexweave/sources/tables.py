@@ -23,6 +23,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over at least as many tasks as there are cores.
+
+    Only a scan with fewer splits than cores – a small table – is redistributed;
+    a large one is left as it is, so nothing is shuffled at scale.  For work that
+    costs far more per row than a small table's shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def heavy_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """A table for work that is heavy per row, spread over the cores."""
+    df = table(spark, sf_dir, name)
+    return spread(df.select(*columns) if columns else df)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share; a local one is made only where none is set."""
     global _own_dir
