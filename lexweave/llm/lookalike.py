@@ -131,14 +131,30 @@ def _restless() -> str:
     return _char_class([c for c, to, cls in code_points() if cls or unicodedata.normalize("NFC", to) != c])
 
 
+@functools.cache
+def _calm(home: str) -> str:
+    """Class of common code points that cannot change in a text of a home script: a few ranges, so one look decides most texts."""
+    restless = {c for c, to, cls in code_points() if cls or unicodedata.normalize("NFC", to) != c}
+    foreign = tuple(s.upper() for s in SCRIPTS if s != home)
+    points = [chr(o) for block in (range(0x20, 0x7F), range(0xA1, 0x530), range(0x2012, 0x2128)) for o in block]
+    return _char_class(["\n", "\t", *(c for c in points if c not in restless and not unicodedata.name(c, "").startswith(foreign) and unicodedata.category(c) != "Cn")])
+
+
+#: asked first in a class, so that most characters never reach its many ranges; Latin letters are foreign in other scripts
+_BEYOND_ASCII, _BEYOND_SIGNS = r"[^\x{20}-\x{7E}]", r"[^\x{20}-\x{40}\x{5B}-\x{60}\x{7B}-\x{7E}]"
+
+
 def may_change(text: Column, script: Column, is_marker: Column) -> Column:
     """Whether a text holds anything that can change: exact, without a false no."""
-    out = text.rlike(f"[{_restless()}]")
+    stirred = F.lit(False)
+    for home in SCRIPTS:
+        stirred = F.when(script == home, text.rlike(f"[{_BEYOND_ASCII if home == 'Latin' else _BEYOND_SIGNS}&&[^{_calm(home)}]]")).otherwise(stirred)
+    out = text.rlike(f"[{_BEYOND_ASCII}&&[{_restless()}]]")
     for home in SCRIPTS:
         others = "".join(rf"\p{{Is{s}}}" for s in SCRIPTS if s != home)
         mixed = rf"\p{{Is{home}}}\p{{M}}*[{others}]|[{others}]\p{{M}}*\p{{Is{home}}}"
         out = out | (script == home) & F.when(is_marker, text.rlike(f"[{others}]")).otherwise(text.rlike(mixed))
-    return F.coalesce(out, F.lit(False))
+    return F.coalesce(stirred & out, F.lit(False))
 
 
 def _mapping(spark: SparkSession) -> DataFrame:
