@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexweave.llm import canonical, lookalike, mixing, packing, prose, tokens
-from lexweave.sources.tables import table
+from lexweave.sources.tables import heavy_table, table
 
 
 def _mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return canonical.canonical_items(canonical.manual_entries(table(spark, sf_dir, "arrangements")), table(spark, sf_dir, "closed_lists"))
+    return canonical.canonical_items(canonical.manual_entries(heavy_table(spark, sf_dir, "arrangements", "arr_row", "manual")), table(spark, sf_dir, "closed_lists"))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,7 +29,7 @@ def p3_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lookalike.register_texts(table(spark, sf_dir, "content_nodes"), table(spark, sf_dir, "roi_columns"))
+    return lookalike.register_texts(heavy_table(spark, sf_dir, "content_nodes", "node_id", "lang", "marker", "body"), heavy_table(spark, sf_dir, "roi_columns", "col_row", "lang", "label"))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,7 +43,7 @@ def p4_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sizes = tokens.staged_sizes(table(spark, sf_dir, "documents"), ["doc_id"])
+    sizes = tokens.staged_sizes(heavy_table(spark, sf_dir, "documents", "doc_id", "text"), ["doc_id"])
     return packing.packed_items(sizes, table(spark, sf_dir, "pack_sizes"))
 
 
@@ -58,7 +58,7 @@ def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sizes = tokens.staged_sizes(table(spark, sf_dir, "documents"), ["doc_id", "source"])
+    sizes = tokens.staged_sizes(heavy_table(spark, sf_dir, "documents", "doc_id", "source", "text"), ["doc_id", "source"])
     return mixing.mix(sizes, table(spark, sf_dir, "source_targets"))
 
 
@@ -73,7 +73,7 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prose.line_labels(table(spark, sf_dir, "documents"), table(spark, sf_dir, "common_words"))
+    return prose.line_labels(heavy_table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "common_words"))
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,7 +90,7 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p9_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and ratios of every text."""
-    return prose.text_statistics(table(spark, sf_dir, "documents"), table(spark, sf_dir, "common_words"))
+    return prose.text_statistics(heavy_table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "common_words"))
 
 
 QUERIES = {f.__name__: f for f in (p3_found, p3_how, p3_unmatched, p4_found, p4_forms, p7_containers, p7_report, p8_mix, p8_shares, p9_found, p9_shares, p9_statistics)}
