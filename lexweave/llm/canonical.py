@@ -18,6 +18,7 @@ rows; an empty list or table gives no rows; extra columns are never read.
 
 from __future__ import annotations
 
+import functools
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -45,23 +46,47 @@ def fold(text: str) -> str:
     return " ".join(re.sub(r"[\s_\-­‐-―]+", " ", text).split())
 
 
+@functools.lru_cache(maxsize=1 << 16)
+def _places(word: str) -> tuple[dict[str, int], frozenset[str]]:
+    """For each letter of a word the bits of its places, and its letters."""
+    places: dict[str, int] = {}
+    for i, c in enumerate(word):
+        places[c] = places.get(c, 0) | 1 << i
+    return places, frozenset(places)
+
+
 def edits(a: str, b: str, most: int) -> int:
-    """Insertions, deletions, substitutions and swaps of neighbours; most + 1 if there are more."""
-    if abs(len(a) - len(b)) > most:
+    """Insertions, deletions, substitutions and swaps of neighbours; most + 1 if there are more.
+
+    A column of the table of distances is two integers of bits (Hyyrö 2003), one
+    step a letter of ``a``.  Every letter that ``b`` lacks costs one edit at
+    least, which decides most pairs before the first step.
+    """
+    n = len(b)
+    if abs(len(a) - n) > most:
+        return most + 1
+    if not n:
+        return len(a)
+    places, letters = _places(b)
+    if len(set(a) - letters) > most:
         return most + 1
-    before: list[int] = []
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        now = [i]
-        for j, y in enumerate(b, 1):
-            d = row[j - 1] if x == y else 1 + min(row[j - 1], row[j], now[j - 1])
-            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                d = min(d, before[j - 2] + 1)
-            now.append(d)
-        if min(now) > most:
-            return most + 1
-        before, row = row, now
-    return min(row[-1], most + 1)
+    full, last = (1 << n) - 1, 1 << (n - 1)
+    up, down, diagonal, before, distance = full, 0, 0, 0, n
+    for c in a:
+        here = places.get(c, 0)
+        swap = ((~diagonal & here) << 1) & before
+        diagonal = ((((here & up) + up) ^ up) | here | down | swap) & full
+        rise = (down | ~(diagonal | up)) & full
+        fall = diagonal & up
+        if rise & last:
+            distance += 1
+        elif fall & last:
+            distance -= 1
+        rise = (rise << 1 | 1) & full
+        up = (fall << 1 | ~(diagonal | rise)) & full
+        down = diagonal & rise
+        before = here
+    return min(distance, most + 1)
 
 
 def _word_match(v: str, dotted: bool, c: str) -> tuple[float, float]:
