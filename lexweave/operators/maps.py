@@ -121,6 +121,12 @@ def previews(hrefs: DataFrame, paragraphs: DataFrame) -> DataFrame:
     return joined.groupBy("href").agg(best.alias("b")).select("href", title.alias("title"), clip(F.col("b.body")).alias("snippet"))
 
 
+def placed_dependencies(steps: DataFrame, needs: DataFrame, key: str = "step_id", group: str = "fase") -> DataFrame:
+    """Dependencies with where the needed step stands, and whether that is in another group."""
+    there = steps.select(F.col(key).alias("needs"), F.col(group).alias("needed_in"))
+    return needs.join(steps.select(key, group), key).join(there, "needs", "left").withColumn("elsewhere", ~F.col(group).eqNullSafe(F.col("needed_in")))
+
+
 def in_buckets(rows: DataFrame, column: str, order: list[str], rest: str = "overig") -> DataFrame:
     """Rows with a bucket and its place in a fixed order; what is not in the order comes last."""
     place = F.coalesce(*[F.when(F.col(column) == name, F.lit(i)) for i, name in enumerate(order)], F.lit(len(order)))

@@ -178,6 +178,30 @@ def chain_lines(records: DataFrame, key: str = "arr_row", contract: str = "s1.1"
     return rows.select(key, "pos", F.concat_ws(",", *[csv_cell(c) for c in cells]).alias("line"))
 
 
+def remapped(closed_lists: DataFrame, columns: DataFrame, renamed: dict[str, str]) -> DataFrame:
+    """Lists under an old code moved to the new one, where the old code is no column and the new one is."""
+    known = columns.select(F.col("code").alias("_code")).distinct()
+    news = F.lit(None).cast("string")
+    for old, new in renamed.items():
+        news = F.when(F.col("column_code") == old, new).otherwise(news)
+    rows = closed_lists.withColumn("_new", news)
+    rows = rows.join(known.withColumn("_old_known", F.lit(True)), F.col("column_code") == F.col("_code"), "left").drop("_code").join(known.withColumn("_new_known", F.lit(True)), F.col("_new") == F.col("_code"), "left").drop("_code")
+    return rows.withColumn("column_code", F.when(F.col("_old_known").isNull() & F.col("_new_known"), F.col("_new")).otherwise(F.col("column_code"))).select(closed_lists.columns)
+
+
+def request_documents(requests: DataFrame, records: DataFrame, key: str = "arr_row") -> DataFrame:
+    """One request a record as Markdown and as CSV, with the contract and the provider it concerns."""
+    def text(c: Column) -> Column:
+        return F.coalesce(c, F.lit(""))
+
+    items = requests.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("code", "label", "mandatory_raw", "instruction"))).alias("x"))
+    own = records.select(key, text(F.col("answers")["s1.1"]).alias("contract"), F.coalesce(F.nullif(text(F.col("answers")["s1.2"]), F.lit("")), "arr_name").alias("provider")).join(items, key)
+    table = F.array_join(F.transform("x", lambda c: F.concat(F.lit("| "), c["code"], F.lit(" | "), text(c["label"]), F.lit(" | "), text(c["mandatory_raw"]), F.lit(" |"))), "\n")
+    head = F.concat(F.lit("# Gegevensuitvraag – "), text(F.col("provider")), F.lit("\n\nContractreferentie: "), F.when(F.col("contract") == "", "—").otherwise(F.col("contract")), F.lit("\n\n| Veld | Omschrijving | Verplicht |\n| --- | --- | --- |\n"))
+    lines = F.transform("x", lambda c: F.concat_ws(",", csv_cell(c["code"]), csv_cell(c["label"]), csv_cell(c["instruction"]), csv_cell(c["mandatory_raw"]), F.lit("")))
+    return own.select(key, F.concat(head, table).alias("markdown"), F.array_join(F.concat(F.array(F.lit("Veld,Omschrijving,Instructie,Verplicht,Waarde")), lines), "\r\n").alias("csv"))
+
+
 def csv_file(lines: DataFrame, order: list[str]) -> DataFrame:
     """One file's text: the lines joined by carriage return and line feed, none at the end."""
     return lines.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, "line"))), lambda x: x["line"]), "\r\n").alias("csv"))

@@ -1,10 +1,11 @@
 """Ranked full-text retrieval over DataFrames.
 
-The index is three tables – postings, lengths and the vocabulary – that a large
-corpus writes once, partitioned by term.  A query is expanded against the
-vocabulary (exact, synonym, prefix, edit distance), so the postings are met by
-an equi-join on terms only; scores are BM25 with a lower bound per match, ranked
-by the number of query terms covered first.
+The index is four tables – postings, lengths, frequencies and the vocabulary –
+that a large corpus writes once, sorted by term.  A query is expanded against
+the vocabulary (exact, synonym, prefix, edit distance); the few terms it reaches
+bring their frequencies along, so the postings are met once, by an equi-join on
+terms, and grouped once, by document.  Scores are BM25 with a lower bound per
+match, ranked by the number of query terms covered first.
 """
 
 from __future__ import annotations
@@ -55,21 +56,23 @@ PRECISION = Options(boosts={"heading": 2.0, "text": 1.0}, prefix_from=5, fuzzy_f
 
 @dataclass(frozen=True)
 class Index:
-    """``postings(term, field, doc_id, tf)``, ``lengths(doc_id, field, size)``, ``vocabulary(term, df)``."""
+    """``postings(term, field, doc_id, size, tf)`` with the size of the field, ``lengths(doc_id, field, size)``,
+    ``frequencies(term, field, field_df)``, ``vocabulary(term, df)``."""
 
     postings: DataFrame
     lengths: DataFrame
+    frequencies: DataFrame
     vocabulary: DataFrame
 
     def save(self, path: str) -> None:
         """Written once; postings sorted by term, so a query reads the row groups of its terms."""
-        self.postings.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/postings")
         self.lengths.write.parquet(f"{path}/lengths")
-        self.vocabulary.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/vocabulary")
+        for name in ("postings", "frequencies", "vocabulary"):
+            getattr(self, name).repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/{name}")
 
     @staticmethod
     def load(spark, path: str) -> Index:
-        return Index(*(spark.read.parquet(f"{path}/{t}") for t in ("postings", "lengths", "vocabulary")))
+        return Index(*(spark.read.parquet(f"{path}/{t}") for t in ("postings", "lengths", "frequencies", "vocabulary")))
 
 
 def build_index(docs: DataFrame, fields: tuple[str, ...] = ("heading", "text")) -> Index:
@@ -77,10 +80,12 @@ def build_index(docs: DataFrame, fields: tuple[str, ...] = ("heading", "text"))
     words = docs.select("doc_id", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.coalesce(F.col(f), F.lit("")).alias("body")) for f in fields])).alias("x")).select(
         "doc_id", "x.field", F.filter(tokens(F.col("x.body")), is_searchable).alias("terms")
     )
-    lengths = words.select("doc_id", "field", F.size("terms").cast("long").alias("size"))
-    postings = words.select("doc_id", "field", F.explode("terms").alias("term")).groupBy("term", "field", "doc_id").agg(F.count("*").alias("tf"))
+    words = words.withColumn("size", F.size("terms").cast("long"))
+    lengths = words.select("doc_id", "field", "size")
+    postings = words.select("doc_id", "field", "size", F.explode("terms").alias("term")).groupBy("term", "field", "doc_id", "size").agg(F.count("*").alias("tf"))
+    frequencies = postings.groupBy("term", "field").agg(F.count("*").alias("field_df"))
     vocabulary = postings.groupBy("term").agg(F.count_distinct("doc_id").alias("df"))
-    return Index(postings, lengths, vocabulary)
+    return Index(postings, lengths, frequencies, vocabulary)
 
 
 def query_terms(query: str) -> list[str]:
@@ -129,9 +134,8 @@ def scored(index: Index, query: str, options: Options = TYPEAHEAD) -> DataFrame:
     boost = F.lit(None).cast("double")
     for name, b in options.boosts.items():
         boost = F.when(F.col("field") == name, b).otherwise(boost)
-    hits = index.postings.filter(F.col("field").isin(list(options.boosts))).join(expanded, "term")
-    df = hits.groupBy("term", "field").agg(F.count_distinct("doc_id").alias("field_df"))
-    rated = hits.join(df, ["term", "field"]).join(index.lengths, ["doc_id", "field"]).join(F.broadcast(per_field), "field")
+    wanted = expanded.join(index.frequencies.filter(F.col("field").isin(list(options.boosts))), "term")
+    rated = index.postings.join(wanted, ["term", "field"]).join(F.broadcast(per_field), "field")
     idf = F.log(1 + (F.col("n_docs") - F.col("field_df") + 0.5) / (F.col("field_df") + 0.5))
     norm = options.k1 * (1 - options.b + options.b * F.col("size") / F.col("mean_size"))
     part = boost * F.col("weight") * idf * (options.delta + F.col("tf") * (options.k1 + 1) / (F.col("tf") + norm))

@@ -15,6 +15,12 @@ def latest(events: DataFrame, keys: list[str], value: str, order: list[str]) ->
     return events.groupBy(*keys).agg(F.max_by(value, F.struct(*order)).alias(value), F.count("*").alias("n_events"))
 
 
+def renamed(records: DataFrame, answers: DataFrame, key: str, name: str, question: str) -> DataFrame:
+    """Records whose name follows the last answer to one question, where that is not blank."""
+    given = answers.filter(F.col("question_id") == question).select(key, F.trim("value").alias("_name"))
+    return records.join(given, key, "left").withColumn(name, F.when(F.coalesce("_name", F.lit("")) != "", F.col("_name")).otherwise(F.col(name))).drop("_name")
+
+
 def without_blank(state: DataFrame, value: str) -> DataFrame:
     """Keys whose last value is blank are cleared."""
     return state.filter(F.trim(F.coalesce(F.col(value).cast("string"), F.lit(""))) != "")

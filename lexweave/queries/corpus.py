@@ -342,7 +342,7 @@ SELECT row_id, href, count(*) AS n FROM h GROUP BY ALL"""
 
 SQL = {
     "tree_flatten": f"SELECT doc_key, count(*) AS n_nodes, coalesce(string_agg(t, ' ' ORDER BY path, t) FILTER (t <> ''), '') AS flat_text FROM (SELECT doc_key, path, {_NODE_TEXT} AS t FROM content_nodes) GROUP BY doc_key",
-    "tree_tables": "SELECT doc_key, array_to_string(path, '.') AS place, len(cells) AS n_rows, len(cells[1]) AS n_columns, array_to_string(list_concat(['| ' || array_to_string(cells[1], ' | ') || ' |', '|' || repeat(' --- |', len(cells[1]))], list_transform(cells[2:], lambda r: '| ' || array_to_string(r, ' | ') || ' |')), chr(10)) AS markdown FROM content_nodes WHERE node_type = 'table' AND cells IS NOT NULL",
+    "tree_tables": "SELECT doc_key, array_to_string(path, '.') AS place, CAST(len(cells) AS INTEGER) AS n_rows, CAST(len(cells[1]) AS INTEGER) AS n_columns, array_to_string(list_concat(['| ' || array_to_string(cells[1], ' | ') || ' |', '|' || repeat(' --- |', len(cells[1]))], list_transform(cells[2:], lambda r: '| ' || array_to_string(r, ' | ') || ' |')), chr(10)) AS markdown FROM content_nodes WHERE node_type = 'table' AND cells IS NOT NULL",
     "anchor_counts": "SELECT doc_key, anchor, count(*) AS n FROM content_nodes WHERE anchor IS NOT NULL GROUP BY ALL",
     "unique_anchor": "SELECT doc_key, anchor FROM content_nodes WHERE anchor IS NOT NULL GROUP BY ALL HAVING count(*) = 1",
     "duplicate_ordinal": "SELECT doc_key, node_id, anchor, CASE WHEN n = 1 THEN anchor WHEN n = 2 THEN anchor || '-bis' ELSE anchor || '-bis-' || n END AS unique_anchor FROM (SELECT *, row_number() OVER (PARTITION BY doc_key, anchor ORDER BY node_id) AS n FROM content_nodes WHERE anchor IS NOT NULL)",

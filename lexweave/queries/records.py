@@ -108,6 +108,11 @@ def supplier_request(spark, sf_dir):
     return G.supplier_requests(_fields(spark, sf_dir)).groupBy("code", "label", "mandatory_raw").agg(F.count("*").alias("n_arrangements"))
 
 
+def request_documents(spark, sf_dir):
+    """Requests to suppliers as Markdown and CSV."""
+    return G.request_documents(G.supplier_requests(_fields(spark, sf_dir)), table(spark, sf_dir, "arrangements").select("arr_row", "arr_name", "answers"))
+
+
 def template_export(spark, sf_dir):
     """One template as CSV lines."""
     return G.template_lines(_fields(spark, sf_dir), "B_21.01")
@@ -247,7 +252,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         rule_visibility, rule_obligations, rule_obligation_groups, rule_progress, rule_first_incomplete, rule_labels, rule_split, timeline, register_schema, field_priority_resolve, field_validate, completeness,
-        supplier_request, template_export, chain_explode_rank, csv_document, closed_list_prefix, lei_mod97, state_export, versioned_state, latest_per_key, latest_without_blank, alive_keys, toggle_parity, bulk_reset, lru8_recent,
+        supplier_request, request_documents, template_export, chain_explode_rank, csv_document, closed_list_prefix, lei_mod97, state_export, versioned_state, latest_per_key, latest_without_blank, alive_keys, toggle_parity, bulk_reset, lru8_recent,
         lru8_with_closes, merge_import, stream_latest_per_key, stream_toggle_parity, stream_bounded_lists, extra_rollup, extra_cube, extra_full_outer, extra_intersect, extra_window,
     )
 }

@@ -64,7 +64,7 @@ def tsv_encode(spark, sf_dir):
 
 def search_postings(spark, sf_dir):
     """The inverted index."""
-    return _index(spark, sf_dir).postings
+    return _index(spark, sf_dir).postings.drop("size")
 
 
 def search_vocabulary(spark, sf_dir):

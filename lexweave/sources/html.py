@@ -374,6 +374,19 @@ def parse_pages(pages: DataFrame) -> DataFrame:
     return pages.select("instrument", "layout", "html").filter("html IS NOT NULL").mapInPandas(run, PROVISION_SCHEMA)
 
 
+def read_manifest(spark, manifest: list[tuple[str, str, str]]) -> DataFrame:
+    """Pages of a manifest of ``(instrument, path, layout)``, one read for each layout."""
+    from pyspark.sql import functions as F
+
+    names = F.create_map(*[F.lit(x) for act, path, _layout in manifest for x in (path.rsplit("/", 1)[-1], act)])
+    out = None
+    for layout in sorted({m[2] for m in manifest}):
+        files = spark.read.text([m[1] for m in manifest if m[2] == layout], wholetext=True).withColumn("file", F.substring_index(F.input_file_name(), "/", -1))
+        part = files.select(names[F.col("file")].alias("instrument"), F.lit(layout).alias("layout"), F.col("value").alias("html"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def read_pages(spark, path: str, layout: str) -> DataFrame:
     """``instrument, layout, html`` of the files under a path; the instrument is the file's name."""
     from pyspark.sql import functions as F

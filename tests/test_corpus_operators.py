@@ -182,3 +182,14 @@ def test_constraints_return_the_broken_rows(spark):
     assert rows(Q.without_text(texts, "k", "t", {"1": "register", "2": "x"}), "k") == [("2",)]
     assert rows(Q.outside(df, "g", ["a", "b"]), "g") == [("c",)] and rows(Q.report({"x": df, "y": df.limit(0)})) == [("x", 6), ("y", 0)]
     assert rows(Q.changed_between_runs(df, df)) == [] and rows(Q.unused(places, deps, "k")) == []
+
+
+def test_manifest_and_dependencies(spark, tmp_path):
+    (tmp_path / "a.html").write_text(CONSOLIDATED)
+    (tmp_path / "b.html").write_text(JOURNAL)
+    pages = H.read_manifest(spark, [("main", f"{tmp_path}/a.html", "consolidated"), ("sub", f"{tmp_path}/b.html", "journal")])
+    assert rows(H.parse_pages(pages), "instrument", "kind") == [("main", "artikel"), ("main", "bijlage"), ("sub", "artikel"), ("sub", "bijlage"), ("sub", "overweging")]
+    assert rows(H.read_pages(spark, f"{tmp_path}/b.html", "journal"), "instrument", "layout") == [("b", "journal")]
+    steps = spark.createDataFrame([("s1", "f1"), ("s2", "f2")], "step_id string, fase string")
+    needs = spark.createDataFrame([("s2", "s1"), ("s1", "s9")], "step_id string, needs string")
+    assert rows(M.placed_dependencies(steps, needs), "step_id", "needed_in", "elsewhere") == [("s1", None, True), ("s2", "f1", True)]

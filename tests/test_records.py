@@ -235,3 +235,15 @@ def test_corpus_sinks(spark, corpus_tables, tmp_path):
     assert spark.read.json(str(tmp_path / "json")).count() == corpus_tables.documents.count()
     more = corpus.appended(corpus_tables.documents, corpus_tables.documents.limit(1), str(tmp_path / "more"))
     assert more.count() == corpus_tables.documents.count() + 1
+
+
+def test_requests_remaps_and_names(spark):
+    requests = spark.createDataFrame([(1, "B", "Land", "", "Verplicht"), (1, "A", "Naam; vol", None, None)], "arr_row long, code string, label string, instruction string, mandatory_raw string")
+    records = spark.createDataFrame([(1, "Eigen", {"s1.1": "C-1", "s1.2": "  "}), (2, "Ander", None)], "arr_row long, arr_name string, answers map<string,string>")
+    doc = G.request_documents(requests, records).first()
+    assert doc["markdown"].endswith("| A | Naam; vol |  |\n| B | Land | Verplicht |") and doc["csv"] == 'Veld,Omschrijving,Instructie,Verplicht,Waarde\r\nA,"Naam; vol",,,\r\nB,Land,,Verplicht,'
+    lists = spark.createDataFrame([("OLD", 1, "x"), ("KEPT", 1, "y"), ("GONE", 1, "z")], "column_code string, item_no int, official_text string")
+    columns = spark.createDataFrame([("NEW",), ("KEPT",)], "code string")
+    assert rows(G.remapped(lists, columns, {"OLD": "NEW", "KEPT": "NEW", "GONE": "NOWHERE"}), "column_code") == [("GONE",), ("KEPT",), ("NEW",)]
+    answers = spark.createDataFrame([(1, "s1.2", " Nieuw "), (2, "s1.2", " "), (1, "s1.3", "x")], "arr_row long, question_id string, value string")
+    assert rows(K.renamed(records, answers, "arr_row", "arr_name", "s1.2"), "arr_row", "arr_name") == [(1, "Nieuw"), (2, "Ander")]
