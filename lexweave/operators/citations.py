@@ -195,7 +195,8 @@ def find_citations(texts: DataFrame, acts: list[Act] | None = None) -> DataFrame
                     readers[act, prefix] = CitationReader([*registry, Act(act or "", "", prefix or "")])
                 for i, (start, end, href) in enumerate(readers[act, prefix].find(body, act or "", kind or "", ref or "")):
                     rows.append((row_id, i, start, end, href))
-            yield pd.DataFrame(rows, columns=["row_id", "ord", "start_pos", "end_pos", "href"])
+            if rows:
+                yield pd.DataFrame(rows, columns=["row_id", "ord", "start_pos", "end_pos", "href"])
 
     wanted = texts.select("row_id", "body", "act", "route_prefix", "self_kind", "self_ref").filter("body IS NOT NULL")
     # texts without a keyword never reach Python

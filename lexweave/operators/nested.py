@@ -85,7 +85,8 @@ def labelled(df: DataFrame, record_id: Column, prefix: Column, text: Column, wal
                     ids.append(rid)
                     labels.append(label)
                     bodies.append(json.dumps(node, ensure_ascii=False))
-            yield pd.DataFrame({"record_id": pd.Series(ids, dtype="int64"), "label": labels, "body": bodies})
+            if ids:
+                yield pd.DataFrame({"record_id": pd.Series(ids, dtype="int64"), "label": labels, "body": bodies})
 
     return df.select(record_id.alias("record_id"), prefix.alias("prefix"), text.alias("raw")).filter("raw IS NOT NULL AND record_id IS NOT NULL").mapInPandas(run, LABEL_SCHEMA)
 

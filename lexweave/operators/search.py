@@ -110,15 +110,15 @@ def expand(vocabulary: DataFrame, query: str, options: Options = TYPEAHEAD) -> D
     matches: list[Column] = []
     for wanted, group in term_groups(query, options).items():
         n = len(wanted)
-        weight = F.when(term == wanted, F.lit(1.0))
+        weights = [F.when(term == wanted, F.lit(1.0)), F.lit(None).cast("double")]
         if options.prefix_from is not None and n >= options.prefix_from:
-            weight = weight.when(term.startswith(wanted), options.prefix_weight * n / (n + 0.3 * (size - n)))
+            weights.append(F.when(term.startswith(wanted), options.prefix_weight * n / (n + 0.3 * (size - n))))
         if options.fuzzy_from is not None and n >= options.fuzzy_from:
             budget = max(1, round(options.fuzzy_share * n))
             distance = F.levenshtein(term, F.lit(wanted), budget)
             near = F.abs(size - n) <= budget
-            weight = weight.when(near & (distance >= 0), options.fuzzy_weight * n / (n + distance))
-        matches.append(F.struct(F.lit(group).alias("query_group"), weight.alias("weight")))
+            weights.append(F.when(near & (distance >= 0), options.fuzzy_weight * n / (n + distance)))
+        matches.append(F.struct(F.lit(group).alias("query_group"), F.greatest(*weights).alias("weight")))
     if not matches:
         return vocabulary.select("term", F.lit(0).alias("query_group"), F.lit(0.0).alias("weight")).limit(0)
     found = F.filter(F.array(*matches), lambda m: m["weight"].isNotNull())

@@ -6,6 +6,9 @@ same rows for the same events.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,23 +56,39 @@ def bounded_lists(events: DataFrame, owner: str, item: str, at: str, closed: Col
 
     A visit to a listed item refreshes it in place; a new item joins the end and
     the least recent leaves when the list is full; a closing removes its item.
-    The fold needs every event of an owner in order, so it runs in the row of
-    the owner's sorted events.
+    Each event depends on the one before, so the events of an owner are sorted
+    within a partition and folded as they stream by; only the list itself is
+    held, however many events an owner has.
     """
-    moves = events.select(owner, F.struct(F.col(at).alias("at"), F.col(tie).alias("tie"), F.col(item).alias("item"), closed.alias("closed")).alias("e"))
-    entry = "array<struct<item:string,at:timestamp>>"
-
-    def step(state: Column, e: Column) -> Column:
-        others = F.filter(state, lambda x: x["item"] != e["item"])
-        fresh = F.struct(e["item"].cast("string").alias("item"), e["at"].alias("at"))
-        listed = F.exists(state, lambda x: x["item"] == e["item"])
-        renewed = F.transform(state, lambda x: F.when(x["item"] == e["item"], fresh).otherwise(x))
-        oldest = F.array_min(F.transform(state, lambda x: x["at"]))
-        room = F.when(F.size(state) >= size, F.filter(state, lambda x: x["at"] > oldest)).otherwise(state)
-        return F.when(e["closed"], others).when(listed, renewed).otherwise(F.concat(room, F.array(fresh)))
-
-    folded = F.aggregate(F.array_sort(F.collect_list("e")), F.array().cast(entry), step)
-    return moves.groupBy(owner).agg(folded.alias("items")).select(owner, F.posexplode("items").alias("place", "x")).select(owner, "place", "x.item", F.col("x.at").alias("last_at"))
+    moves = events.select(F.col(owner).cast("string").alias("owner"), F.col(at).alias("at"), F.col(tie).alias("tie"), F.col(item).cast("string").alias("item"), F.coalesce(closed, F.lit(False)).alias("closed"))
+    in_order = moves.filter("owner IS NOT NULL AND at IS NOT NULL").repartition("owner").sortWithinPartitions("owner", "at", "tie")
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, listed = None, {}
+
+        def shown() -> pd.DataFrame:
+            return pd.DataFrame({"owner": current, "place": range(len(listed)), "item": list(listed), "last_at": pd.Series(list(listed.values()), dtype="datetime64[ns]")})
+
+        for pdf in batches:
+            done = []
+            for who, when, what, gone in zip(pdf["owner"], pdf["at"], pdf["item"], pdf["closed"]):
+                if who != current:
+                    if listed:
+                        done.append(shown())
+                    current, listed = who, {}
+                if gone:
+                    listed.pop(what, None)
+                else:
+                    if what not in listed and len(listed) >= size:
+                        del listed[min(listed, key=listed.get)]
+                    listed[what] = when
+            if done:
+                yield pd.concat(done)
+        if listed:
+            yield shown()
+
+    folded = in_order.mapInPandas(fold, f"owner string, place int, item string, last_at {moves.schema['at'].dataType.simpleString()}")
+    return folded.select(F.col("owner").cast(events.schema[owner].dataType).alias(owner), "place", "item", "last_at")
 
 
 def merged(current: DataFrame, incoming: DataFrame, key: str, valid: Column) -> DataFrame:

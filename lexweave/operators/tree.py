@@ -79,7 +79,8 @@ def edge_list(documents: DataFrame) -> DataFrame:
                     table = [[None if c is None else str(c) for c in r] for r in cells if isinstance(r, list)] if isinstance(cells, list) else None
                     texts = [None if node.get(c) is None else str(node[c]) for c in ("node_type", "marker", "anchor", "body")]
                     rows.append((key, list(path), len(path), *texts, table))
-            yield pd.DataFrame(rows, columns=columns)
+            if rows:
+                yield pd.DataFrame(rows, columns=columns)
 
     return documents.select("doc_key", "content").mapInPandas(run, EDGE_SCHEMA)
 

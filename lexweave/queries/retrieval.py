@@ -201,6 +201,18 @@ scored AS (SELECT doc_id, count(DISTINCT query_group) AS coverage,
 """
 
 
+def _sql_expanded(conditions: list[tuple[int, str, str]], heading: float) -> str:
+    """SQL: scores of a query whose terms were expanded, each term with its best weight per group."""
+    parts = " UNION ALL ".join(f"SELECT term, {g} AS query_group, {w} AS weight FROM vocabulary WHERE {c}" for g, c, w in conditions)
+    return _sql_index(_DOCS) + f""",
+q AS (SELECT term, query_group, max(weight) AS weight FROM ({parts}) GROUP BY ALL),
+freq AS (SELECT term, field, count(*) AS field_df FROM postings GROUP BY ALL),
+scored AS (SELECT doc_id, count(DISTINCT query_group) AS coverage,
+  round(sum(weight * CASE field WHEN 'heading' THEN {heading} ELSE 1.0::DOUBLE END * ln(1 + (n_docs - field_df + 0.5::DOUBLE) / (field_df + 0.5::DOUBLE)) * (0.5::DOUBLE + tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.3::DOUBLE + 0.7::DOUBLE * size / mean_size)))), 6) AS score
+  FROM postings JOIN q USING (term) JOIN freq USING (term, field) JOIN lengths USING (doc_id, field) JOIN means USING (field) GROUP BY doc_id)
+"""
+
+
 _TERMS = {t: g for t, g in S.term_groups(QUERY, S.Options(synonyms=())).items()}
 _BEST = "ORDER BY coverage DESC, score DESC, doc_id"
 
@@ -245,6 +257,8 @@ SQL = {
     "search_fuzzy_expand": _sql_expand([_near(0, "exitstrategei"), _near(1, "overeenkomstn")]),
     "search_synonym_expand": _sql_expand([_exact(g, t) for t, g in S.term_groups("informatieregister keten").items()]),
     "search_multi_field_boost": _sql_scored(_DOCS, {"lijst": 0, "kritieke": 1, "diensten": 2}, 5.0) + f"SELECT * FROM scored {_BEST} LIMIT 20",
+    "search_typeahead": _sql_expanded([f(g, t) for g, t in enumerate(("exitstrategi", "regist")) for f in (_prefix, _near)], 3.0) + f"SELECT * FROM scored {_BEST} LIMIT 24",
+    "search_precision": _sql_expanded([_prefix(g, t) if len(t) >= 5 else _exact(g, t) for t, g in S.term_groups("uitbesteding keten", S.PRECISION).items()], 2.0) + f"SELECT * FROM scored {_BEST} LIMIT 10",
     "search_pinned_reference": _sql_scored(_PROVISIONS, {"artikel": 0, "4": 1}) + "SELECT doc_id, starts_with(doc_id, 'hoofdakte-art-4-') AS pinned, coverage, score FROM scored ORDER BY pinned DESC, coverage DESC, score DESC, doc_id LIMIT 15",
     "search_filter_after_limit": _sql_scored(_DOCS, _TERMS) + f"SELECT s.* FROM (SELECT * FROM scored {_BEST} LIMIT 50) s JOIN docs USING (doc_id) WHERE lang = 'nl' {_BEST} LIMIT 10",
     "hits_grouped_by_type": _sql_scored(_DOCS, _TERMS) + f"SELECT source, count(*) AS n_hits, list(doc_id {_BEST}) AS doc_ids FROM (SELECT * FROM scored {_BEST} LIMIT 50) s JOIN docs USING (doc_id) GROUP BY source",

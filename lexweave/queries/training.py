@@ -205,7 +205,37 @@ t AS (SELECT contract_ref, node, node AS root, 0 AS depth, [node] AS path FROM e
   UNION ALL SELECT e.contract_ref, e.node, t.root, t.depth + 1, list_append(t.path, e.node) FROM e JOIN t ON e.contract_ref = t.contract_ref AND e.parent = t.node WHERE NOT e.is_root)
 """
 
+def _elements(x: str) -> str:
+    """SQL: what stands where an array belongs, as a list, quoted up to three times."""
+    out = f"[{x}]"
+    for _ in range(3):
+        out = f"list_transform({out}, lambda v: CASE WHEN json_type(v) = 'VARCHAR' THEN CASE WHEN json_valid(v ->> '$') THEN CAST(v ->> '$' AS JSON) END ELSE v END)"
+    return f"list_transform({out}, lambda v: CASE json_type(v) WHEN 'ARRAY' THEN json_extract(v, '$[*]') WHEN 'OBJECT' THEN [v] END)[1]"
+
+
+_SQL_NESTED = f"""
+WITH RECURSIVE c AS (SELECT 'arrangements' AS table_name, arr_row AS record_id, 'chain[' || (k - 1) || ']' AS child_path, '' AS parent_path FROM (SELECT arr_row, unnest(chain) AS e, generate_subscripts(chain, 1) AS k FROM arrangements) WHERE e IS NOT NULL AND arr_row IS NOT NULL),
+p AS (SELECT article_id, 'paragraphs[' || (k - 1) || ']' AS path, to_json(x.content) AS content FROM (SELECT article_id, unnest(paragraphs) AS x, generate_subscripts(paragraphs, 1) AS k FROM articles) WHERE x.content IS NOT NULL AND article_id IS NOT NULL),
+t(record_id, parent_path, child_path, content) AS (
+  SELECT article_id, CAST(NULL AS VARCHAR), path, content FROM p
+  UNION ALL
+  SELECT record_id, above, above || '.content[' || (i - 1) || '].items[' || (k - 1) || ']', json_extract(item, '$.content') FROM (
+    SELECT record_id, above, i, unnest(items) AS item, generate_subscripts(items, 1) AS k FROM (
+      SELECT record_id, above, i, {_elements("json_extract(node, '$.items')")} AS items FROM (
+        SELECT record_id, child_path AS above, unnest(nodes) AS node, generate_subscripts(nodes, 1) AS i FROM (SELECT record_id, child_path, {_elements("content")} AS nodes FROM t WHERE content IS NOT NULL))
+      WHERE json_type(node) = 'OBJECT' AND json_extract_string(node, '$.type') = 'list'))
+  WHERE json_type(item) = 'OBJECT'),
+q AS (SELECT quest_id, unnest(ms) AS m, generate_subscripts(ms, 1) AS i FROM (SELECT quest_id, {_elements("json_extract(CAST(raw_json AS JSON), '$.modules')")} AS ms FROM questionnaires WHERE json_valid(raw_json) AND quest_id IS NOT NULL)),
+q2 AS (SELECT quest_id, i, unnest(qs) AS z, generate_subscripts(qs, 1) AS j FROM (SELECT quest_id, i, {_elements("json_extract(m, '$.questions')")} AS qs FROM q WHERE json_type(m) = 'OBJECT')),
+q3 AS (SELECT quest_id, i, j, unnest(os) AS o, generate_subscripts(os, 1) AS k FROM (SELECT quest_id, i, j, {_elements("json_extract(z, '$.options')")} AS os FROM q2 WHERE json_type(z) = 'OBJECT')),
+n AS (SELECT table_name, record_id, child_path, parent_path FROM c
+  UNION ALL SELECT 'articles', record_id, child_path, parent_path FROM t WHERE parent_path IS NOT NULL
+  UNION ALL SELECT 'questionnaires', quest_id, 'modules[' || (i - 1) || '].questions[' || (j - 1) || '].options[' || (k - 1) || ']', 'modules[' || (i - 1) || '].questions[' || (j - 1) || ']' FROM q3 WHERE json_type(o) = 'OBJECT')
+"""
+
 SQL: dict[str, str] = {
+    "p2_found": _SQL_NESTED + "SELECT * FROM n",
+    "p2_tables": _SQL_NESTED + "SELECT table_name, regexp_replace(child_path, '\\[[0-9]+\\]', '', 'g') AS schema_path, count(*) AS n_rows, max(length(child_path) - length(replace(child_path, '.', '')) + 1)::INTEGER AS max_depth FROM n GROUP BY 1, 2",
     "p1_found": _SQL_DRIFT + "SELECT table_name, field_name, load_no FROM d WHERE total_variation > 0.2",
     "p1_drift": _SQL_DRIFT + "SELECT table_name, field_name, load_no, before_load, degrees, round(total_variation, 6) AS total_variation, round(chi_square, 6) AS chi_square, round(stability_index, 6) AS stability_index FROM d",
     "p1_profile": f"""

@@ -369,7 +369,8 @@ def parse_pages(pages: DataFrame) -> DataFrame:
                 for p in provisions(html, layout):
                     body = [x | {"content": json.dumps(x["content"], ensure_ascii=False)} for x in p["paragraphs"]]
                     rows.append(p | {"instrument": instrument, "paragraphs": body})
-            yield pd.DataFrame(rows, columns=names)
+            if rows:
+                yield pd.DataFrame(rows, columns=names)
 
     return pages.select("instrument", "layout", "html").filter("html IS NOT NULL").mapInPandas(run, PROVISION_SCHEMA)
 
