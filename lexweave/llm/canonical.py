@@ -220,6 +220,8 @@ def canonical_items(entries: DataFrame, closed_lists: DataFrame, max_items: int
         built = {code: ClosedList(items) for code, items in lists.items()}
         seen: dict[tuple[str, str], tuple[int, str, float]] = {}
         for pdf in batches:
+            if not len(pdf):
+                continue
             if len(seen) > 200_000:  # remembered answers, not results
                 seen.clear()
             answers = []

@@ -254,6 +254,8 @@ def packed_items(sizes: DataFrame, pack_sizes: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
+            if not len(pdf):
+                continue
             found = places.find(pdf["pack_id"].to_numpy(np.int64), pdf["size"].to_numpy(np.int64), pdf["rank"].to_numpy(np.int64))
             yield pdf[["pack_id", "capacity"]].assign(container_id=["mix-" + str(c) for c in found], doc_id=pdf["doc_id"], piece_no=pdf["piece_no"], n_tokens=pdf["size"])
 

@@ -200,7 +200,8 @@ def line_labels(documents: DataFrame, common_words: DataFrame) -> DataFrame:
                 sizes = np.array([len(x) for x in lines], dtype=np.int64)
                 by = np.bincount(states, weights=sizes, minlength=4).astype(np.int64) if len(lines) else np.zeros(4, dtype=np.int64)
                 rows.append((doc_id, len(lines), int(sizes.sum()), *map(int, by), complete_characters(states, lines, fresh)))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_lines", "n_line_chars", *(f"{s}_chars" for s in STATES), "sentence_chars"])
+            if rows:
+                yield pd.DataFrame(rows, columns=["doc_id", "n_lines", "n_line_chars", *(f"{s}_chars" for s in STATES), "sentence_chars"])
 
     schema = "doc_id long, n_lines long, n_line_chars long, prose_chars long, list_chars long, table_chars long, junk_chars long, sentence_chars long"
     return documents.filter("doc_id IS NOT NULL").select("doc_id", "text").mapInPandas(run, schema)
