@@ -82,7 +82,7 @@ def line_kind(line: str, common: frozenset[str]) -> int:
         return _KIND["pair"]
     shared = sum(map(common.__contains__, words)) / count if count else 0.0
     if count >= 4:
-        if shared >= 0.8:
+        if shared >= 0.9:
             return _KIND["soup"]
         if shared < (0.16 if line[0].isupper() else 0.1):
             return _KIND["keywords" if line.count(",") >= 2 else "wordless"]
