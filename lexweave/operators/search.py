@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexweave.functions.text import FOLD_FROM, FOLD_TO, STOPWORDS, is_searchable, tokens
+from lexweave.sources.tables import stage
 
 # fixed values: groups of words of the legal vocabulary that stand for each other
 SYNONYM_GROUPS = (
@@ -64,6 +65,16 @@ class Index:
     frequencies: DataFrame
     vocabulary: DataFrame
 
+    @staticmethod
+    def of(postings: DataFrame, lengths: DataFrame) -> Index:
+        """The index with what follows from its postings."""
+        frequencies = postings.groupBy("term", "field").agg(F.count("*").alias("field_df"))
+        return Index(postings, lengths, frequencies, postings.groupBy("term").agg(F.count_distinct("doc_id").alias("df")))
+
+    def staged(self) -> Index:
+        """The same index over staged tables: texts are read and cut into terms once."""
+        return Index.of(stage(self.postings, "postings"), stage(self.lengths, "lengths"))
+
     def save(self, path: str) -> None:
         """Written once; postings sorted by term, so a query reads the row groups of its terms."""
         self.lengths.write.parquet(f"{path}/lengths")
@@ -83,9 +94,7 @@ def build_index(docs: DataFrame, fields: tuple[str, ...] = ("heading", "text"))
     words = words.withColumn("size", F.size("terms").cast("long"))
     lengths = words.select("doc_id", "field", "size")
     postings = words.select("doc_id", "field", "size", F.explode("terms").alias("term")).groupBy("term", "field", "doc_id", "size").agg(F.count("*").alias("tf"))
-    frequencies = postings.groupBy("term", "field").agg(F.count("*").alias("field_df"))
-    vocabulary = postings.groupBy("term").agg(F.count_distinct("doc_id").alias("df"))
-    return Index(postings, lengths, frequencies, vocabulary)
+    return Index.of(postings, lengths)
 
 
 def query_terms(query: str) -> list[str]:

@@ -78,7 +78,7 @@ def search_field_lengths(spark, sf_dir):
 
 
 def _hits(spark, sf_dir, query, limit=20, options=None):
-    return S.search(_index(spark, sf_dir), query, limit, options or S.Options(prefix_from=None, fuzzy_from=None, synonyms=()))
+    return S.search(_index(spark, sf_dir).staged(), query, limit, options or S.Options(prefix_from=None, fuzzy_from=None, synonyms=()))
 
 
 def search_bm25_topk(spark, sf_dir):
@@ -88,7 +88,7 @@ def search_bm25_topk(spark, sf_dir):
 
 def search_coverage_rank(spark, sf_dir):
     """Documents per number of query terms covered."""
-    scored = S.scored(_index(spark, sf_dir), QUERY, S.Options(prefix_from=None, fuzzy_from=None, synonyms=()))
+    scored = S.scored(_index(spark, sf_dir).staged(), QUERY, S.Options(prefix_from=None, fuzzy_from=None, synonyms=()))
     return scored.groupBy("coverage").agg(F.count("*").alias("n_docs"), F.max("score").alias("best_score"))
 
 
@@ -133,7 +133,7 @@ def _provisions(spark, sf_dir):
 
 def search_pinned_reference(spark, sf_dir):
     """A direct reference puts the provisions it names first."""
-    hits = S.search(S.build_index(_provisions(spark, sf_dir)), "artikel 4", 15, S.Options(prefix_from=None, fuzzy_from=None, synonyms=()))
+    hits = S.search(S.build_index(_provisions(spark, sf_dir)).staged(), "artikel 4", 15, S.Options(prefix_from=None, fuzzy_from=None, synonyms=()))
     return hits.select("doc_id", "pinned", "coverage", "score")
 
 
