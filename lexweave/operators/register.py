@@ -48,6 +48,28 @@ def schema_from_tables(tables: DataFrame) -> DataFrame:
     )
 
 
+def templates_from_tables(tables: DataFrame) -> DataFrame:
+    """Templates from the overview table: code, name, description; other rows are no templates."""
+    rows = tables.filter(F.trim(F.element_at(F.element_at("cells", 1), 1)) == "Code model").select(F.explode("cells").alias("r"))
+    cell = lambda i: F.trim(F.coalesce(F.get("r", F.lit(i)), F.lit("")))
+    return rows.filter(cell(0).rlike(r"\AB_\d{2}\.\d{2}\z")).select(cell(0).alias("template_code"), cell(1).alias("name"), cell(2).alias("description"))
+
+
+def schema_of_templates(columns: DataFrame, templates: DataFrame) -> DataFrame:
+    """Columns whose template is in the overview."""
+    return columns.join(templates.select("template_code"), "template_code", "left_semi")
+
+
+def service_codes(table: DataFrame) -> DataFrame:
+    """Codes with label and description from a table with a head; numbering before a label is dropped.
+
+    ``table(cells)``, one row.
+    """
+    cell = lambda i: F.trim(F.coalesce(F.get("r", F.lit(i)), F.lit("")))
+    rows = table.select(F.explode(F.slice("cells", F.lit(2), F.greatest(F.size("cells") - 1, F.lit(0)))).alias("r"))
+    return rows.select(cell(0).alias("code"), F.regexp_replace(cell(1), r"\A\d+\.\s*", "").alias("label"), cell(2).alias("description"))
+
+
 def lists_from_matrix(matrix: DataFrame) -> DataFrame:
     """Closed lists from a ragged matrix ``(row_no, cells)``: full rows begin a list, shorter ones continue it."""
     from pyspark.sql import Window

@@ -161,6 +161,22 @@ def split_by(rows: DataFrame, column: str, values: list[str]) -> tuple[DataFrame
     return rows.filter(inside), rows.filter(~inside)
 
 
+def ladder(evaluation: DataFrame, steps: list[tuple[dict, str]], otherwise: str, name: str = "outcome", answers: str = "answers") -> DataFrame:
+    """The first outcome whose condition holds, conditions reading the record's flags and answers."""
+    wanted = {f for tree, _ in steps for f in _flags_of(tree)}
+    flags = {f: F.array_contains("flags", f) for f in wanted}
+    out = None
+    for tree, label in steps:
+        holds = condition(tree, flags, F.col(answers))
+        out = F.when(holds, label) if out is None else out.when(holds, label)
+    return evaluation.withColumn(name, F.lit(otherwise) if out is None else out.otherwise(otherwise))
+
+
+def _flags_of(tree: dict) -> set[str]:
+    below = [*tree.get("all", ()), *tree.get("any", ()), *([tree["not"]] if "not" in tree else ())]
+    return ({tree["flag"]} if "flag" in tree else set()).union(*(_flags_of(t) for t in below))
+
+
 def timeline(records: DataFrame, dates: list[tuple[str, str, str | None]], key: str) -> DataFrame:
     """Fixed dates ``(day, label, flag or none)`` of each record, those whose flag it has, in order of day."""
     table = F.array(*[F.struct(F.lit(d).alias("day"), F.lit(i).alias("pos"), F.lit(t).alias("label"), F.lit(f).cast("string").alias("flag")) for i, (d, t, f) in enumerate(dates)])

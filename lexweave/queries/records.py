@@ -68,6 +68,12 @@ def rule_split(spark, sf_dir):
     return inside.agg(F.lit("keten").alias("part"), F.count("*").alias("n")).unionByName(outside.agg(F.lit("basis").alias("part"), F.count("*").alias("n")))
 
 
+def regime_ladder(spark, sf_dir):
+    """The first of three outcomes that holds for each arrangement."""
+    steps = [({"not": {"flag": "digitaal"}}, "buiten bereik"), ({"all": [{"flag": "kritiek"}, {"flag": "keten"}]}, "volledig"), ({"any": [{"flag": "kritiek"}, {"answer": {"q": "s12.1", "is": ["NL", "BE"]}}]}, "beperkt")]
+    return R.ladder(_evaluated(spark, sf_dir), steps, "licht").select("arr_row", "outcome")
+
+
 def timeline(spark, sf_dir):
     """Dates that hold for each arrangement, in order."""
     return R.timeline(_evaluated(spark, sf_dir), DATES, "arr_row")
@@ -251,7 +257,7 @@ def extra_window(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        rule_visibility, rule_obligations, rule_obligation_groups, rule_progress, rule_first_incomplete, rule_labels, rule_split, timeline, register_schema, field_priority_resolve, field_validate, completeness,
+        rule_visibility, rule_obligations, rule_obligation_groups, rule_progress, rule_first_incomplete, rule_labels, rule_split, regime_ladder, timeline, register_schema, field_priority_resolve, field_validate, completeness,
         supplier_request, request_documents, template_export, chain_explode_rank, csv_document, closed_list_prefix, lei_mod97, state_export, versioned_state, latest_per_key, latest_without_blank, alive_keys, toggle_parity, bulk_reset, lru8_recent,
         lru8_with_closes, merge_import, stream_latest_per_key, stream_toggle_parity, stream_bounded_lists, extra_rollup, extra_cube, extra_full_outer, extra_intersect, extra_window,
     )
@@ -295,6 +301,7 @@ SQL = {
     "rule_first_incomplete": _V + "SELECT arr_row, arg_min(module_id, pos) AS module_id FROM v WHERE coalesce(answer, '') = '' GROUP BY arr_row",
     "rule_labels": f"WITH {_A} SELECT arr_row, coalesce(CASE q111 WHEN '1' THEN 'Niet' WHEN '2' THEN 'Moeilijk' ELSE q111 END, '') AS choice, coalesce(CASE q21 WHEN 'ja' THEN 'Ja' WHEN 'nee' THEN 'Nee' WHEN 'nvt' THEN 'N.v.t.' ELSE q21 END, '') AS yes_no FROM a",
     "rule_split": _V + "SELECT 'keten' AS part, count(*) AS n FROM ob WHERE module_id = 'm2' UNION ALL SELECT 'basis', count(*) FROM ob WHERE module_id <> 'm2'",
+    "regime_ladder": _V + "SELECT arr_row, CASE WHEN NOT digitaal THEN 'buiten bereik' WHEN kritiek AND keten THEN 'volledig' WHEN kritiek OR coalesce(q121 IN ('NL', 'BE'), false) THEN 'beperkt' ELSE 'licht' END AS outcome FROM g",
     "timeline": _V + "SELECT arr_row, CAST(row_number() OVER (PARTITION BY arr_row ORDER BY day, pos) - 1 AS INTEGER) AS place, day, label FROM g, (VALUES ('2022-01-17', 0, 'inwerkingtreding', NULL), ('2025-04-30', 1, 'eerste opgave', 'digitaal'), ('2024-07-22', 2, 'ketenregels', 'kritiek'), ('2025-01-17', 3, 'toepassing', NULL)) t(day, pos, label, flag) WHERE flag IS NULL OR (flag = 'digitaal' AND digitaal) OR (flag = 'kritiek' AND kritiek)",
     "register_schema": f"WITH {_COLS} SELECT * FROM c",
     "field_priority_resolve": _FIELDS + "SELECT code, origin, count(*) AS n, min(value) AS first_value, count(*) FILTER (overridden) AS n_overridden FROM fields WHERE value <> '' GROUP BY ALL",

@@ -247,3 +247,14 @@ def test_requests_remaps_and_names(spark):
     assert rows(G.remapped(lists, columns, {"OLD": "NEW", "KEPT": "NEW", "GONE": "NOWHERE"}), "column_code") == [("GONE",), ("KEPT",), ("NEW",)]
     answers = spark.createDataFrame([(1, "s1.2", " Nieuw "), (2, "s1.2", " "), (1, "s1.3", "x")], "arr_row long, question_id string, value string")
     assert rows(K.renamed(records, answers, "arr_row", "arr_name", "s1.2"), "arr_row", "arr_name") == [(1, "Nieuw"), (2, "Ander")]
+
+
+def test_derived_templates_and_ladders(spark):
+    tables = spark.createDataFrame([([["Code model", "Naam"], ["B_01.02", " Groep ", "Lijst"], ["los"]],), ([["Code kolom"], ["B_01.02.0010", "a"], ["B_09.09.0010", "b"]],)], "cells array<array<string>>")
+    templates = G.templates_from_tables(tables)
+    assert rows(templates) == [("B_01.02", "Groep", "Lijst")] and rows(G.schema_of_templates(G.schema_from_tables(tables), templates), "code") == [("B_01.02.0010",)]
+    codes = spark.createDataFrame([([["Code", "Naam"], ["S01", "1. Hosting", "Uitleg"], ["S02", "Beheer"]],), ([],)], "cells array<array<string>>")
+    assert rows(G.service_codes(codes)) == [("S01", "Hosting", "Uitleg"), ("S02", "Beheer", "")]
+    df = spark.createDataFrame([(1, {"q1": "ja"}), (2, {"q1": "nee"}), (3, {"q1": "ja", "q2": "ja"})], "id long, answers map<string,string>")
+    out = R.ladder(R.evaluated(df, MODULES), [({"flag": "g"}, "both"), ({"all": [{"flag": "f"}, {"not": {"flag": "g"}}]}, "first")], "none")
+    assert rows(out, "id", "outcome") == [(1, "first"), (2, "none"), (3, "both")]
