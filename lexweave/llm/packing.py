@@ -41,12 +41,15 @@ def reduce_by_dominance(capacity: int, counts: np.ndarray) -> list[tuple[int, Pa
     A set holding the item ``j`` may be fixed when every feasible set with ``j``
     can be exchanged for it: alone when nothing else fits; with its exact
     complement; with the largest fitting item when no two others fit together,
-    or when no pair beside ``j`` is larger and no three fit.
+    or when no pair beside ``j`` is larger and no three fit.  Taking items away
+    leaves each of these reasons standing, so a set is fixed as often as its
+    items last, in one step.
     """
     fixed: list[tuple[int, Pattern]] = []
 
-    def fix(times: int, items: list[int]) -> None:
+    def fix(items: list[int]) -> None:
         sizes, n = np.unique(items, return_counts=True)
+        times = (counts[sizes] // n).min()
         for s, k in zip(sizes, n):
             counts[s] -= times * k
         fixed.append((int(times), [(int(s), int(k)) for s, k in zip(sizes, n)]))
@@ -74,15 +77,15 @@ def reduce_by_dominance(capacity: int, counts: np.ndarray) -> list[tuple[int, Pa
                 room = capacity - j
                 low = smallest(3, j)
                 if not low or low[0] > room:  # nothing fits beside j, and neither beside another j
-                    fix(counts[j] if 2 * j > capacity else 1, [j])
+                    fix([j])
                 elif (i := largest(room, j)) == room or len(low) < 2 or low[0] + low[1] > room:
-                    fix(counts[j] // 2 if i == j else min(counts[j], counts[i]), [j, i])
+                    fix([j, i])
                 elif len(low) < 3 or sum(low) > room:
                     a, b = _largest_pair(counts, room, j)
                     if i >= a + b:
-                        fix(1, [j, i])
+                        fix([j, i])
                     elif i == a and _best_partner(counts, room, j, a) == b and not _other_pair(counts, room, j, a, b):
-                        fix(1, [j, a, b])
+                        fix([j, a, b])
                     else:
                         break
                 else:

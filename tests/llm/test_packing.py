@@ -102,3 +102,10 @@ def test_dominating_pairs_by_definition():
         counts = np.bincount(items, minlength=11).astype(np.int64)
         fixed = K.reduce_by_dominance(10, counts)
         assert sum(t for t, _ in fixed) + least(10, [s for s in range(11) for _ in range(counts[s])]) == least(10, list(items))
+
+
+def test_sets_of_three_are_fixed_in_bulk():
+    counts = np.zeros(257, dtype=np.int64)
+    counts[[254, 1, 200, 28]] = 10**9, 2 * 10**9, 10**9, 2 * 10**9
+    fixed = K.reduce_by_dominance(256, counts)
+    assert (10**9, [(1, 2), (254, 1)]) in fixed and (10**9, [(28, 2), (200, 1)]) in fixed and not counts.any()
