@@ -146,15 +146,22 @@ def distributed_hierarchy(links: DataFrame, with_path: bool = False) -> DataFram
     level_schema = "group_key string, node string, root string, rank string" + ", path array<string>" * with_path
     edges.filter("is_root").select("group_key", "node", F.col("node").alias("root"), "rank", *own_path).write.parquet(f"{base}/depth=0")
     waiting, depth = edges.filter("NOT is_root").select("group_key", "node", "parent", "rank"), 0
+    left, fresh = waiting.count(), 0
+    reached_so_far = lambda: spark.read.schema(level_schema + ", depth int").option("basePath", base).parquet(base)
     while True:
         frontier = spark.read.schema(level_schema).parquet(f"{base}/depth={depth}").select("group_key", F.col("node").alias("parent"), "root", *(["path"] if with_path else []))
         reached = waiting.join(frontier, ["group_key", "parent"])
         deeper = [F.concat("path", F.array("node")).alias("path")] if with_path else []
         depth += 1
         reached.select("group_key", "node", "root", "rank", *deeper).write.parquet(f"{base}/depth={depth}")
-        if spark.read.schema(level_schema).parquet(f"{base}/depth={depth}").isEmpty():
+        n = spark.read.schema(level_schema).parquet(f"{base}/depth={depth}").count()
+        if not n:
             break
-    done = spark.read.schema(level_schema + ", depth int").option("basePath", base).parquet(base)
+        fresh += n
+        if 2 * fresh >= left:  # levels read what still waits, so it is cut whenever half of it is reached
+            waiting = stage(waiting.join(reached_so_far().select("group_key", "node"), ["group_key", "node"], "left_anti"), "waiting")
+            left, fresh = left - fresh, 0
+    done = reached_so_far()
     lost = stage(waiting.join(done.select("group_key", "node"), ["group_key", "node"], "left_anti"), "unreached")
     loops, size = lost, -1
     while (now := loops.count()) != size:
