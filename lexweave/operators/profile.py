@@ -89,6 +89,39 @@ def value_counts(df: DataFrame, load: str, fields: list[Field]) -> DataFrame:
     )
 
 
+def map_value_counts(df: DataFrame, load: str, entries: str, prefix: str, declared: list[Field]) -> DataFrame:
+    """As ``value_counts``, for every key of a map column: ``{prefix}{key}`` is a field whether it is declared or not.
+
+    Declared fields classify a column ``value``; under all other keys each value
+    is a class of its own.  Rows without a key are its blanks: the rows of the
+    load less the entries of the key, also in loads that do not have the key.
+    """
+    loaded = df.filter(F.col(load).isNotNull())
+    cells = loaded.select(F.col(load).alias("load_no"), F.explode(entries).alias("key", "value")).select(F.concat(F.lit(prefix), "key").alias("field_name"), "load_no", "value")
+    cls, violates = category_field("", F.col("value")).cls, F.lit(False)
+    for f in declared:
+        own = F.col("field_name") == f.name
+        cls = F.when(own, f.cls).otherwise(cls)
+        violates = F.when(own, f.cls == F.lit(f.violation) if f.violation else F.lit(False)).otherwise(violates)
+    # classes are a function of field and value, so they are taken after counting
+    met = cells.groupBy("field_name", "load_no", "value").agg(F.count("*").alias("n"))
+    entered = met.groupBy("field_name", "load_no").agg(F.sum("n").alias("n_entries"))
+    loads = loaded.groupBy(F.col(load).alias("load_no")).agg(F.count("*").alias("n_rows"))
+    names = entered.select("field_name")
+    if declared:
+        names = names.unionByName(loaded.sparkSession.createDataFrame([(f.name,) for f in declared], "field_name string"))
+    absent = (
+        loads.crossJoin(names.distinct()).join(entered, ["field_name", "load_no"], "left")
+        .select("field_name", "load_no", F.lit(None).cast("string").alias("value"), (F.col("n_rows") - F.coalesce("n_entries", F.lit(0))).alias("n")).filter("n > 0")
+    )
+    return met.unionByName(absent).select("field_name", "load_no", "value", cls.alias("cls"), violates.alias("violates"), "n")
+
+
+def map_class_counts(df: DataFrame, load: str, entries: str, prefix: str, declared: list[Field]) -> DataFrame:
+    """As ``class_counts``, for every key of a map column."""
+    return map_value_counts(df, load, entries, prefix, declared).groupBy("field_name", "load_no", "cls").agg(F.sum("n").alias("n"))
+
+
 def profile(values: DataFrame) -> DataFrame:
     """Per field and load: rows, blanks, exact distincts, range, violations, top count."""
     filled = F.col("cls") != BLANK

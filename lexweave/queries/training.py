@@ -17,28 +17,34 @@ CATEGORY_QUESTIONS = ("s2.1", "s3.1", "s4.2", "s5.1", "s9.1", "s11.1")
 _FIELD_SOURCES = {"chain_rows": ("provider_code",), "arrangements": ("answers",), "roi_columns": ("mandatory",)}
 
 
-def _profiled() -> list[tuple[str, list[P.Field]]]:
-    def answer(q: str):
-        return F.col("answers").getItem(q)
-
-    arrangements = [
+def _answer_fields(answer) -> list[P.Field]:
+    return [
         P.code_field("answers.s1.3", answer("s1.3")),
         P.date_field("answers.s1.6", answer("s1.6")),
         P.pattern_field("answers.s12.1", answer("s12.1"), r"\A[A-Z]{2}\z"),
         P.magnitude_field("answers.s7.2", answer("s7.2")),
         *[P.category_field(f"answers.{q}", answer(q)) for q in CATEGORY_QUESTIONS],
     ]
+
+
+def _profiled() -> list[tuple[str, list[P.Field]]]:
     return [
         ("chain_rows", [P.code_field("provider_code", F.col("provider_code"))]),
-        ("arrangements", arrangements),
+        ("arrangements", _answer_fields(lambda q: F.col("answers").getItem(q))),
         ("roi_columns", [P.boolean_field("mandatory", F.col("mandatory"))]),
     ]
 
 
-def _counts(spark: SparkSession, sf_dir: str, count) -> DataFrame:
+def _counts(spark: SparkSession, sf_dir: str, count, count_map=None) -> DataFrame:
+    """Counts of the profiled fields; with ``count_map`` of every answer, not the declared ones only."""
     out = None
     for name, fields in _profiled():
-        part = count(heavy_table(spark, sf_dir, name, "load_no", *_FIELD_SOURCES[name]), "load_no", fields).withColumn("field_name", F.concat(F.lit(f"{name}|"), F.col("field_name")))
+        rows = heavy_table(spark, sf_dir, name, "load_no", *_FIELD_SOURCES[name])
+        if count_map and name == "arrangements":
+            part = count_map(rows, "load_no", "answers", "answers.", _answer_fields(lambda q: F.col("value")))
+        else:
+            part = count(rows, "load_no", fields)
+        part = part.withColumn("field_name", F.concat(F.lit(f"{name}|"), F.col("field_name")))
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -55,17 +61,29 @@ def p1_found(spark: SparkSession, sf_dir: str, threshold: float = 0.2) -> DataFr
 
 
 def p1_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows, blanks, exact distincts, ranges and violations per field and load."""
+    """Rows, blanks, exact distincts, ranges and violations per load of the fields of ``p1_found``; ``p1_profile_all`` has every answer."""
     out = _split_name(P.profile(_counts(spark, sf_dir, P.value_counts)))
     return out.select("table_name", "field_name", "load_no", "n_rows", "n_blank", "n_distinct", "min_value", "max_value", "n_violations", "top_count")
 
 
 def p1_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Total variation, chi-square and stability index of every load."""
+    """Total variation, chi-square and stability index of every load, for the fields of ``p1_found``; ``p1_drift_all`` has every answer."""
     out = _split_name(P.drift(_counts(spark, sf_dir, P.class_counts)))
     return out.select("table_name", "field_name", "load_no", "before_load", "degrees", *[F.round(c, 6).alias(c) for c in ("total_variation", "chi_square", "stability_index")])
 
 
+def p1_profile_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows, blanks, exact distincts, ranges and violations per field and load, for every answer id that occurs."""
+    out = _split_name(P.profile(_counts(spark, sf_dir, P.value_counts, P.map_value_counts)))
+    return out.select("table_name", "field_name", "load_no", "n_rows", "n_blank", "n_distinct", "min_value", "max_value", "n_violations", "top_count")
+
+
+def p1_drift_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Total variation, chi-square and stability index of every load, for every answer id that occurs."""
+    out = _split_name(P.drift(_counts(spark, sf_dir, P.class_counts, P.map_class_counts)))
+    return out.select("table_name", "field_name", "load_no", "before_load", "degrees", *[F.round(c, 6).alias(c) for c in ("total_variation", "chi_square", "stability_index")])
+
+
 def _nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.nested_tables(table(spark, sf_dir, "arrangements"), heavy_table(spark, sf_dir, "articles", "article_id", "paragraphs"), heavy_table(spark, sf_dir, "questionnaires", "quest_id", "raw_json"))
 
@@ -134,7 +152,7 @@ def p6_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.ancestor_pairs(_tree(spark, sf_dir, True)).select(F.col("group_key").alias("contract_ref"), "ancestor", "descendant", "distance")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_profile, p1_drift, p2_found, p2_children, p2_tables, p5_found, p5_counts, p6_found, p6_paths, p6_descendants)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_profile, p1_drift, p1_profile_all, p1_drift_all, p2_found, p2_children, p2_tables, p5_found, p5_counts, p6_found, p6_paths, p6_descendants)}
 
 _LEI_DIGITS = "list_aggregate(list_transform(regexp_split_to_array({c}, ''), lambda x: CASE WHEN x BETWEEN 'A' AND 'Z' THEN CAST(ascii(x) - 55 AS VARCHAR) ELSE x END), 'string_agg', '')"
 
@@ -250,3 +268,16 @@ FROM c GROUP BY table_name, field_name, load_no""",
     "p6_found": _SQL_TREE + "SELECT e.contract_ref, e.node AS node_code, coalesce(t.root, '') AS root_code, coalesce(t.depth, -1) AS node_depth FROM e LEFT JOIN t ON t.contract_ref = e.contract_ref AND t.node = e.node",
     "p6_descendants": _SQL_TREE + "SELECT contract_ref, a AS ancestor, node AS descendant, CAST(depth - k + 1 AS INTEGER) AS distance FROM (SELECT contract_ref, node, depth, unnest(path[:depth]) AS a, unnest(range(1, depth + 1)) AS k FROM t WHERE depth > 0)",
 }
+
+_KINDS = {"s1.3": "code", "s1.6": "date", "s12.1": "country", "s7.2": "amount"}
+_SQL_ANSWERS = f"""SELECT 'arrangements', 'answers.' || k, load_no, v, CASE {" ".join(f"WHEN k = '{q}' THEN {_sql_class(kind, 'v')}" for q, kind in _KINDS.items())} ELSE {_sql_class("category", "v")} END, k IN ({", ".join(f"'{q}'" for q in _KINDS)})
+FROM (SELECT load_no, k, answers[k] AS v FROM arrangements CROSS JOIN (SELECT unnest(map_keys(answers)) AS k FROM arrangements WHERE load_no IS NOT NULL UNION SELECT unnest([{", ".join(f"'{q}'" for q in (*_KINDS, *CATEGORY_QUESTIONS))}])))"""
+
+
+def _with_all_answers(sql: str) -> str:
+    """The SQL of a profile query over every answer id in place of the declared ten."""
+    parts = _sql_values().split(" UNION ALL ")
+    return sql.replace(_sql_values(), " UNION ALL ".join([parts[0], _SQL_ANSWERS, parts[-1]]))
+
+
+SQL |= {f"{name}_all": _with_all_answers(SQL[name]) for name in ("p1_profile", "p1_drift")}

@@ -71,3 +71,26 @@ def test_magnitude_and_date_fields(spark):
     got = {(r["field_name"], r["cls"]): r["n"] for r in P.class_counts(df, "load_no", fields).collect()}
     assert got["m", "digits:2"] == 2 and got["m", "digits:7"] == 1 and got["m", "blank"] == 2 and got["m", "other"] == 3
     assert got["d", "other"] == 6 and got["b", "true"] == 1
+
+
+def test_every_key_of_a_map_is_profiled(spark):
+    data = [(1, {"a": "NL", "new": "x"}), (1, {"a": "be", "new": None}), (1, None), (2, {"a": "NL"}), (2, {"new": "x"}), (None, {"gone": "x"})]
+    df = spark.createDataFrame(data, "load_no int, m map<string,string>")
+    declared = [P.pattern_field("m.a", F.col("value"), r"\A[A-Z]{2}\z"), P.category_field("m.b", F.col("value"))]
+    got = P.profile(P.map_value_counts(df, "load_no", "m", "m.", declared))
+    assert rows(got, "field_name", "load_no", "n_rows", "n_blank", "n_distinct", "n_violations") == [
+        ("m.a", 1, 3, 1, 2, 1), ("m.a", 2, 2, 1, 1, 0), ("m.b", 1, 3, 3, 0, 0), ("m.b", 2, 2, 2, 0, 0), ("m.new", 1, 3, 2, 1, 0), ("m.new", 2, 2, 1, 1, 0),
+    ]
+    broken = {r["field_name"]: r["total_variation"] for r in P.drift(P.map_class_counts(df, "load_no", "m", "m.", declared)).collect()}
+    assert set(broken) == {"m.a", "m.b", "m.new"} and abs(broken["m.new"] - 1 / 6) < 1e-9
+    assert rows(P.map_value_counts(df.limit(0), "load_no", "m", "m.", declared)) == []
+
+
+def test_answers_beyond_the_declared_ten(spark, tmp_path):
+    from lexweave.queries import training
+
+    spark.createDataFrame([(1, {"s99.1": "x"}), (1, {})], "load_no int, answers map<string,string>").write.parquet(f"{tmp_path}/arrangements.parquet")
+    spark.createDataFrame([], "load_no int, provider_code string").write.parquet(f"{tmp_path}/chain_rows.parquet")
+    spark.createDataFrame([], "load_no int, mandatory boolean").write.parquet(f"{tmp_path}/roi_columns.parquet")
+    got = {r["field_name"]: r for r in training.QUERIES["p1_profile_all"](spark, str(tmp_path)).collect()}
+    assert len(got) == 11 and (got["answers.s99.1"]["n_rows"], got["answers.s99.1"]["n_blank"]) == (2, 1)
