@@ -7,14 +7,16 @@ by a hash of its texts; whole passes take every block, the last pass takes permu
 blocks as far as they fit and, from the blocks at the edge, the texts that come
 nearest to the amount.
 
-Output shards get their texts by a splitting tree: at every node the block
-counts of all sources are divided between the two halves by one draw from the
-multivariate hypergeometric distribution, so every shard has an exact quota of
-blocks of each source and together they use each block once.  Shards then take
-disjoint blocks of the permuted lists and shuffle their texts locally.
+Output shards get their texts by slices of about equal tokens, several thousand
+to a shard, so their number grows with the mix and not with the rows.  At every
+node of a splitting tree the slice counts of all sources are divided between the
+two halves by one draw from the multivariate hypergeometric distribution, so
+every shard has an exact quota of slices of each source and together they use
+each slice once.  A hash puts every use of a text into a slice; shards then
+shuffle their texts locally.
 
-Only totals per source and block leave the executors; blocks hold a bounded
-number of texts, so their number is what grows.
+Only totals per source and block and the quotas per shard and source meet on the
+driver; which slice is of which shard is a table.
 
 Defined results: texts without a source, of a source without a target, or
 without tokens are not used; sources without tokens reach share 0 and their
@@ -28,12 +30,14 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 MAX_SOURCES = 10_000
 ROWS_PER_BLOCK, LEAST_BLOCKS = 1_000_000, 64
 SHARD_TOKENS = 2_000_000
+#: slices of a shard, all sources together; fewer only where all shards would pass the most a draw can divide
+SLICES_PER_SHARD, MOST_SLICES = 4096, 900_000_000
 SEED = 17
 
 
@@ -57,7 +61,7 @@ def amounts(sources: list[Source]) -> dict[str, float]:
 
 
 def split_blocks(quotas: np.ndarray, shards: int, rng: np.random.Generator) -> np.ndarray:
-    """Blocks of each source for each shard (shards × sources), by recursive hypergeometric splits."""
+    """Slices of each source for each shard (shards × sources), by recursive hypergeometric splits."""
     out = np.zeros((shards, len(quotas)), dtype=np.int64)
 
     def node(lo: int, hi: int, left: np.ndarray) -> None:
@@ -98,34 +102,39 @@ def mix(sizes: DataFrame, targets: DataFrame, seed: int = SEED, shard_tokens: in
         totals[r["source"]][r["block"]] = r["t"]
 
     rng = np.random.default_rng(seed)
-    lists: list[list[tuple[int, int]]] = []  # per source: permuted (block, repeat); block -1 is the part taken of the edge blocks
+    plan: list[tuple[str, int, int]] = []  # source, block, repeat; block -1 is the part taken of the edge blocks
     edges: list[tuple[str, int]] = []
     missing: dict[str, int] = {}
     for name, n in blocks.items():
         passes, rest = divmod(take[name], int(totals[name].sum()))
-        picked = [(int(b), r) for r in range(int(passes)) for b in rng.permutation(n) if totals[name][b]]
+        plan += [(name, b, r) for r in range(int(passes)) for b in range(n) if totals[name][b]]
         order = [int(b) for b in rng.permutation(n) if totals[name][b]]
         while order and totals[name][order[0]] <= rest:
             rest -= totals[name][order[0]]
-            picked.append((order.pop(0), int(passes)))
+            plan.append((name, order.pop(0), int(passes)))
         if order and rest >= 1:
             missing[name] = int(rest)
             edges += [(name, b) for b in order[: LEAST_BLOCKS if n == LEAST_BLOCKS else 1]]
-            picked.append((-1, int(passes)))
-        rng.shuffle(picked)
-        lists.append(picked)
-    shards = max(1, round(sum(take.values()) / shard_tokens))
-    quotas = split_blocks(np.array([len(x) for x in lists]), shards, rng)
-    plan = []
-    for i, name in enumerate(blocks):
-        ends = np.cumsum(quotas[:, i])
-        plan += [(name, b, r, int(np.searchsorted(ends, k, side="right"))) for k, (b, r) in enumerate(lists[i])]
+            plan.append((name, -1, int(passes)))
     parts = blocked
     if edges:
         parts = parts.unionByName(_edge_texts(blocked, edges, missing, seed))
-    planned = parts.join(spark.createDataFrame(plan, "source string, block int, repeat_no int, shard_no int"), ["source", "block"])
+    planned = parts.join(spark.createDataFrame(plan, "source string, block int, repeat_no int"), ["source", "block"])
+    shards = max(1, round(sum(take.values()) / shard_tokens))
+    slices = {name: max(1, round(take[name] / sum(take.values()) * shards * min(SLICES_PER_SHARD, MOST_SLICES // shards))) for name in blocks}
+    slices_of = F.element_at(F.create_map(*[F.lit(x) for kv in slices.items() for x in kv]), F.col("source"))
+    sliced = planned.withColumn("slice", F.pmod(F.xxhash64("row_key", "repeat_no", F.lit(seed + 3)), slices_of).cast("long"))
+    placed = sliced.join(_slice_shards(spark, slices, shards, rng), ["source", "slice"])
     place = Window.partitionBy("shard_no").orderBy(F.xxhash64("row_key", "repeat_no", F.lit(seed + 2)), "row_key", "repeat_no")
-    return planned.select("shard_no", F.row_number().over(place).alias("position"), "source", "doc_id", "repeat_no", "n_tokens")
+    return placed.select("shard_no", F.row_number().over(place).alias("position"), "source", "doc_id", "repeat_no", "n_tokens")
+
+
+def _slice_shards(spark: SparkSession, slices: dict[str, int], shards: int, rng: np.random.Generator) -> DataFrame:
+    """``source, slice, shard_no`` of every slice: consecutive ones by quota, as the hash has permuted the texts."""
+    quotas = split_blocks(np.array(list(slices.values())), shards, rng)
+    ends = np.cumsum(quotas, axis=0)
+    runs = [(name, k, int(ends[k, i] - quotas[k, i]), int(ends[k, i]) - 1) for i, name in enumerate(slices) for k in range(shards) if quotas[k, i]]
+    return spark.createDataFrame(runs, "source string, shard_no int, first long, last long").select("source", F.explode(F.sequence("first", "last")).alias("slice"), "shard_no")
 
 
 def _edge_texts(blocked: DataFrame, edges: list[tuple[str, int]], missing: dict[str, int], seed: int) -> DataFrame:
@@ -159,3 +168,14 @@ def reached_shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:
             F.round(F.coalesce("n_tokens", F.lit(0)) / F.col("all_tokens"), 6).alias("share_reached"),
         )
     )
+
+
+def shard_shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:
+    """Tokens and reached share of each source in each shard, also of sources a shard has nothing of."""
+    got = mixed.groupBy("shard_no", "source").agg(F.sum("n_tokens").alias("n_tokens"), F.count("*").alias("n_texts"))
+    whole = got.groupBy("shard_no").agg(F.sum("n_tokens").alias("shard_tokens"))
+    wanted = targets.filter("source IS NOT NULL AND target_share > 0").groupBy("source").agg(F.sum("target_share").alias("target_share"))
+    n_tokens = F.coalesce("n_tokens", F.lit(0))
+    return whole.crossJoin(wanted).join(got, ["shard_no", "source"], "left").select(
+        "shard_no", "source", "target_share", n_tokens.alias("n_tokens"), F.coalesce("n_texts", F.lit(0)).alias("n_texts"), F.round(n_tokens / F.col("shard_tokens"), 6).alias("share_reached")
+    )

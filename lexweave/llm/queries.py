@@ -72,6 +72,11 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.reached_shares(_mixed(spark, sf_dir), table(spark, sf_dir, "source_targets"))
 
 
+def p8_shard_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and reached share of each source in each shard."""
+    return mixing.shard_shares(_mixed(spark, sf_dir), table(spark, sf_dir, "source_targets"))
+
+
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prose.line_labels(heavy_table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "common_words"))
 
@@ -93,7 +98,7 @@ def p9_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prose.text_statistics(heavy_table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "common_words"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_how, p3_unmatched, p4_found, p4_forms, p7_containers, p7_report, p8_mix, p8_shares, p9_found, p9_shares, p9_statistics)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_how, p3_unmatched, p4_found, p4_forms, p7_containers, p7_report, p8_mix, p8_shares, p8_shard_shares, p9_found, p9_shares, p9_statistics)}
 
 SQL: dict[str, str] = {
     "p9_statistics": """

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from lexweave.llm import mixing as M
 from tests.conftest import rows
@@ -52,3 +53,13 @@ def test_ties_and_empty(spark):
     assert len(got.collect()) == 100
     assert rows(mixed(spark, [], [("a", 1.0, 1)])[0]) == []
     assert rows(mixed(spark, [("a", 5)], [])[0]) == []
+
+
+def test_every_shard_has_the_target_weights(spark):
+    docs = [("big", 10)] * 15000 + [("small", 10)] * 5000
+    got, goals = mixed(spark, docs, [("big", 0.75, 1), ("small", 0.25, 1)], shard_tokens=2000)
+    shares = M.shard_shares(got, goals).filter("source = 'small'").collect()
+    assert sorted(r["shard_no"] for r in shares) == list(range(100))
+    assert all(0.08 < r["share_reached"] < 0.45 for r in shares) and sum(r["n_texts"] for r in shares) == 5000
+    sizes = [r["n"] for r in got.groupBy("shard_no").agg(F.sum("n_tokens").alias("n")).collect()]
+    assert min(sizes) > 1300 and max(sizes) < 2700
