@@ -222,9 +222,9 @@ def stream_toggle_parity(spark, sf_dir):
 
 
 def stream_bounded_lists(spark, sf_dir):
-    """The same lists from a stream with state per user."""
+    """The same lists from a stream with state per user, of files that arrive in order of time."""
     s = keyed.file_stream(spark, f"{sf_dir}/events.parquet").withColumn("item", F.get_json_object("props", "$.k")).withColumn("closed", F.col("event_type") == "error")
-    return keyed.run_available(keyed.bounded_lists(s, "user_id", "item", "ts", "closed"), "append").select(F.col("owner").alias("user_id"), "place", "item", "last_at")
+    return keyed.last_lists(keyed.bounded_lists(s, "user_id", "item", "ts", "closed")).select(F.col("owner").alias("user_id"), "place", "item", "last_at")
 
 
 def extra_rollup(spark, sf_dir):

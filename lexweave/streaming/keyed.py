@@ -2,7 +2,7 @@
 
 ``run_available`` drives a stream over everything that has arrived and gives the
 final state as a batch DataFrame; each micro-batch's state is written to the
-shared folder, the last one holds.
+shared folder, the last one holds – of lists, the last one of each owner.
 """
 
 from __future__ import annotations
@@ -42,9 +42,13 @@ def windowed_counts(stream: DataFrame, at: str, by: str, length: str = "1 hour",
 
 
 def bounded_lists(stream: DataFrame, owner: str, item: str, at: str, closed: str, size: int = 8) -> DataFrame:
-    """The bounded recency list of each owner, one row a listed item after every batch that touches the owner.
+    """The bounded recency list of each owner after every batch that touches the owner, one row a listed item.
 
-    The state is the list itself, at most ``size`` entries.
+    The state is the list itself, at most ``size`` entries.  An emptied list is
+    one row with null ``place`` and ``item``, so that it replaces the one before;
+    ``last_lists`` keeps the last list of each owner.  Events without an owner
+    or a time are left out; those of an owner count in order of time within a
+    batch, so files are to arrive in that order.
     """
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -65,16 +69,28 @@ def bounded_lists(stream: DataFrame, owner: str, item: str, at: str, closed: str
                 items.append(name)
                 times.append(stamp)
         state.update((items, times))
+        if not items:
+            yield pd.DataFrame({"owner": [key[0]], "place": [None], "item": [None], "last_at": [pd.NaT]})
+            return
         yield pd.DataFrame({"owner": key[0], "place": range(len(items)), "item": items, "last_at": [pd.Timestamp(t * 1000) for t in times]})
 
-    moves = stream.select(F.col(owner).alias("owner"), F.col(item).cast("string").alias("item"), F.col(at).alias("at"), F.col(closed).alias("closed"), F.col("event_id").alias("tie"))
+    moves = stream.select(F.col(owner).alias("owner"), F.col(item).cast("string").alias("item"), F.col(at).alias("at"), F.coalesce(F.col(closed), F.lit(False)).alias("closed"), F.col("event_id").alias("tie"))
+    moves = moves.filter("owner IS NOT NULL AND at IS NOT NULL")
     return moves.groupBy("owner").applyInPandasWithState(
         fold, "owner long, place int, item string, last_at timestamp", "items array<string>, times array<long>", "append", GroupStateTimeout.NoTimeout
     )
 
 
-def run_available(stream: DataFrame, mode: str = "complete") -> DataFrame:
-    """The result of a stream over all that has arrived, as a batch: the last state, or every appended row."""
+def last_lists(lists: DataFrame) -> DataFrame:
+    """The lists of ``bounded_lists`` after all that has arrived, as a batch: of each owner those of its last micro-batch."""
+    return run_available(lists, "append", "owner").filter("place IS NOT NULL")
+
+
+def run_available(stream: DataFrame, mode: str = "complete", last_of: str | None = None) -> DataFrame:
+    """The result of a stream over all that has arrived, as a batch: the last state, or every appended row.
+
+    Of appended rows, ``last_of`` names the key of which only the rows of its last micro-batch hold.
+    """
     spark = stream.sparkSession
     base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
@@ -85,6 +101,9 @@ def run_available(stream: DataFrame, mode: str = "complete") -> DataFrame:
     query.awaitTermination()
     schema = StructType([*stream.schema.fields, StructField("epoch", IntegerType())])
     out = spark.read.schema(schema).option("basePath", f"{base}/out").parquet(f"{base}/out")
+    if last_of:
+        newest = out.groupBy(last_of).agg(F.max("epoch").alias("epoch"))
+        return out.join(newest, [last_of, "epoch"]).select(*stream.columns)
     if mode == "append":
         return out.drop("epoch")
     last = out.agg(F.max("epoch").alias("m"))

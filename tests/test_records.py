@@ -173,6 +173,19 @@ def test_streams_equal_batches(spark, tmp_path):
     assert rows(lists, "owner", "place", "item") == rows(K.bounded_lists(batch, "owner", "item", "ts", F.col("closed"), "event_id"), "owner", "place", "item")
 
 
+def test_bounded_lists_of_several_files(spark, tmp_path):
+    from lexweave.queries import records
+
+    events = [(i, at, owner, "view", 1.0, f'{{"k":"{item}"}}') for i, at, owner, item, closed in moves(300, 4) if not closed]
+    # owner 7 is listed in the first file and emptied in the last, owner 8 only ever in the first
+    events = [(1000, T0, 7, "view", 1.0, '{"k":"a"}'), (1001, T0, 8, "view", 1.0, '{"k":"b"}'), *events, (2000, T0 + timedelta(days=1), 7, "error", 1.0, '{"k":"a"}')]
+    for k in range(0, len(events), 90):
+        spark.createDataFrame(events[k : k + 90], "event_id long, ts timestamp, user_id long, event_type string, value double, props string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/events.parquet")
+    got = rows(records.QUERIES["stream_bounded_lists"](spark, str(tmp_path)))
+    assert got == rows(records.QUERIES["lru8_with_closes"](spark, str(tmp_path)))
+    assert {r[0] for r in got} == {0, 1, 2, 8}
+
+
 def test_keyed_state(spark):
     df = spark.createDataFrame([("k", "a", 1), ("k", None, 2), ("m", " ", 3), ("n", "b", 4), ("n", "c", 4)], "k string, v string, o int")
     last = K.latest(df, ["k"], "v", ["o", "v"])
