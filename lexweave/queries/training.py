@@ -73,9 +73,9 @@ def p1_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_profile_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows, blanks, exact distincts, ranges and violations per field and load, for every answer id that occurs."""
+    """Rows, blanks, exact distincts, ranges as text and as numbers, and violations per field and load, for every answer id that occurs."""
     out = _split_name(P.profile(_counts(spark, sf_dir, P.value_counts, P.map_value_counts)))
-    return out.select("table_name", "field_name", "load_no", "n_rows", "n_blank", "n_distinct", "min_value", "max_value", "n_violations", "top_count")
+    return out.select("table_name", "field_name", "load_no", "n_rows", "n_blank", "n_distinct", "min_value", "max_value", "min_number", "max_number", "n_violations", "top_count")
 
 
 def p1_drift_all(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -281,3 +281,4 @@ def _with_all_answers(sql: str) -> str:
 
 
 SQL |= {f"{name}_all": _with_all_answers(SQL[name]) for name in ("p1_profile", "p1_drift")}
+SQL["p1_profile_all"] = SQL["p1_profile_all"].replace("AS max_value,", "AS max_value, min(TRY_CAST(value AS DOUBLE)) FILTER (cls <> 'blank') AS min_number, max(TRY_CAST(value AS DOUBLE)) FILTER (cls <> 'blank') AS max_number,")

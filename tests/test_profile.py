@@ -94,3 +94,13 @@ def test_answers_beyond_the_declared_ten(spark, tmp_path):
     spark.createDataFrame([], "load_no int, mandatory boolean").write.parquet(f"{tmp_path}/roi_columns.parquet")
     got = {r["field_name"]: r for r in training.QUERIES["p1_profile_all"](spark, str(tmp_path)).collect()}
     assert len(got) == 11 and (got["answers.s99.1"]["n_rows"], got["answers.s99.1"]["n_blank"]) == (2, 1)
+
+
+def test_numeric_range_beside_the_text_range(spark, tmp_path):
+    from lexweave.queries import training
+
+    spark.createDataFrame([(1, {"s7.2": t}) for t in ("1584", "10001", "9999.50", "volgt")], "load_no int, answers map<string,string>").write.parquet(f"{tmp_path}/arrangements.parquet")
+    spark.createDataFrame([], "load_no int, provider_code string").write.parquet(f"{tmp_path}/chain_rows.parquet")
+    spark.createDataFrame([], "load_no int, mandatory boolean").write.parquet(f"{tmp_path}/roi_columns.parquet")
+    got = training.QUERIES["p1_profile_all"](spark, str(tmp_path)).filter("field_name = 'answers.s7.2'").first()
+    assert (got["min_value"], got["max_value"], got["min_number"], got["max_number"]) == ("10001", "volgt", 1584.0, 10001.0)
