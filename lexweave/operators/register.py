@@ -192,6 +192,19 @@ def template_lines(fields: DataFrame, template: str, key: str = "arr_row") -> Da
     )
 
 
+def lines_of_templates(fields: DataFrame, key: str = "arr_row") -> DataFrame:
+    """Every template as in ``template_lines``, with its code."""
+    cells = fields.groupBy("template_code", key).agg(F.array_sort(F.collect_list(F.struct("code", "label", "value"))).alias("x"))
+    line = lambda name: F.array_join(F.transform("x", lambda c: csv_cell(c[name])), ",").alias("line")
+    head = cells.groupBy("template_code").agg(F.min_by("x", key).alias("x"))
+    none = F.lit(None).cast("long").alias(key)
+    return (
+        head.select("template_code", F.lit(1).alias("part"), none, line("code"))
+        .unionByName(head.select("template_code", F.lit(2).alias("part"), none, line("label")))
+        .unionByName(cells.select("template_code", F.lit(3).alias("part"), F.col(key).cast("long").alias(key), line("value")))
+    )
+
+
 def chain_lines(records: DataFrame, key: str = "arr_row", contract: str = "s1.1") -> DataFrame:
     """The supply-chain template: one line a link, the code type one of two."""
     rows = records.select(key, F.coalesce(F.col("answers")[contract], F.lit("")).alias("contract_ref"), F.posexplode("chain").alias("pos", "c")).filter("c IS NOT NULL")
@@ -224,9 +237,9 @@ def request_documents(requests: DataFrame, records: DataFrame, key: str = "arr_r
     return own.select(key, F.concat(head, table).alias("markdown"), F.array_join(F.concat(F.array(F.lit("Veld,Omschrijving,Instructie,Verplicht,Waarde")), lines), "\r\n").alias("csv"))
 
 
-def csv_file(lines: DataFrame, order: list[str]) -> DataFrame:
-    """One file's text: the lines joined by carriage return and line feed, none at the end."""
-    return lines.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, "line"))), lambda x: x["line"]), "\r\n").alias("csv"))
+def csv_file(lines: DataFrame, order: list[str], by: list[str] | None = None) -> DataFrame:
+    """One file's text (one a group ``by``): the lines joined by carriage return and line feed, none at the end."""
+    return lines.groupBy(*(by or [])).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, "line"))), lambda x: x["line"]), "\r\n").alias("csv"))
 
 
 def write_lines(lines: DataFrame, path: str, order: list[str]) -> None:

@@ -120,23 +120,36 @@ def request_documents(spark, sf_dir):
 
 
 def template_export(spark, sf_dir):
-    """One template as CSV lines."""
+    """One template as CSV lines; ``template_export_all`` has all."""
     return G.template_lines(_fields(spark, sf_dir), "B_21.01")
 
 
+def template_export_all(spark, sf_dir):
+    """Every template as CSV lines."""
+    return G.lines_of_templates(_fields(spark, sf_dir))
+
+
 def chain_explode_rank(spark, sf_dir):
     """The supply-chain template's lines."""
     return G.chain_lines(_arrangements(spark, sf_dir))
 
 
 def csv_document(spark, sf_dir):
-    """The list of columns of one template as one CSV file."""
+    """The list of columns of one template as one CSV file; ``csv_document_all`` has all."""
     from lexweave.functions.text import csv_line
 
     rows = _schema(spark, sf_dir).filter("template_code = 'B_21.01'").select("code", csv_line(F.col("code"), F.col("label"), F.col("mandatory_raw")).alias("line"))
     return G.csv_file(rows, ["code"])
 
 
+def csv_document_all(spark, sf_dir):
+    """The list of columns of each template as one CSV file."""
+    from lexweave.functions.text import csv_line
+
+    rows = _schema(spark, sf_dir).select("template_code", "code", csv_line(F.col("code"), F.col("label"), F.col("mandatory_raw")).alias("line"))
+    return G.csv_file(rows, ["code"], ["template_code"])
+
+
 def closed_list_prefix(spark, sf_dir):
     """Bare numbers among free entries with the official text they begin."""
     entries = table(spark, sf_dir, "arrangements").select("arr_row", F.explode("manual").alias("code", "entry")).filter("entry rlike '^[0-9]{1,2}$'")
@@ -258,7 +271,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         rule_visibility, rule_obligations, rule_obligation_groups, rule_progress, rule_first_incomplete, rule_labels, rule_split, regime_ladder, timeline, register_schema, field_priority_resolve, field_validate, completeness,
-        supplier_request, request_documents, template_export, chain_explode_rank, csv_document, closed_list_prefix, lei_mod97, state_export, versioned_state, latest_per_key, latest_without_blank, alive_keys, toggle_parity, bulk_reset, lru8_recent,
+        supplier_request, request_documents, template_export, template_export_all, chain_explode_rank, csv_document, csv_document_all, closed_list_prefix, lei_mod97, state_export, versioned_state, latest_per_key, latest_without_blank, alive_keys, toggle_parity, bulk_reset, lru8_recent,
         lru8_with_closes, merge_import, stream_latest_per_key, stream_toggle_parity, stream_bounded_lists, extra_rollup, extra_cube, extra_full_outer, extra_intersect, extra_window,
     )
 }
@@ -336,3 +349,6 @@ SELECT arr_row, CAST(pos AS INTEGER) AS pos, {_CSV.format(c='ref')} || ',' || {_
     "extra_intersect": "SELECT c_nationkey AS nation FROM customer INTERSECT SELECT s_nationkey FROM supplier",
     "extra_window": "SELECT time_bucket(INTERVAL 1 hour, ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL",
 }
+SQL["template_export_all"] = _FIELDS + f""", h AS (SELECT DISTINCT template_code, code, label FROM fields)
+SELECT template_code, 1 AS part, CAST(NULL AS BIGINT) AS arr_row, string_agg({_CSV.format(c="code")}, ',' ORDER BY code) AS line FROM h GROUP BY template_code UNION ALL SELECT template_code, 2, NULL, string_agg({_CSV.format(c="label")}, ',' ORDER BY code) FROM h GROUP BY template_code UNION ALL SELECT template_code, 3, arr_row, string_agg({_CSV.format(c="value")}, ',' ORDER BY code) FROM fields GROUP BY template_code, arr_row"""
+SQL["csv_document_all"] = f"WITH {_COLS} SELECT template_code, string_agg({_CSV.format(c='code')} || ',' || {_CSV.format(c='label')} || ',' || {_CSV.format(c='mandatory_raw')}, chr(13) || chr(10) ORDER BY code) AS csv FROM c GROUP BY template_code"

@@ -271,3 +271,10 @@ def test_derived_templates_and_ladders(spark):
     df = spark.createDataFrame([(1, {"q1": "ja"}), (2, {"q1": "nee"}), (3, {"q1": "ja", "q2": "ja"})], "id long, answers map<string,string>")
     out = R.ladder(R.evaluated(df, MODULES), [({"flag": "g"}, "both"), ({"all": [{"flag": "f"}, {"not": {"flag": "g"}}]}, "first")], "none")
     assert rows(out, "id", "outcome") == [(1, "first"), (2, "none"), (3, "both")]
+
+
+def test_all_templates_are_exported(spark):
+    fields = spark.createDataFrame([(1, "T2", "b", "B", "x"), (1, "T1", "a", "A", "y;"), (2, "T1", "a", "A", "")], "arr_row long, template_code string, code string, label string, value string")
+    assert rows(G.lines_of_templates(fields), "template_code", "part", "arr_row", "line") == [("T1", 1, None, "a"), ("T1", 2, None, "A"), ("T1", 3, 1, '"y;"'), ("T1", 3, 2, ""), ("T2", 1, None, "b"), ("T2", 2, None, "B"), ("T2", 3, 1, "x")]
+    lines = spark.createDataFrame([("T1", "a", "1"), ("T1", "b", "2"), ("T2", "c", "3")], "template_code string, code string, line string")
+    assert rows(G.csv_file(lines, ["code"], ["template_code"])) == [("T1", "1\r\n2"), ("T2", "3")]
