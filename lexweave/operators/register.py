@@ -109,9 +109,12 @@ def _schema_array(columns: DataFrame) -> Column:
 
 
 def list_map(closed_lists: DataFrame) -> Column:
-    """Column code to official texts in order, as a literal."""
+    """Column code to official texts in order, as a literal; the lists together are checked to be small."""
+    rows = closed_lists.select("column_code", "item_no", "official_text").orderBy("column_code", "item_no").limit(MAX_COLUMNS + 1).collect()
+    if len(rows) > MAX_COLUMNS:
+        raise ValueError(f"closed lists of more than {MAX_COLUMNS} items")
     lists: dict[str, list[str]] = {}
-    for r in closed_lists.select("column_code", "item_no", "official_text").orderBy("column_code", "item_no").limit(MAX_COLUMNS).collect():
+    for r in rows:
         lists.setdefault(r["column_code"], []).append(r["official_text"])
     parts = [x for code, texts in lists.items() for x in (F.lit(code), F.array(*map(F.lit, texts)))]
     return F.create_map(*parts) if parts else F.create_map().cast("map<string,array<string>>")

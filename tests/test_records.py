@@ -278,3 +278,9 @@ def test_all_templates_are_exported(spark):
     assert rows(G.lines_of_templates(fields), "template_code", "part", "arr_row", "line") == [("T1", 1, None, "a"), ("T1", 2, None, "A"), ("T1", 3, 1, '"y;"'), ("T1", 3, 2, ""), ("T2", 1, None, "b"), ("T2", 2, None, "B"), ("T2", 3, 1, "x")]
     lines = spark.createDataFrame([("T1", "a", "1"), ("T1", "b", "2"), ("T2", "c", "3")], "template_code string, code string, line string")
     assert rows(G.csv_file(lines, ["code"], ["template_code"])) == [("T1", "1\r\n2"), ("T2", "3")]
+
+
+def test_closed_lists_beyond_the_bound_are_an_error(spark):
+    lists = spark.range(G.MAX_COLUMNS + 1).select(F.lit("c").alias("column_code"), F.col("id").alias("item_no"), F.lit("1. x").alias("official_text"))
+    with pytest.raises(ValueError, match="closed lists"):
+        G.list_map(lists)
