@@ -52,10 +52,10 @@ def target_href(target: Column, route_prefix: Column) -> Column:
 def split_route(paths: DataFrame, acts: DataFrame, path: str, main: str) -> DataFrame:
     """The act of a path by the longest prefix that ends at a slash, and the rest of the path.
 
-    Each path meets its own prefixes, one to three steps long, in an equi-join.
+    Each path meets all its own prefixes in an equi-join.
     """
     steps = F.split(F.ltrim(F.col(path), F.lit("/")), "/")
-    prefixes = F.transform(F.sequence(F.lit(1), F.least(F.size(steps), F.lit(3))), lambda n: F.concat(F.lit("/"), F.array_join(F.slice(steps, F.lit(1), n), "/")))
+    prefixes = F.transform(F.sequence(F.lit(1), F.size(steps)), lambda n: F.concat(F.lit("/"), F.array_join(F.slice(steps, F.lit(1), n), "/")))
     found = (
         paths.select(path).distinct().select(path, F.explode(prefixes).alias("route_prefix")).join(acts.filter("route_prefix <> ''").select("act", "route_prefix"), "route_prefix")
         .groupBy(path).agg(F.max_by(F.struct("act", "route_prefix"), F.length("route_prefix")).alias("hit"))

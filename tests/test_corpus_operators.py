@@ -193,3 +193,11 @@ def test_manifest_and_dependencies(spark, tmp_path):
     steps = spark.createDataFrame([("s1", "f1"), ("s2", "f2")], "step_id string, fase string")
     needs = spark.createDataFrame([("s2", "s1"), ("s1", "s9")], "step_id string, needs string")
     assert rows(M.placed_dependencies(steps, needs), "step_id", "needed_in", "elsewhere") == [("s1", None, True), ("s2", "f1", True)]
+
+
+def test_split_route_with_prefixes_of_many_steps(spark):
+    from lexweave.operators import maps
+
+    acts = spark.createDataFrame([("short", "/a"), ("long", "/a/b/c/d")], "act string, route_prefix string")
+    paths = spark.createDataFrame([("/a/b/c/d/artikel/1",), ("/a/b/c/x",), ("/z/b/c/d/e",)], "path string")
+    assert rows(maps.split_route(paths, acts, "path", "main")) == [("/a/b/c/d/artikel/1", "long", "/artikel/1"), ("/a/b/c/x", "short", "/b/c/x"), ("/z/b/c/d/e", "main", "/z/b/c/d/e")]
