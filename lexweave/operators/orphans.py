@@ -18,7 +18,7 @@ empty tables give no rows; extra columns are never read.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexweave.functions.codes import WHITESPACE
@@ -68,13 +68,28 @@ def lives(index: DataFrame, parent_table: str = "anchor_index") -> DataFrame:
     )
 
 
+def disjoint(parents: DataFrame) -> DataFrame:
+    """Lives of each key that overlap or meet merged into one; an open life has no end.
+
+    Lives of one start combine before the sort, which streams by and can spill.
+    """
+    key = ["parent_table", "parent_key"]
+    ends = F.struct(F.col("lived_to").isNull().alias("open"), "lived_to")
+    starts = parents.groupBy(*key, "lived_from").agg(F.max(ends).alias("end"))
+    in_order = Window.partitionBy(*key).orderBy("lived_from")
+    before = F.max("end").over(in_order.rowsBetween(Window.unboundedPreceding, -1))
+    begun = starts.withColumn("before", before).withColumn("begins", F.coalesce(~F.col("before.open") & (F.col("lived_from") > F.col("before.lived_to")), F.lit(True)))
+    runs = begun.withColumn("run", F.sum(F.col("begins").cast("long")).over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
+    return runs.groupBy(*key, "run").agg(F.min("lived_from").alias("lived_from"), F.max("end").alias("end")).select(*key, "lived_from", F.col("end.lived_to").alias("lived_to"))
+
+
 def key_groups(children: DataFrame, parents: DataFrame, parent_table: str = "anchor_index") -> DataFrame:
     """Parents and children in long form, grouped by parent table and key.
 
-    ``has_parent`` is the parent flag, ``lives`` the distinct lives of the key
-    (as many as the target was re-entered, not as it is cited).
+    ``has_parent`` is the parent flag, ``lives`` the disjoint lives of the key
+    (as many as the target was gone and entered again).
     """
-    long_parents = parents.select("parent_table", "parent_key", F.lit(True).alias("is_parent"), F.struct("lived_from", "lived_to").alias("life"), F.lit(0).alias("cites"))
+    long_parents = disjoint(parents).select("parent_table", "parent_key", F.lit(True).alias("is_parent"), F.struct("lived_from", "lived_to").alias("life"), F.lit(0).alias("cites"))
     long_children = children.select(
         F.lit(parent_table).alias("parent_table"), "parent_key", F.lit(False).alias("is_parent"), F.lit(None).cast(long_parents.schema["life"].dataType).alias("life"), F.lit(1).alias("cites")
     )

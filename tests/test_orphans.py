@@ -59,3 +59,21 @@ def test_counts_and_empty_tables(spark):
 def test_malformed_escape_stays(spark):
     df = spark.createDataFrame([("/a%zz+b",), ("/a%2Bb%20c",)], "h string").select(O.href_key(F.col("h")).alias("k"))
     assert [r["k"] for r in df.collect()] == ["/a%zz+b#", "/a+b c#"]
+
+
+def test_overlapping_lives_of_a_key_are_merged(spark):
+    from datetime import timedelta
+    import random
+
+    rnd = random.Random(5)
+    lives = [(h, h + rnd.randrange(-1, 3)) for h in (rnd.randrange(60) for _ in range(40))] + [(80 + h, 82 + h) for h in range(50)] + [(200, None), (210, 211)]
+    at = lambda h: None if h is None else day(1) + timedelta(hours=h)
+    index = [(i, "/x", "artikel", "1", None, at(a), at(b)) for i, (a, b) in enumerate(lives)]
+    refs = [(h, ["/x/artikel/1"], at(h)) for h in range(220)]
+    gone = {h for h in range(220) if not any(a <= h and (b is None or h < b) for a, b in lives)}
+    assert {r["record_id"] for r in found(spark, refs, index).collect()} == gone and 0 < len(gone) < 220
+    parents = O.lives(spark.createDataFrame(index, INDEX))
+    kids = spark.createDataFrame([("/x/artikel/1#",)], "parent_key string")
+    kept = sorted(((x["lived_from"], x["lived_to"]) for x in O.key_groups(kids, parents).first()["lives"]), key=lambda x: x[0])
+    assert len(kept) < 42 and all(b is not None and max(a, b) < c for (a, b), (c, _) in zip(kept, kept[1:]))
+    assert (at(80), at(131)) in kept and kept[-1] == (at(200), None)
