@@ -1,18 +1,22 @@
 """References to records that do not exist at the time of citing (problem 5).
 
-Parents (lives of targets) and children (citations) are put into one long form
-and grouped by parent table and key; the group says whether the key was ever a
-target, and its lives as disjoint intervals.  Citations then meet their group
-again on the key and stay when no life covers the citing time.
+A citation needs its page and, where it has a fragment, also its anchor: one
+child key for each.  Parents (lives of targets) and children (needed keys) are
+put into one long form and grouped by parent table and key; the group says
+whether the key was ever a target, and its lives as disjoint intervals.  Child
+keys then meet their group again and stay when no life covers the citing time;
+a citation with any such key is an orphan.
 
 Skew: the grouping combines on the map side, so a key holding a third of all
 citations is a handful of partial rows; the second meeting is a plain equi-join
 whose large side needs no further exchange, which lets adaptive execution split
-a skewed key over many tasks.
+a skewed key over many tasks.  Only keys without a life are brought together by
+citation, of which no two rows share more than a handful.
 
 Defined results: null refs, null elements and null hrefs are no reference; a
 citation without a time cannot be judged and is left out; a blank href is a
-reference to nothing and is reported; repeated hrefs of one row count once;
+reference to nothing and is reported; an empty fragment is the page itself;
+repeated hrefs of one row count once, repeated rows as often as they stand;
 empty tables give no rows; extra columns are never read.
 """
 
@@ -48,13 +52,20 @@ def target_key(prefix: Column, kind: Column, number: Column, anchor: Column) ->
     return F.concat(page_key(path), F.lit("#"), F.lower(F.coalesce(anchor, F.lit(""))))
 
 
+def needed_keys(href: Column) -> Column:
+    """The keys that must live for an href to hold: its page's, and its anchor's where it has a fragment."""
+    key = href_key(href)
+    page = F.concat(F.substring_index(key, "#", 1), F.lit("#"))
+    return F.array_distinct(F.array(page, key))
+
+
 def citations(df: DataFrame, child_table: str, record_id: str, hrefs: Column, at: str) -> DataFrame:
-    """``table_name, record_id, href, cited_at, parent_key``: distinct hrefs of each row, with no shuffle."""
+    """``table_name, record_id, cited_at, href, parent_key``: every key the distinct hrefs of each row need, with no shuffle."""
     return (
         df.filter(F.col(at).isNotNull())
         .select(F.lit(child_table).alias("table_name"), F.col(record_id).alias("record_id"), F.col(at).alias("cited_at"), F.explode(F.array_distinct(hrefs)).alias("href"))
         .filter(F.col("href").isNotNull())
-        .withColumn("parent_key", href_key(F.col("href")))
+        .select("*", F.explode(needed_keys(F.col("href"))).alias("parent_key"))
     )
 
 
@@ -102,14 +113,20 @@ def key_groups(children: DataFrame, parents: DataFrame, parent_table: str = "anc
 
 
 def orphans(children: DataFrame, parents: DataFrame, parent_table: str = "anchor_index") -> DataFrame:
-    """Citations none of whose key's lives covers the citing time, with the month of citing."""
+    """Citations of which a needed key has no life at the citing time, with the month of citing.
+
+    ``known_once``: every key it needs was a target at some time.
+    """
     groups = key_groups(children, parents, parent_table).select("parent_key", "has_parent", "lives")
     alive = F.exists("lives", lambda x: (x["lived_from"] <= F.col("cited_at")) & (x["lived_to"].isNull() | (F.col("cited_at") < x["lived_to"])))
-    return (
-        children.join(groups, "parent_key", "left")
-        .filter(~F.coalesce(F.col("has_parent") & alive, F.lit(False)))
-        .select("table_name", "record_id", "href", F.date_format("cited_at", "yyyy-MM").alias("period"), F.coalesce("has_parent", F.lit(False)).alias("known_once"))
+    dead = children.join(groups, "parent_key", "left").filter(~F.coalesce(F.col("has_parent") & alive, F.lit(False)))
+    is_page = F.instr("parent_key", "#") == F.length("parent_key")
+    per_citation = dead.groupBy("table_name", "record_id", "href", "cited_at").agg(
+        F.min(F.coalesce("has_parent", F.lit(False))).alias("known_once"), F.count_if(is_page).alias("pages"), F.count_if(~is_page).alias("anchors")
     )
+    # copies of a row have the same keys without a life, so either count is the number of copies
+    copies = F.explode(F.sequence(F.lit(1), F.greatest("pages", "anchors").cast("int")))
+    return per_citation.select("table_name", "record_id", "href", F.date_format("cited_at", "yyyy-MM").alias("period"), "known_once", copies.alias("copy")).drop("copy")
 
 
 def orphan_counts(found: DataFrame) -> DataFrame:

@@ -209,8 +209,11 @@ WITH c AS (
 k AS (SELECT table_name, record_id, cited_at, href, trim(href, E' \\t\\r\\n') AS h FROM c WHERE href IS NOT NULL AND cited_at IS NOT NULL),
 p AS (SELECT *, regexp_replace(lower(url_decode(regexp_extract(h, '^([^#?]*)', 1))), '/+$', '') || '#' || lower(url_decode(regexp_extract(h, '^[^#]*#(.*)$', 1))) AS parent_key FROM k),
 i AS (SELECT regexp_replace(lower(url_decode(trim(route_prefix) || '/' || target_kind || '/' || target_no)), '/+$', '') || '#' || lower(coalesce(anchor, '')) AS parent_key, indexed_at, deleted_at FROM anchor_index),
-o AS (SELECT table_name, record_id, href, strftime(cited_at, '%Y-%m') AS period, EXISTS (SELECT 1 FROM i WHERE i.parent_key = p.parent_key) AS known_once FROM p
-  WHERE NOT EXISTS (SELECT 1 FROM i WHERE i.parent_key = p.parent_key AND i.indexed_at <= p.cited_at AND (i.deleted_at IS NULL OR p.cited_at < i.deleted_at)))
+n AS (SELECT *, split_part(parent_key, '#', 1) || '#' AS page_key FROM p),
+o AS (SELECT table_name, record_id, href, strftime(cited_at, '%Y-%m') AS period,
+    EXISTS (SELECT 1 FROM i WHERE i.parent_key = n.page_key) AND EXISTS (SELECT 1 FROM i WHERE i.parent_key = n.parent_key) AS known_once FROM n
+  WHERE NOT EXISTS (SELECT 1 FROM i WHERE i.parent_key = n.page_key AND i.indexed_at <= n.cited_at AND (i.deleted_at IS NULL OR n.cited_at < i.deleted_at))
+    OR NOT EXISTS (SELECT 1 FROM i WHERE i.parent_key = n.parent_key AND i.indexed_at <= n.cited_at AND (i.deleted_at IS NULL OR n.cited_at < i.deleted_at)))
 """
 
 _SQL_TREE = """

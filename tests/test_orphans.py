@@ -77,3 +77,27 @@ def test_overlapping_lives_of_a_key_are_merged(spark):
     kept = sorted(((x["lived_from"], x["lived_to"]) for x in O.key_groups(kids, parents).first()["lives"]), key=lambda x: x[0])
     assert len(kept) < 42 and all(b is not None and max(a, b) < c for (a, b), (c, _) in zip(kept, kept[1:]))
     assert (at(80), at(131)) in kept and kept[-1] == (at(200), None)
+
+
+def test_a_living_anchor_on_a_dead_page_is_an_orphan(spark):
+    index = [
+        (1, "/p", "artikel", "1", None, day(3), day(6)),
+        (2, "/p", "artikel", "1", "lid-1", day(1), None),
+        (3, "/p", "artikel", "2", "lid-1", day(1), None),
+    ]
+    refs = [
+        (1, ["/p/artikel/1#lid-1"], day(2)),  # the page comes later
+        (2, ["/p/artikel/1#lid-1", "/p/artikel/1#lid-9"], day(4)),  # page and anchor live; the other anchor never did
+        (3, ["/p/artikel/1#lid-1", "/p/artikel/1"], day(6)),  # the page is gone
+        (4, ["/p/artikel/2#lid-1"], day(4)),  # the page was never a target
+        (5, ["/p/artikel/3#lid-1"], day(4)),  # neither was
+        (5, ["/p/artikel/3#lid-1"], day(4)),
+    ]
+    got = rows(found(spark, refs, index), "record_id", "href", "known_once")
+    assert got == sorted(
+        [
+            (1, "/p/artikel/1#lid-1", True), (2, "/p/artikel/1#lid-9", False), (3, "/p/artikel/1", True), (3, "/p/artikel/1#lid-1", True),
+            (4, "/p/artikel/2#lid-1", False), (5, "/p/artikel/3#lid-1", False), (5, "/p/artikel/3#lid-1", False),
+        ],
+        key=repr,
+    )
