@@ -63,3 +63,46 @@ def test_every_shard_has_the_target_weights(spark):
     assert all(0.08 < r["share_reached"] < 0.45 for r in shares) and sum(r["n_texts"] for r in shares) == 5000
     sizes = [r["n"] for r in got.groupBy("shard_no").agg(F.sum("n_tokens").alias("n")).collect()]
     assert min(sizes) > 1300 and max(sizes) < 2700
+
+
+def test_very_many_slices_are_drawn_in_strata():
+    rng = np.random.default_rng(2)
+    left = np.array([5000, 3000, 1, 0, 1999])
+    for take in (0, 1, 4999, 10_000):
+        part = M.draw(left, take, rng, most=700)
+        assert part.sum() == take and (part >= 0).all() and (part <= left).all()
+    mean = sum(M.draw(left, 5000, rng, most=700) for _ in range(200)) / 200
+    assert abs(mean[0] - 2500) < 15 and abs(mean[1] - 1500) < 15
+
+
+def test_runs_use_every_slice_once_however_the_tree_is_cut(spark):
+    slices = {"a": 900, "b": 333, "c": 1}
+    for top in (1, 3, 1024):
+        runs = M.slice_runs(spark, slices, 41, 5, top).collect()
+        for name, n in slices.items():
+            own = sorted((r["first"], r["last"]) for r in runs if r["source"] == name)
+            assert [i for a, b in own for i in range(a, b + 1)] == list(range(n))
+        assert {r["shard_no"] for r in runs} == set(range(41))
+
+
+def test_many_shards_none_empty_each_mixed(spark):
+    """1 500 shards of eight equal sources, 160 texts each: every shard holds every source, its share within six standard deviations (0.028)."""
+    n = 240_000
+    sizes = spark.range(n).select(F.col("id").alias("row_key"), F.col("id").alias("doc_id"), F.concat(F.lit("s"), F.col("id") % 8).alias("source"), (20 + F.col("id") % 61).alias("n_tokens"))
+    goals = spark.createDataFrame([(f"s{i}", 0.125, 1) for i in range(8)], "source string, target_share double, max_repeats int")
+    total = sizes.agg(F.sum("n_tokens")).first()[0]
+    got = M.mix(sizes, goals, shard_tokens=total // 1500)
+    shares = M.shard_shares(got, goals).collect()
+    assert len({r["shard_no"] for r in shares}) == 1500 and len(shares) == 12_000
+    assert min(r["share_reached"] for r in shares) > 0 and max(r["share_reached"] for r in shares) < 0.125 + 6 * 0.028
+
+
+def test_blocks_and_choice_of_any_number_give_the_amount(spark):
+    rnd = random.Random(8)
+    docs = [("a", rnd.randrange(1, 90)) for _ in range(2000)] + [("b", rnd.randrange(1, 90)) for _ in range(700)]
+    for per_block, choose in ((10, 1), (10, 50), (100_000, 100_000)):
+        got, _ = mixed(spark, docs, [("a", 0.3, 1), ("b", 0.7, 2)], rows_per_block=per_block, rows_to_choose=choose)
+        out = got.collect()
+        assert len({(r["doc_id"], r["repeat_no"]) for r in out}) == len(out)
+        tokens = {s: sum(r["n_tokens"] for r in out if r["source"] == s) for s in "ab"}
+        assert abs(tokens["a"] / sum(tokens.values()) - 0.3) < 0.002
