@@ -1,13 +1,22 @@
 """Per-document text statistics, and prose told from lists, tables and junk (problem 9).
 
 Counts and ratios are plain columns.  For the label of each line a hidden Markov
-model runs over line statistics: every line is observed as one of a few kinds
-(sentence, fragment, item, delimited row, …) and the most likely sequence of
-states – prose, list, table, junk – is found for the whole document, so a line is
-judged with its neighbours.  Shares of characters per label are aggregated per
-document; a last exact check takes from the prose what follows the final
-sentence end of a paragraph.  The parameters of the model are the table below;
-documents are judged one by one, in one pass without a shuffle.
+model runs over line statistics: a line is observed as eleven statistics in
+bins (end, start, words, common words, letters, digits, separators, longest
+word, length, repetition, how it joins the line before), which are independent
+given the state.  There are nine states, each a part of prose, list, table or
+junk, and the most likely sequence of states is found for the whole document, so
+a line is judged with its neighbours.  Shares of characters per label are
+aggregated per document; a last exact check takes from the prose what follows
+the final sentence end of a paragraph.
+
+The model is trained: emissions, transitions and starts are fitted by Baum–Welch
+on a bounded sample of documents (``FIT_DOCUMENTS``), drawn by hash.  Lines that
+a seed rule recognises keep its state during the fit, all others are free; the
+seed rules themselves take no part in labelling.  Where the sample is small, the
+prior counts – every combination of bins a seed rule admits once, weighted as
+``PRIOR_LINES`` lines – stand in.  All documents are then labelled with the one
+model, one by one, in one pass without a shuffle.
 
 Defined results: null and blank texts have no characters, share 0 of everything
 and are never reported; repeated rows are reported as often as they stand; a
@@ -16,31 +25,35 @@ language code is not needed; extra columns are never read.
 
 from __future__ import annotations
 
+import functools
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-STATES = ("prose", "list", "table", "junk")
-MAX_COMMON_WORDS = 100_000
-
-#: what a line can be observed as, and how often each state shows it (rows are scaled to 1)
-KINDS = ("sentence", "fragment", "tail", "item", "short", "keywords", "delimited", "pair", "numbers", "wordless", "soup", "noise", "repeat")
-EMISSION = {
-    "prose": (60, 25, 8, 0.5, 3, 0.3, 0.4, 0.3, 0.3, 0.4, 0.4, 0.4, 0.4),
-    "list": (5, 3, 2, 45, 35, 5, 1, 1, 0.5, 0.5, 0.5, 1, 1),
-    "table": (1, 1, 1, 1, 3, 3, 40, 25, 20, 1, 1, 3, 1),
-    "junk": (1, 2, 2, 2, 15, 5, 2, 2, 5, 20, 20, 20, 20),
-}
-STAY = 0.9
+LABELS = ("prose", "list", "table", "junk")
+#: the states and the label each belongs to
+STATES = {
+    "sentences": "prose", "wrapped": "prose", "tail": "prose", "items": "list", "records": "table", "figures": "table", "fragments": "junk", "wordless": "junk", "noise": "junk",
+}
+_LABEL_OF = np.array([LABELS.index(x) for x in STATES.values()], dtype=np.int8)
+MAX_COMMON_WORDS = 10_000
+#: documents the model is fitted on, the longest of them in characters, rounds of the fit, weight of the prior
+FIT_DOCUMENTS, FIT_CHARACTERS, FIT_ROUNDS, PRIOR_LINES = 2000, 100_000, 6, 20.0
 
-_EMIT = np.log(np.array([np.array(EMISSION[s]) / sum(EMISSION[s]) for s in STATES]))
-_MOVE = np.log(np.where(np.eye(len(STATES), dtype=bool), STAY, (1 - STAY) / (len(STATES) - 1)))
-_KIND = {k: i for i, k in enumerate(KINDS)}
-_CARRIED = {_KIND[k] for k in ("tail", "short", "numbers", "soup", "wordless", "pair", "noise")}
+#: the statistics of a line and the number of bins of each
+BINS = {"end": 3, "start": 4, "words": 5, "common": 6, "letters": 4, "digits": 3, "separators": 4, "longest": 2, "length": 4, "repeated": 2, "joins": 4}
+_SIZES = np.array(list(BINS.values()))
+_STEP = np.concatenate([[1], np.cumprod(_SIZES)[:-1]])
+OPEN, COMMA, ENDED = 0, 1, 2  # end
+BULLET, CAPITAL, SMALL, OTHER = 1, 0, 2, 3  # start
+APART, RUNS_ON, AFTER_END, AFTER_OTHER = 0, 1, 2, 3  # joins
+NONE, PAIR, LEADERS, CELLS = 0, 1, 2, 3  # separators
 
 _BULLET = re.compile(r"(?:[-*•–—·▪‣]|\(?\d{1,3}(?:\.\d{1,3})*[.)]|\(?(?:[ivxIVX]{1,4}|[a-zA-Z])[.)])\s+")
 _END = re.compile(r"[.!?;:][\"'”’»)\]]*$")
@@ -53,117 +66,241 @@ _BRACKETS = re.compile(r"\([^)]*\)")
 _DIGITS = re.compile(r"\d")
 
 
-def line_kind(line: str, common: frozenset[str]) -> int:
-    """The kind of one stripped line, from its words, marks, digits and common words."""
+def line_statistics(line: str, common: frozenset[str]) -> tuple[int, ...]:
+    """The bins of one stripped line, without those that depend on other lines."""
     if "(" in line and len(bare := _BRACKETS.sub("", line).rstrip(" .;:!?")) > 0.5 * len(line):
         line = bare + line[-1]  # what stands in brackets is beside the sentence
     n = len(line)
-    if _LEADERS.search(line):
-        return _KIND["noise"]
     bullet = _BULLET.match(line)
     body = line[bullet.end() :] if bullet else line
     words = _WORDS.findall(body.lower())
-    count, letters, tokens = len(words), sum(map(len, words)), body.count(" ") + 1
-    if "{" in line and ":" in line or line.startswith("<"):
-        return _KIND["delimited"]
-    if line.count("|") >= 2 or "\t" in line or _GAPS.search(line):
-        return _KIND["delimited" if letters > 0.25 * n else "noise"]
-    semicolons = line.count(";")
-    if semicolons >= 2 and n < 40 * semicolons:
-        return _KIND["delimited" if letters > 0.3 * n else "noise"]
-    if tokens == 1 and n > 30:
-        return _KIND["noise"]
-    digits = len(_DIGITS.findall(line))
-    if digits > 0.3 * n:
-        return _KIND["numbers"]
-    if letters < 0.55 * n and not (bullet and count):
-        return _KIND["noise" if digits < 0.15 * n else "numbers"]
-    if tokens <= 6 and _PAIR.match(line):
-        return _KIND["pair"]
+    count, letters, pieces, semicolons = len(words), sum(map(len, words)), body.count(" ") + 1, line.count(";")
     shared = sum(map(common.__contains__, words)) / count if count else 0.0
-    if count >= 4:
-        if shared >= 0.9:
-            return _KIND["soup"]
-        if shared < (0.16 if line[0].isupper() else 0.1):
-            return _KIND["keywords" if line.count(",") >= 2 else "wordless"]
-    if line.startswith(("[", "…")) or line.endswith("…"):
-        return _KIND["short"]
-    if _END.search(line):
-        return _KIND["sentence" if count >= 4 else "tail"]
-    if n >= (48 if bullet else 40) and count >= 5:
-        return _KIND["fragment"]
-    return _KIND["item" if bullet else "short"]
-
-
-def most_likely(kinds: list[np.ndarray]) -> list[np.ndarray]:
-    """The most likely states of each sequence of kinds; all sequences advance together."""
-    if not kinds:
-        return []
-    order = sorted(range(len(kinds)), key=lambda i: -len(kinds[i]))
-    longest = len(kinds[order[0]])
-    sizes = np.array([len(kinds[i]) for i in order])
-    score = np.empty((len(order), len(STATES)))
-    back = [np.empty(0, dtype=np.int8)] * longest
-    for t in range(longest):
-        live = int(np.searchsorted(-sizes, -t, side="left"))  # sequences longer than t
-        seen = _EMIT[:, [kinds[i][t] for i in order[:live]]].T
-        if t == 0:
-            score[:live] = seen
-            continue
-        paths = score[:live, :, None] + _MOVE
-        back[t] = paths.argmax(axis=1).astype(np.int8)
-        score[:live] = paths.max(axis=1) + seen
-    out: list[np.ndarray] = [np.empty(0, dtype=np.int8)] * len(kinds)
-    for row, i in enumerate(order):
-        n = len(kinds[i])
-        states = np.empty(n, dtype=np.int8)
-        if n:
-            states[-1] = score[row].argmax()
-            for t in range(n - 1, 0, -1):
-                states[t - 1] = back[t][row, states[t]]
-        out[i] = states
-    return out
+    if "{" in line and ":" in line or line.startswith("<") or line.count("|") >= 2 or "\t" in line or _GAPS.search(line) or semicolons >= 2 and n < 40 * semicolons:
+        separators = CELLS
+    elif _LEADERS.search(line):
+        separators = LEADERS
+    else:
+        separators = PAIR if pieces <= 6 and _PAIR.match(line) else NONE
+    return (
+        ENDED if _END.search(line) else COMMA if line.endswith((",", "-")) else OPEN,
+        BULLET if bullet else CAPITAL if line[0].isupper() else SMALL if line[0].islower() else OTHER,
+        bisect_right((1, 4, 7, 13), count),
+        0 if count < 4 else 1 + bisect_right((0.1, 0.16, 0.3, 0.9), shared),
+        bisect_right((0.3, 0.55, 0.72), letters / n),
+        bisect_right((0.05, 0.3), len(_DIGITS.findall(line)) / n),
+        separators,
+        int(n / pieces > 22),
+        bisect_right((20, 40, 90), n),
+    )
+
+
+def _runs_on(bins: tuple[int, ...]) -> bool:
+    """Whether a line is running text that breaks off: the next line goes on with it."""
+    end, _, words, common, _, _, separators, _, length = bins
+    return end != ENDED and words >= 2 and common in (3, 4) and separators == NONE and length >= 2
 
 
-def observe(text: str | None, common: frozenset[str], known: dict[str, int]) -> tuple[np.ndarray, list[str], list[bool]]:
-    """Kinds of the lines of a text, the stripped lines, and whether a blank line stands before each."""
-    kinds, lines, fresh, met, gap, before = [], [], [], set(), True, -1
+def observe(text: str | None, common: frozenset[str], known: dict[str, tuple[int, ...]]) -> tuple[np.ndarray, list[str], list[bool]]:
+    """The observations of the lines of a text, the stripped lines, and whether a blank line stands before each."""
+    seen: list[tuple[int, ...]] = []
+    lines, fresh, met, gap, before = [], [], set(), True, None
     for raw in (text or "").split("\n"):
         line = raw.strip()
         if not line:
             gap = True
             continue
+        repeated = False
         if len(line) < 60:
-            kind = known.get(line)
-            if kind is None:
-                kind = known[line] = line_kind(line, common)
+            bins = known.get(line)
+            if bins is None:
+                bins = known[line] = line_statistics(line, common)
             folded = line.lower()
-            if folded in met and kind != _KIND["sentence"] and not line[0].islower():
-                kind = _KIND["repeat"]
+            repeated = folded in met and bins[0] != ENDED and not line[0].islower()
             met.add(folded)
         else:
-            kind = line_kind(line, common)
-        if before == _KIND["fragment"] and not gap and kind in _CARRIED and not _BULLET.match(line):
-            # the rest of a wrapped sentence says little by itself
-            if _END.search(line):
-                kind = _KIND["sentence"]
-            elif line[0].islower() and kind == _KIND["short"]:
-                kind = _KIND["fragment"]
-        kinds.append(kind)
+            bins = line_statistics(line, common)
+        joins = APART if gap or before is None else AFTER_END if before[0] == ENDED else RUNS_ON if _runs_on(before) else AFTER_OTHER
+        seen.append((*bins, int(repeated), joins))
         lines.append(line)
         fresh.append(gap)
-        gap, before = False, kind
-    return np.array(kinds, dtype=np.int8), lines, fresh
+        gap, before = False, bins
+    return (np.array(seen, dtype=np.int64).reshape(-1, len(BINS)) @ _STEP).astype(np.int32), lines, fresh
+
+
+def bins_of(codes: np.ndarray) -> dict[str, np.ndarray]:
+    """The bins of each statistic behind observations."""
+    return {name: codes // step % size for (name, size), step in zip(BINS.items(), _STEP)}
+
+
+def seeded(codes: np.ndarray) -> np.ndarray:
+    """The state a seed rule recognises an observation as, or -1; later rules go before earlier ones."""
+    b = bins_of(codes)
+    out = np.full(len(codes), -1, dtype=np.int64)
+    plain = (b["separators"] == NONE) & (b["longest"] == 0) & (b["digits"] < 2)
+    fluent = plain & (b["common"] >= 3) & (b["common"] <= 4) & (b["letters"] >= 2)
+    ended, joins, bare = b["end"] == ENDED, b["joins"], (b["separators"] == NONE) & (b["longest"] == 0)
+    rules = {
+        "sentences": fluent & ended & (b["words"] >= 3),
+        "wrapped": (fluent & ~ended & (b["words"] >= 2) & (b["length"] >= 2) & ((b["start"] == CAPITAL) | (b["start"] == SMALL))) | (fluent & ended & (joins == RUNS_ON) & (b["words"] >= 2)),
+        "tail": bare & (joins == RUNS_ON) & ended & (b["length"] <= 1) & (b["start"] != BULLET) & (b["common"] != 1),
+        "items": plain & (b["start"] == BULLET) & ~ended & (b["words"] <= 2) & (b["letters"] >= 2),
+        "records": b["separators"] == CELLS,
+        "figures": (b["separators"] == PAIR) | (bare & (b["digits"] == 2) & (~ended | (joins != RUNS_ON))),
+        "fragments": plain & (b["repeated"] == 1) & (b["start"] != BULLET),
+        "noise": (b["longest"] == 1) | (b["common"] == 5) | (b["separators"] == LEADERS),
+        "wordless": plain & ((b["common"] == 1) | ((b["common"] == 2) & (b["start"] == CAPITAL))) & (b["words"] >= 2) & (b["start"] != BULLET) & (joins != RUNS_ON),
+    }
+    for name, holds in rules.items():
+        out[holds] = list(STATES).index(name)
+    return out
+
+
+@dataclass(frozen=True)
+class Model:
+    """Logarithms: ``emission[statistic][state, bin]``, ``move[from, to]``, ``start[state]``."""
+
+    emission: tuple[np.ndarray, ...]
+    move: np.ndarray
+    start: np.ndarray
+
+    def seen(self, codes: np.ndarray) -> np.ndarray:
+        """How likely each state shows each observation (observations × states)."""
+        return sum(e[:, b].T for e, b in zip(self.emission, bins_of(codes).values()))
+
+
+@functools.cache
+def _prior() -> tuple[np.ndarray, ...]:
+    """Counts of bins per state: every combination a seed rule admits once, scaled to ``PRIOR_LINES``, and a little of everything."""
+    codes = np.arange(int(_SIZES.prod()), dtype=np.int64)
+    state = seeded(codes)
+    out = []
+    for bins, size in zip(bins_of(codes).values(), _SIZES):
+        counts = np.stack([np.bincount(bins[state == s], minlength=size) for s in range(len(STATES))]).astype(float)
+        out.append(PRIOR_LINES * counts / counts.sum(axis=1, keepdims=True) + 0.5)
+    return tuple(out)
+
+
+def _estimate(codes: np.ndarray, weights: np.ndarray, moves: np.ndarray, starts: np.ndarray) -> Model:
+    """The model of expected counts: ``weights`` of observations × states, moves and starts."""
+    emission = []
+    for bins, size, prior in zip(bins_of(codes).values(), _SIZES, _prior()):
+        counts = prior + np.stack([np.bincount(bins, weights=weights[:, s], minlength=size) for s in range(len(STATES))])
+        emission.append(np.log(counts / counts.sum(axis=1, keepdims=True)))
+    moves = moves + 0.5 + 5 * np.eye(len(STATES))
+    return Model(tuple(emission), np.log(moves / moves.sum(axis=1, keepdims=True)), np.log((starts + 1) / (starts + 1).sum()))
 
 
-def complete_characters(states: np.ndarray, lines: list[str], fresh: list[bool]) -> int:
+def _columns(sequences: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Sequences from long to short, and the values at each place of those that reach it."""
+    order = np.argsort([-len(x) for x in sequences], kind="stable")
+    sizes = np.array([len(sequences[i]) for i in order])
+    places = []
+    for t in range(int(sizes[0]) if len(sizes) else 0):
+        live = int(np.searchsorted(-sizes, -t, side="left"))
+        places.append(np.array([sequences[i][t] for i in order[:live]]))
+    return order, places
+
+
+def expected(model: Model, sequences: list[np.ndarray], distinct: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Expected counts of observations × states, moves and starts; all sequences go forward and back together.
+
+    Sequences hold places in ``distinct``; ``held`` is the state each of those keeps, or -1.
+    """
+    n_states = len(STATES)
+    shown = model.seen(distinct)
+    shown = shown - shown.max(axis=1, keepdims=True)
+    fixed = np.flatnonzero(held >= 0)
+    alone = np.full((len(fixed), n_states), -np.inf)
+    alone[np.arange(len(fixed)), held[fixed]] = 0.0
+    shown[fixed] = alone
+    shown, move = np.exp(shown), np.exp(model.move)
+    _, places = _columns(sequences)
+    weights, moves, starts = np.zeros((len(distinct), n_states)), np.zeros((n_states, n_states)), np.zeros(n_states)
+    ahead: list[np.ndarray] = []
+    for t, at in enumerate(places):
+        now = shown[at] * (np.exp(model.start) if t == 0 else ahead[-1][: len(at)] @ move)
+        ahead.append(now / now.sum(axis=1, keepdims=True))
+    back = np.empty((0, n_states))
+    for t in range(len(places) - 1, -1, -1):
+        at = places[t]
+        behind = np.ones((len(at), n_states))
+        if t + 1 < len(places):
+            k = len(places[t + 1])
+            coming = shown[places[t + 1]] * back
+            behind[:k] = coming @ move.T
+            both = ahead[t][:k, :, None] * move * coming[:, None, :]
+            moves += (both / both.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
+        back = behind / behind.sum(axis=1, keepdims=True)
+        state = ahead[t] * back
+        state /= state.sum(axis=1, keepdims=True)
+        np.add.at(weights, at, state)
+        if t == 0:
+            starts += state.sum(axis=0)
+    return weights, moves, starts
+
+
+def fit(sequences: list[np.ndarray], rounds: int = FIT_ROUNDS) -> Model:
+    """Baum–Welch on sequences of observations; observations that a seed rule recognises keep their state."""
+    sequences = [x for x in sequences if len(x)]
+    if not sequences:
+        return _estimate(np.empty(0, dtype=np.int64), np.empty((0, len(STATES))), np.zeros((len(STATES), len(STATES))), np.zeros(len(STATES)))
+    distinct, places = np.unique(np.concatenate(sequences), return_inverse=True)
+    sequences = np.split(places, np.cumsum([len(x) for x in sequences])[:-1])
+    held = seeded(distinct)
+    often = np.bincount(places, minlength=len(distinct)).astype(float)
+    weights = np.zeros((len(distinct), len(STATES)))
+    weights[np.flatnonzero(held >= 0), held[held >= 0]] = often[held >= 0]
+    model = _estimate(distinct, weights, np.zeros((len(STATES), len(STATES))), np.zeros(len(STATES)))
+    for _ in range(rounds):
+        model = _estimate(distinct, *expected(model, sequences, distinct, held))
+    return model
+
+
+def most_likely(model: Model, sequences: list[np.ndarray]) -> list[np.ndarray]:
+    """The most likely states of each sequence of observations; all sequences advance together."""
+    out: list[np.ndarray] = [np.empty(0, dtype=np.int8)] * len(sequences)
+    if not any(map(len, sequences)):
+        return out
+    distinct, places = np.unique(np.concatenate(sequences), return_inverse=True)
+    seen = model.seen(distinct)
+    indexed = np.split(places, np.cumsum([len(x) for x in sequences])[:-1])
+    order, columns = _columns(indexed)
+    score, back = np.empty(0), []
+    ends = np.zeros(len(order), dtype=np.int64)
+    for t, at in enumerate(columns):
+        if t == 0:
+            score = model.start + seen[at]
+            back.append(np.empty(0, dtype=np.int8))
+            continue
+        ends[len(at) : len(score)] = score[len(at) :].argmax(axis=1)
+        paths = score[: len(at), :, None] + model.move
+        back.append(paths.argmax(axis=1).astype(np.int8))
+        score = paths.max(axis=1) + seen[at]
+    ends[: len(score)] = score.argmax(axis=1)
+    for row, i in enumerate(order):
+        n = len(sequences[i])
+        states = np.empty(n, dtype=np.int8)
+        if n:
+            states[-1] = ends[row]
+            for t in range(n - 1, 0, -1):
+                states[t - 1] = back[t][row, states[t]]
+        out[i] = states
+    return out
+
+
+def labels_of(states: np.ndarray) -> np.ndarray:
+    return _LABEL_OF[states]
+
+
+def complete_characters(labels: np.ndarray, lines: list[str], fresh: list[bool]) -> int:
     """Characters of prose lines up to the last sentence end of each paragraph."""
     total, run = 0, []
-    for state, line, new in zip(states, lines, fresh):
-        if run and (new or state != 0):
+    for label, line, new in zip(labels, lines, fresh):
+        if run and (new or label != 0):
             total += _ended(run)
             run = []
-        if state == 0:
+        if label == 0:
             run.append(line)
     return total + (_ended(run) if run else 0)
 
@@ -185,23 +322,42 @@ def bounded_words(common_words: DataFrame, max_words: int = MAX_COMMON_WORDS) ->
     return frozenset(r["w"] for r in rows)
 
 
-def line_labels(documents: DataFrame, common_words: DataFrame) -> DataFrame:
+def fitted(documents: DataFrame, common: frozenset[str], n: int = FIT_DOCUMENTS, longest: int = FIT_CHARACTERS) -> Model:
+    """The model fitted on about ``n`` documents drawn by hash, at most twice as many; documents over ``longest`` characters are not drawn."""
+    total = documents.count()
+    if not total:
+        return fit([])
+    drawn = documents.filter("text IS NOT NULL").select("doc_id", "text").filter((F.length("text") <= longest) & (F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < F.lit(int(min(1.0, n / total) * (1 << 30)) + 1)))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[str, tuple[int, ...]] = {}
+        for pdf in batches:
+            found = [observe(t, common, known)[0].tolist() for t in pdf["text"]]
+            yield pd.DataFrame({"codes": found})
+
+    rows = drawn.mapInPandas(run, "codes array<int>").limit(2 * n).collect()
+    return fit(sorted((np.array(r["codes"], dtype=np.int64) for r in rows), key=lambda x: (len(x), x.tolist())))
+
+
+def line_labels(documents: DataFrame, common_words: DataFrame, model: Model | None = None) -> DataFrame:
     """``doc_id, n_lines, n_line_chars, prose_chars, list_chars, table_chars, junk_chars, sentence_chars``."""
     common = bounded_words(common_words)
+    trained = model or fitted(documents.filter("doc_id IS NOT NULL"), common)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[str, int] = {}
+        known: dict[str, tuple[int, ...]] = {}
         for pdf in batches:
             if len(known) > 200_000:
                 known.clear()
             seen = [observe(t, common, known) for t in pdf["text"]]
             rows = []
-            for doc_id, (kinds, lines, fresh), states in zip(pdf["doc_id"], seen, most_likely([s[0] for s in seen])):
+            for doc_id, (_, lines, fresh), states in zip(pdf["doc_id"], seen, most_likely(trained, [s[0] for s in seen])):
+                labels = labels_of(states)
                 sizes = np.array([len(x) for x in lines], dtype=np.int64)
-                by = np.bincount(states, weights=sizes, minlength=4).astype(np.int64) if len(lines) else np.zeros(4, dtype=np.int64)
-                rows.append((doc_id, len(lines), int(sizes.sum()), *map(int, by), complete_characters(states, lines, fresh)))
+                by = np.bincount(labels, weights=sizes, minlength=4).astype(np.int64) if len(lines) else np.zeros(4, dtype=np.int64)
+                rows.append((doc_id, len(lines), int(sizes.sum()), *map(int, by), complete_characters(labels, lines, fresh)))
             if rows:
-                yield pd.DataFrame(rows, columns=["doc_id", "n_lines", "n_line_chars", *(f"{s}_chars" for s in STATES), "sentence_chars"])
+                yield pd.DataFrame(rows, columns=["doc_id", "n_lines", "n_line_chars", *(f"{x}_chars" for x in LABELS), "sentence_chars"])
 
     schema = "doc_id long, n_lines long, n_line_chars long, prose_chars long, list_chars long, table_chars long, junk_chars long, sentence_chars long"
     return documents.filter("doc_id IS NOT NULL").select("doc_id", "text").mapInPandas(run, schema)
