@@ -6,11 +6,12 @@ paths grow level by level: the frontier of a level joins the unreached nodes on
 their parent, until nothing is reached any more.  What is never reached lies on
 a loop or below one.
 
-Where the group fits a batch the frontier joins run on arrays, for all groups
-of a batch at once.  Groups of more than ``max_local`` rows – the only ones
-whose size is not bounded – take the same joins as Spark joins on
-``(group, node)``, one staged level after another, so no task ever holds an
-unbounded group.
+Where the group fits a batch the frontier joins run on arrays of parent
+pointers, for all groups of a batch at once; a path is read off the pointers
+only when its row is given out, a bounded number of steps at a time.  Groups of
+more than ``max_local`` rows – the only ones whose size is not bounded – take the
+same joins as Spark joins on ``(group, node)``, one staged level after another,
+so no task ever holds an unbounded group.
 
 Defined results: rows with a blank node or no group key are skipped; of several
 rows for a node the latest, then the highest row id, holds; a node whose parent
@@ -33,6 +34,8 @@ from lexweave.functions.codes import clean_code
 from lexweave.sources.tables import shared_dir, stage
 
 MAX_LOCAL = 100_000
+#: steps of paths given out together by the joins on arrays
+MAX_STEPS = 500_000
 
 _NODE_SCHEMA = "group_key string, node string, parent string, rank string"
 
@@ -48,7 +51,7 @@ def latest_links(df: DataFrame, group: str, node: str, parent: str, rank: str, o
     )
 
 
-def _levels(pdf: pd.DataFrame, with_path: bool) -> pd.DataFrame:
+def _levels(pdf: pd.DataFrame, with_path: bool) -> Iterator[pd.DataFrame]:
     """Frontier joins over whole groups: each level gathers from the level before."""
     n = len(pdf)
     gid = pd.factorize(pdf["group_key"])[0].astype(np.int64)
@@ -65,39 +68,49 @@ def _levels(pdf: pd.DataFrame, with_path: bool) -> pd.DataFrame:
     reached = np.flatnonzero(up < 0)
     depth[reached], root[reached] = 0, reached
     nodes = pdf["node"].to_numpy(dtype=object)
-    paths = np.full(n, None, dtype=object)
-    if with_path:
-        for i in reached:
-            paths[i] = [nodes[i]]
-    waiting = np.flatnonzero(up >= 0)
-    level = 0
-    while len(waiting):
-        hit = depth[up[waiting]] == level
-        frontier = waiting[hit]
-        if not len(frontier):
-            break
+    # children of each node stand together, so a level is gathered without looking at what still waits
+    kids = np.argsort(up, kind="stable")
+    first = np.searchsorted(up[kids], me)
+    n_kids = np.searchsorted(up[kids], me, side="right") - first
+    level, frontier = 0, reached
+    while len(frontier := frontier[n_kids[frontier] > 0]):
+        counts = n_kids[frontier]
+        starts = np.repeat(first[frontier] - (np.cumsum(counts) - counts), counts)
+        below = kids[starts + np.arange(counts.sum())]
         level += 1
-        depth[frontier], root[frontier] = level, root[up[frontier]]
-        if with_path:
-            for i in frontier:
-                paths[i] = [*paths[up[i]], nodes[i]]
-        waiting = waiting[~hit]
+        depth[below], root[below] = level, np.repeat(root[frontier], counts)
+        frontier = below
+    waiting = np.flatnonzero(depth < 0)
     # of what was never reached, strip the nodes nobody points to until only the loops are left
-    loop = np.zeros(n, dtype=bool)
-    loop[waiting] = True
-    rest = waiting
-    while len(rest):
-        pointed = np.zeros(n, dtype=bool)
-        pointed[up[rest]] = True
-        keep = pointed[rest]
-        if keep.all():
-            break
-        loop[rest[~keep]] = False
-        rest = rest[keep]
+    loop, pointing = depth < 0, n_kids.copy()
+    bare = waiting[pointing[waiting] == 0]
+    while len(bare):
+        loop[bare] = False
+        above, times = np.unique(up[bare], return_counts=True)
+        pointing[above] -= times
+        bare = above[pointing[above] == 0]
     out = pd.DataFrame({"group_key": pdf["group_key"].to_numpy(), "node": nodes, "root": np.where(root >= 0, nodes[root], ""), "depth": depth.astype(np.int32), "rank": pdf["rank"].to_numpy(), "on_loop": loop})
-    if with_path:
-        out["path"] = [p if p is not None else [] for p in paths]
-    return out
+    if not with_path:
+        yield out
+        return
+    # rows are given out in pieces whose paths together have a bounded number of steps, or one row
+    piece = np.cumsum(np.maximum(depth, 0) + 1) // MAX_STEPS
+    for rows in np.split(me, np.flatnonzero(np.diff(piece)) + 1):
+        yield out.iloc[rows].assign(path=_paths(rows, depth, up, nodes))
+
+
+def _paths(rows: np.ndarray, depth: np.ndarray, up: np.ndarray, nodes: np.ndarray) -> list[np.ndarray]:
+    """The nodes from the root to each row, read off the parent pointers, one step of all rows at a time."""
+    sizes = depth[rows] + 1
+    ends = np.cumsum(sizes)
+    steps = np.empty(int(ends[-1]), dtype=np.int64)
+    at, place = rows[sizes > 0], ends[sizes > 0] - 1
+    stop = (ends - sizes)[sizes > 0]
+    while len(at):
+        steps[place] = at
+        more = place > stop
+        at, place, stop = up[at[more]], place[more] - 1, stop[more]
+    return np.split(nodes[steps], ends[:-1])
 
 
 def _local(with_path: bool):
@@ -113,10 +126,10 @@ def _local(with_path: bool):
                 continue
             whole = pd.concat([*kept, pdf.iloc[:last]], ignore_index=True) if kept else pdf.iloc[:last].reset_index(drop=True)
             if len(whole):
-                yield _levels(whole, with_path)
+                yield from _levels(whole, with_path)
             kept = [pdf.iloc[last:]]
         if kept:
-            yield _levels(pd.concat(kept, ignore_index=True), with_path)
+            yield from _levels(pd.concat(kept, ignore_index=True), with_path)
 
     return run
 

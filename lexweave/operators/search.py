@@ -64,6 +64,7 @@ class Index:
     lengths: DataFrame
     frequencies: DataFrame
     vocabulary: DataFrame
+    fields: DataFrame | None = None
 
     @staticmethod
     def of(postings: DataFrame, lengths: DataFrame) -> Index:
@@ -76,14 +77,27 @@ class Index:
         return Index.of(stage(self.postings, "postings"), stage(self.lengths, "lengths"))
 
     def save(self, path: str) -> None:
-        """Written once; postings sorted by term, so a query reads the row groups of its terms."""
+        """Written once; all but the lengths sorted by term, so a query reads the row groups of its terms.
+
+        Texts are cut into terms once for the postings; what follows from them
+        is computed from what is written.
+        """
+        spark = self.postings.sparkSession
+        self.lengths.groupBy("field").agg(F.avg("size").alias("mean_size"), F.count("*").alias("n_docs")).write.parquet(f"{path}/fields")
         self.lengths.write.parquet(f"{path}/lengths")
-        for name in ("postings", "frequencies", "vocabulary"):
-            getattr(self, name).repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/{name}")
+        unsorted = stage(self.postings, "postings")
+        unsorted.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/postings")
+        written = Index.of(spark.read.parquet(f"{path}/postings"), self.lengths)
+        for name in ("frequencies", "vocabulary"):
+            getattr(written, name).repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/{name}")
 
     @staticmethod
     def load(spark, path: str) -> Index:
-        return Index(*(spark.read.parquet(f"{path}/{t}") for t in ("postings", "lengths", "frequencies", "vocabulary")))
+        return Index(*(spark.read.parquet(f"{path}/{t}") for t in ("postings", "lengths", "frequencies", "vocabulary", "fields")))
+
+    def means(self) -> DataFrame:
+        """``field, mean_size, n_docs``; one row a field."""
+        return self.fields if self.fields is not None else self.lengths.groupBy("field").agg(F.avg("size").alias("mean_size"), F.count("*").alias("n_docs"))
 
 
 def build_index(docs: DataFrame, fields: tuple[str, ...] = ("heading", "text")) -> Index:
@@ -115,40 +129,66 @@ def term_groups(query: str, options: Options = TYPEAHEAD) -> dict[str, int]:
 
 def expand(vocabulary: DataFrame, query: str, options: Options = TYPEAHEAD) -> DataFrame:
     """``term, query_group, weight``: vocabulary terms that match, with their best weight per group."""
+    return expand_many(vocabulary, {0: query}, options).drop("query_id")
+
+
+def expand_many(vocabulary: DataFrame, queries: dict[int, str], options: Options = TYPEAHEAD) -> DataFrame:
+    """``query_id, term, query_group, weight`` for several queries, in one pass over the vocabulary."""
     term, size = F.col("term"), F.length("term")
     matches: list[Column] = []
-    for wanted, group in term_groups(query, options).items():
-        n = len(wanted)
-        weights = [F.when(term == wanted, F.lit(1.0)), F.lit(None).cast("double")]
-        if options.prefix_from is not None and n >= options.prefix_from:
-            weights.append(F.when(term.startswith(wanted), options.prefix_weight * n / (n + 0.3 * (size - n))))
-        if options.fuzzy_from is not None and n >= options.fuzzy_from:
-            budget = max(1, round(options.fuzzy_share * n))
-            distance = F.levenshtein(term, F.lit(wanted), budget)
-            near = F.abs(size - n) <= budget
-            weights.append(F.when(near & (distance >= 0), options.fuzzy_weight * n / (n + distance)))
-        matches.append(F.struct(F.lit(group).alias("query_group"), F.greatest(*weights).alias("weight")))
+    wanted_terms: set[str] = set()
+    for query_id, query in queries.items():
+        for wanted, group in term_groups(query, options).items():
+            wanted_terms.add(wanted)
+            n = len(wanted)
+            weights = [F.when(term == wanted, F.lit(1.0)), F.lit(None).cast("double")]
+            if options.prefix_from is not None and n >= options.prefix_from:
+                weights.append(F.when(term.startswith(wanted), options.prefix_weight * n / (n + 0.3 * (size - n))))
+            if options.fuzzy_from is not None and n >= options.fuzzy_from:
+                budget = max(1, round(options.fuzzy_share * n))
+                distance = F.levenshtein(term, F.lit(wanted), budget)
+                near = F.abs(size - n) <= budget
+                weights.append(F.when(near & (distance >= 0), options.fuzzy_weight * n / (n + distance)))
+            matches.append(F.struct(F.lit(query_id).alias("query_id"), F.lit(group).alias("query_group"), F.greatest(*weights).alias("weight")))
     if not matches:
-        return vocabulary.select("term", F.lit(0).alias("query_group"), F.lit(0.0).alias("weight")).limit(0)
+        return vocabulary.select(F.lit(0).alias("query_id"), "term", F.lit(0).alias("query_group"), F.lit(0.0).alias("weight")).limit(0)
+    if options.prefix_from is None and options.fuzzy_from is None:  # whole terms only: the scan skips all others
+        vocabulary = vocabulary.filter(term.isin(sorted(wanted_terms)))
     found = F.filter(F.array(*matches), lambda m: m["weight"].isNotNull())
-    return vocabulary.select("term", F.explode(found).alias("m")).groupBy("term", "m.query_group").agg(F.max("m.weight").alias("weight"))
+    return vocabulary.select("term", F.explode(found).alias("m")).groupBy("m.query_id", "term", "m.query_group").agg(F.max("m.weight").alias("weight"))
 
 
 def scored(index: Index, query: str, options: Options = TYPEAHEAD) -> DataFrame:
     """``doc_id, coverage, score`` of every document that matches."""
-    if len(query.strip()) < 2:
-        return index.postings.select("doc_id", F.lit(0).alias("coverage"), F.lit(0.0).alias("score")).limit(0)
-    expanded = expand(index.vocabulary, query, options)
-    per_field = index.lengths.groupBy("field").agg(F.avg("size").alias("mean_size"), F.count("*").alias("n_docs"))
+    return scored_many(index, {0: query}, options).drop("query_id")
+
+
+#: so many terms are looked up by the scan, more by the join alone
+LOOKED_UP = 1000
+
+
+def scored_many(index: Index, queries: dict[int, str], options: Options = TYPEAHEAD) -> DataFrame:
+    """``query_id, doc_id, coverage, score`` of every document that matches one of several queries; queries under two characters match none."""
+    asked = {k: q for k, q in queries.items() if len(q.strip()) >= 2}
+    if not asked:
+        return index.postings.select(F.lit(0).alias("query_id"), "doc_id", F.lit(0).alias("coverage"), F.lit(0.0).alias("score")).limit(0)
+    spark = index.postings.sparkSession
+    expanded = expand_many(index.vocabulary, asked, options)
+    postings, frequencies = index.postings, index.frequencies
+    first = expanded.limit(LOOKED_UP + 1).collect()
+    if len(first) <= LOOKED_UP:
+        terms = sorted({r["term"] for r in first})
+        expanded = spark.createDataFrame(first, expanded.schema) if first else expanded.limit(0)
+        postings, frequencies = postings.filter(F.col("term").isin(terms)), frequencies.filter(F.col("term").isin(terms))
     boost = F.lit(None).cast("double")
     for name, b in options.boosts.items():
         boost = F.when(F.col("field") == name, b).otherwise(boost)
-    wanted = expanded.join(index.frequencies.filter(F.col("field").isin(list(options.boosts))), "term")
-    rated = index.postings.join(wanted, ["term", "field"]).join(F.broadcast(per_field), "field")
+    wanted = expanded.join(frequencies.filter(F.col("field").isin(list(options.boosts))), "term")
+    rated = postings.join(wanted, ["term", "field"]).join(F.broadcast(index.means()), "field")
     idf = F.log(1 + (F.col("n_docs") - F.col("field_df") + 0.5) / (F.col("field_df") + 0.5))
     norm = options.k1 * (1 - options.b + options.b * F.col("size") / F.col("mean_size"))
     part = boost * F.col("weight") * idf * (options.delta + F.col("tf") * (options.k1 + 1) / (F.col("tf") + norm))
-    return rated.groupBy("doc_id").agg(F.count_distinct("query_group").alias("coverage"), F.round(F.sum(part), 6).alias("score"))
+    return rated.groupBy("query_id", "doc_id").agg(F.count_distinct("query_group").alias("coverage"), F.round(F.sum(part), 6).alias("score"))
 
 
 def reference_pattern(query: str, instruments: tuple[str, ...] = (), main: str = "hoofdakte") -> tuple[str, bool] | None:
@@ -176,6 +216,17 @@ def search(index: Index, query: str, limit: int = 30, options: Options = TYPEAHE
     return hits.withColumn("pinned", pinned).orderBy(F.desc("pinned"), F.desc("coverage"), F.desc("score"), "doc_id").limit(limit)
 
 
+def search_many(index: Index, queries: dict[int, str], limit: int = 30, options: Options = TYPEAHEAD, instruments: tuple[str, ...] = (), main: str = "hoofdakte") -> DataFrame:
+    """``query_id, rank, doc_id, pinned, coverage, score``: the best ``limit`` documents of each of several queries, the index being read once."""
+    key, pinned = F.col("doc_id").cast("string"), F.lit(False)
+    for query_id, query in queries.items():
+        if named := reference_pattern(query, instruments, main):
+            pinned = pinned | ((F.col("query_id") == query_id) & (key == named[0] if named[1] else key.startswith(named[0])))
+    best = Window.partitionBy("query_id").orderBy(F.desc("pinned"), F.desc("coverage"), F.desc("score"), "doc_id")
+    ranked = scored_many(index, queries, options).withColumn("pinned", pinned).withColumn("rank", F.row_number().over(best))
+    return ranked.filter(F.col("rank") <= limit).select("query_id", "rank", "doc_id", "pinned", "coverage", "score")
+
+
 def filtered_after_limit(hits: DataFrame, docs: DataFrame, condition: Column, limit: int = 10) -> DataFrame:
     """A filter on the candidates found, not on the corpus: fewer than ``limit`` may be left."""
     return hits.join(docs, "doc_id").filter(condition).orderBy(F.desc("pinned"), F.desc("coverage"), F.desc("score"), "doc_id").limit(limit)
@@ -229,14 +280,13 @@ def snippet(text: Column, terms: list[str], radius: int = 120) -> Column:
 def best_window(docs: DataFrame, terms: list[str], radius: int = 120) -> DataFrame:
     """The same window relationally: positions as rows, a range frame over them; ``doc_id, position, n_distinct, n_matches``."""
     folded = F.translate(F.lower(F.col("text")), FOLD_FROM, FOLD_TO)
-    def spots(term: str) -> Column:
-        # the text cut before every occurrence: a piece that starts with the term starts where the pieces before it end
-        pieces = F.split(F.col("f"), f"(?={re.escape(term)})")
-        ends = lambda i: F.aggregate(F.slice(pieces, F.lit(1), i), F.lit(0).cast("long"), lambda n, p: n + F.length(p))
-        placed = F.transform(pieces, lambda p, i: F.struct(F.when(p.startswith(term), ends(i)).alias("position"), F.lit(term).alias("term")))
-        return F.filter(placed, lambda x: x["position"].isNotNull())
-
-    found = docs.select("doc_id", folded.alias("f")).filter(F.col("f").rlike("|".join(map(re.escape, terms)))).select("doc_id", F.explode(F.concat(*map(spots, terms))).alias("s")).select("doc_id", "s.position", "s.term")
+    # the text cut before every occurrence of a term: a piece that starts with the term starts where the pieces before it end
+    cuts = F.array(*[F.struct(F.lit(t).alias("term"), F.split(F.col("f"), f"(?={re.escape(t)})").alias("pieces")) for t in terms])
+    holding = docs.select("doc_id", folded.alias("f")).filter(F.col("f").rlike("|".join(map(re.escape, terms))))
+    pieces = holding.select("doc_id", F.explode(cuts).alias("c")).select("doc_id", "c.term", F.posexplode("c.pieces").alias("i", "piece"))
+    pieces = pieces.select("doc_id", "term", "i", F.length("piece").cast("long").alias("n"), F.expr("startswith(piece, term)").alias("hit")).repartition("doc_id")
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("doc_id", "term").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    found = pieces.withColumn("position", before).filter("hit").select("doc_id", "position", "term")
     ahead = Window.partitionBy("doc_id").orderBy("position").rangeBetween(0, 2 * radius)
     rated = found.select("doc_id", "position", F.size(F.collect_set("term").over(ahead)).alias("n_distinct"), F.count("*").over(ahead).alias("n_matches"))
     best = F.max(F.struct("n_distinct", "n_matches", (-F.col("position")).alias("p")))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexweave.functions import text as X
 from lexweave.operators import search as S
-from lexweave.sources.tables import heavy_table, table
+from lexweave.sources.tables import heavy_table, shared_dir, table
 
 QUERY = "exitstrategie van het testverslag"
 
@@ -20,6 +22,23 @@ def _index(spark: SparkSession, sf_dir: str) -> S.Index:
     return S.build_index(_docs(spark, sf_dir))
 
 
+_saved: dict[tuple, str] = {}
+
+
+def saved_index(spark: SparkSession, sf_dir: str, name: str, docs) -> S.Index:
+    """The stored index over the tables of a folder: built by the first query of a session, loaded by all others.
+
+    A table that was written anew since has an index of its own.
+    """
+    stamp = table(spark, sf_dir, name).select(F.max("_metadata.file_modification_time").alias("t"), F.max("_metadata.file_size").alias("n")).first()
+    key = (spark.sparkContext.applicationId, sf_dir, name, stamp["t"], stamp["n"])
+    if key not in _saved:
+        path = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+        S.build_index(docs(spark, sf_dir)).save(path)
+        _saved[key] = path
+    return S.Index.load(spark, _saved[key])
+
+
 def text_clean(spark, sf_dir):
     """White space, no-break spaces and bracketed numbers cleaned."""
     return table(spark, sf_dir, "documents").select("doc_id", X.clean(F.concat(F.col("text"), F.lit(" ( 1 ) x "))).alias("cleaned"))
@@ -78,7 +97,7 @@ def search_field_lengths(spark, sf_dir):
 
 
 def _hits(spark, sf_dir, query, limit=20, options=None):
-    return S.search(_index(spark, sf_dir).staged(), query, limit, options or S.Options(prefix_from=None, fuzzy_from=None, synonyms=()))
+    return S.search(saved_index(spark, sf_dir, "documents", _docs), query, limit, options or S.Options(prefix_from=None, fuzzy_from=None, synonyms=()))
 
 
 def search_bm25_topk(spark, sf_dir):
@@ -88,7 +107,7 @@ def search_bm25_topk(spark, sf_dir):
 
 def search_coverage_rank(spark, sf_dir):
     """Documents per number of query terms covered."""
-    scored = S.scored(_index(spark, sf_dir).staged(), QUERY, S.Options(prefix_from=None, fuzzy_from=None, synonyms=()))
+    scored = S.scored(saved_index(spark, sf_dir, "documents", _docs), QUERY, S.Options(prefix_from=None, fuzzy_from=None, synonyms=()))
     return scored.groupBy("coverage").agg(F.count("*").alias("n_docs"), F.max("score").alias("best_score"))
 
 
@@ -133,7 +152,7 @@ def _provisions(spark, sf_dir):
 
 def search_pinned_reference(spark, sf_dir):
     """A direct reference puts the provisions it names first."""
-    hits = S.search(S.build_index(_provisions(spark, sf_dir)).staged(), "artikel 4", 15, S.Options(prefix_from=None, fuzzy_from=None, synonyms=()))
+    hits = S.search(saved_index(spark, sf_dir, "content_nodes", _provisions), "artikel 4", 15, S.Options(prefix_from=None, fuzzy_from=None, synonyms=()))
     return hits.select("doc_id", "pinned", "coverage", "score")
 
 
@@ -159,12 +178,53 @@ def snippet_text(spark, sf_dir):
     return hits.join(_docs(spark, sf_dir), "doc_id").select("doc_id", S.quoted(F.col("text"), ["exitstrategie", "testverslag"]).alias("snippet"))
 
 
+#: queries whose ranks are pinned: names of things, several terms, terms of both fields, references, one that finds nothing
+GOLDEN = dict(
+    enumerate(
+        (
+            "exitstrategie", "uitwijkplan", "testverslag", "logboek van storingen", "register van overeenkomsten", "kritieke diensten", "back-upkopieen", "toegangsrechten herzien", "drempelwaarden", "herstelprocedure documenteren",
+            "continuiteit", "evenredigheid", "risicoanalyse", "penetratieproef uitkomsten", "meldformulier", "langdurige uitval scenario", "contractuele waarborgen", "ketenoverzicht", "bedrijfsmiddelen geinventariseerde", "indeling storing",
+            "exit strategy", "outage log", "chain overview", "test report", "access rights", "backup copies", "thresholds", "Ausweichplan", "Zugriffsrechte", "Kettenubersicht",
+            "rapport d'essai", "droits d'acces", "sous-traitant", "toezichthouder schriftelijk", "kosten vermeld drempel euro", "zzzonbestaand",
+        )
+    )
+)
+_EXACT = S.Options(prefix_from=None, fuzzy_from=None, synonyms=())
+
+
+def search_golden(spark, sf_dir):
+    """The first three documents of 36 pinned queries, all in one pass over the index."""
+    hits = S.search_many(saved_index(spark, sf_dir, "documents", _docs), GOLDEN, 3, _EXACT)
+    return hits.select("query_id", "rank", "doc_id", "coverage", "score")
+
+
+def search_golden_provisions(spark, sf_dir):
+    """The first five provisions of pinned references to articles, one of them to none."""
+    queries = {1: "artikel 1", 2: "Artikel 12", 3: "artikel 3, lid 2", 4: "artikel 4", 5: "artikel 7 exitstrategie"}
+    hits = S.search_many(saved_index(spark, sf_dir, "content_nodes", _provisions), queries, 5, _EXACT)
+    return hits.select("query_id", "rank", "doc_id", "pinned", "coverage", "score")
+
+
+def search_saved_index(spark, sf_dir):
+    """An index written and loaded again: terms, postings and documents per field."""
+    index = saved_index(spark, sf_dir, "documents", _docs)
+    per_field = index.postings.groupBy("field").agg(F.count("*").alias("n_postings"), F.count_distinct("term").alias("n_terms"), F.sum("tf").alias("n_words"))
+    return per_field.join(index.means(), "field").select("field", "n_postings", "n_terms", "n_words", "n_docs", F.round("mean_size", 6).alias("mean_size"))
+
+
+def search_reference_patterns(spark, sf_dir):
+    """Documents that references name by their whole id or by its start, instruments before articles."""
+    queries = ("artikel 28 lid 3", "Overweging 58", "artikel 5", "its artikel 2", "rts bijlage iii punt a", "bijlage iv", "its overweging 7", "artikel", "artikel 5 exit", "its-rts artikel 2")
+    rows = [(q, *(S.reference_pattern(q, ("its", "rts", "its-rts"), "dora") or (None, None))) for q in queries]
+    return spark.createDataFrame(rows, "query string, named string, whole boolean")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         search_bm25_topk, text_clean, text_fold_tokens, slug, clip_snippet, highlight_terms, roman_numbers, csv_encode, tsv_encode, search_postings, search_vocabulary, search_field_lengths,
         search_coverage_rank, search_prefix_expand, search_fuzzy_expand, search_synonym_expand, search_multi_field_boost, search_typeahead, search_precision, search_pinned_reference,
-        search_filter_after_limit, hits_grouped_by_type, snippet_best_window, snippet_text,
+        search_golden, search_golden_provisions, search_saved_index, search_reference_patterns, search_filter_after_limit, hits_grouped_by_type, snippet_best_window, snippet_text,
     )
 }
 
@@ -267,3 +327,26 @@ s AS ({' UNION ALL '.join(_SPOT.format(t=t, n=len(t)) for t in ('exitstrategie',
 r AS (SELECT a.doc_id, a.position, a.term, count(DISTINCT b.term) AS n_distinct, count(*) AS n_matches FROM s a JOIN s b ON a.doc_id = b.doc_id AND b.position BETWEEN a.position AND a.position + 240 GROUP BY ALL)
 SELECT doc_id, position, CAST(n_distinct AS INTEGER) AS n_distinct, n_matches FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n_distinct DESC, n_matches DESC, position) AS k FROM r) WHERE k = 1""",
 }
+
+
+def _sql_many(docs: str, queries: dict[int, str]) -> str:
+    """SQL: scores of several queries of whole terms."""
+    wanted = ", ".join(f"({k}, '{t}', {g})" for k, q in queries.items() for t, g in S.term_groups(q, _EXACT).items())
+    return _sql_index(docs) + f""",
+q AS (SELECT * FROM (VALUES {wanted}) AS v(query_id, term, query_group)),
+freq AS (SELECT term, field, count(*) AS field_df FROM postings GROUP BY ALL),
+scored AS (SELECT query_id, doc_id, count(DISTINCT query_group) AS coverage,
+  round(sum(CASE field WHEN 'heading' THEN 3.0::DOUBLE ELSE 1.0::DOUBLE END * ln(1 + (n_docs - field_df + 0.5::DOUBLE) / (field_df + 0.5::DOUBLE)) * (0.5::DOUBLE + tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.3::DOUBLE + 0.7::DOUBLE * size / mean_size)))), 6) AS score
+  FROM postings JOIN q USING (term) JOIN freq USING (term, field) JOIN lengths USING (doc_id, field) JOIN means USING (field) GROUP BY query_id, doc_id)
+"""
+
+
+SQL |= {
+    "search_golden": _sql_many(_DOCS, GOLDEN) + "SELECT * FROM (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY coverage DESC, score DESC, doc_id) AS INTEGER) AS rank, doc_id, coverage, score FROM scored) WHERE rank <= 3",
+    "search_golden_provisions": _sql_many(_PROVISIONS, {1: "artikel 1", 2: "Artikel 12", 3: "artikel 3, lid 2", 4: "artikel 4", 5: "artikel 7 exitstrategie"}) + """,
+p AS (SELECT *, CASE query_id WHEN 1 THEN starts_with(doc_id, 'hoofdakte-art-1-') WHEN 2 THEN starts_with(doc_id, 'hoofdakte-art-12-') WHEN 3 THEN doc_id = 'hoofdakte-art-3-lid-2' WHEN 4 THEN starts_with(doc_id, 'hoofdakte-art-4-') ELSE false END AS pinned FROM scored)
+SELECT * FROM (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY pinned DESC, coverage DESC, score DESC, doc_id) AS INTEGER) AS rank, doc_id, pinned, coverage, score FROM p) WHERE rank <= 5""",
+    "search_saved_index": _sql_index(_DOCS) + "SELECT field, n_postings, n_terms, n_words, n_docs, round(mean_size, 6) AS mean_size FROM (SELECT field, count(*) AS n_postings, count(DISTINCT term) AS n_terms, CAST(sum(tf) AS BIGINT) AS n_words FROM postings GROUP BY field) JOIN means USING (field)",
+    "search_reference_patterns": """SELECT * FROM (VALUES ('artikel 28 lid 3', 'dora-art-28-lid-3', true), ('Overweging 58', 'dora-rct-58', true), ('artikel 5', 'dora-art-5-', false), ('its artikel 2', 'its-art-2-', false), ('rts bijlage iii punt a', 'rts-anx-iii-punt-a', true),
+  ('bijlage iv', 'dora-anx-iv-', false), ('its overweging 7', 'its-rct-7', true), ('artikel', NULL, NULL), ('artikel 5 exit', NULL, NULL), ('its-rts artikel 2', 'its-rts-art-2-', false)) t(query, named, whole)""",
+}

@@ -89,3 +89,24 @@ def test_latest_row_holds_and_descendants(spark):
 
 def test_empty(spark):
     assert rows(run(table(spark, []))) == []
+
+
+def test_a_deep_chain_and_a_long_tail_of_a_loop_take_no_quadratic_room():
+    import time
+
+    import pandas as pd
+
+    n = 60_000
+    chain = pd.DataFrame({"group_key": "c", "node": [f"n{i}" for i in range(n)], "parent": [f"n{i - 1}" if i else "" for i in range(n)], "rank": None})
+    began = time.time()
+    depth = next(H._levels(chain, False)).set_index("node")["depth"]
+    assert depth["n0"] == 0 and depth[f"n{n - 1}"] == n - 1
+    tail = chain.assign(parent=[f"n{i - 1}" if i else "n1" for i in range(n)])
+    out = next(H._levels(tail, False))
+    assert set(out.loc[out["on_loop"], "node"]) == {"n0", "n1"} and (out["depth"] == -1).all()
+    assert time.time() - began < 30
+    sizes = []
+    for piece in H._levels(chain.iloc[:4000], True):
+        sizes.append(int(piece["depth"].sum()) + len(piece))
+        assert all(len(p) == d + 1 and p[-1] == x and p[0] == "n0" for p, d, x in zip(piece["path"], piece["depth"], piece["node"]))
+    assert len(sizes) > 10 and max(sizes) <= H.MAX_STEPS + 4000 and sum(sizes) == 4000 * 4001 // 2

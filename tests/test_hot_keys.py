@@ -16,7 +16,7 @@ T = datetime(2024, 1, 1)
 def test_citations_of_one_page(spark):
     rows = [(i, [("/hot/artikel/1#lid-1" if i % 3 == 0 else f"/cold/artikel/{i}",)], T + timedelta(days=i % 60)) for i in range(6000)]
     nodes = spark.createDataFrame(rows, "node_id long, refs array<struct<href string>>, cited_at timestamp")
-    index = spark.createDataFrame([(1, "/hot", "artikel", "1", "lid-1", T + timedelta(days=10), T + timedelta(days=20))], "index_id long, route_prefix string, target_kind string, target_no string, anchor string, indexed_at timestamp, deleted_at timestamp")
+    index = spark.createDataFrame([(1, "/hot", "artikel", "1", "lid-1", T + timedelta(days=10), T + timedelta(days=20)), (2, "/hot", "artikel", "1", None, T, None)], "index_id long, route_prefix string, target_kind string, target_no string, anchor string, indexed_at timestamp, deleted_at timestamp")
     found = O.orphans(O.citations(nodes, "n", "node_id", F.col("refs.href"), "cited_at"), O.lives(index))
     assert {r["record_id"] for r in found.collect()} == {i for i in range(6000) if i % 3 or not 10 <= i % 60 < 20}
 
