@@ -46,6 +46,22 @@ def slug(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(c), r"[^a-z0-9]+", "-"), r"\A-+|-+\z", "")
 
 
+def without_corrigendum(c: Column) -> Column:
+    """Marks of corrections off: ``►C1 text ◄`` is ``text``."""
+    return F.trim(F.regexp_replace(c, "►C[0-9]+|◄", ""))
+
+
+def file_name(c: Column) -> Column:
+    """Runs of anything but letters, digits, hyphens and underscores of ASCII one underscore."""
+    return F.regexp_replace(c, "[^A-Za-z0-9_-]+", "_")
+
+
+def zero_padded(c: Column, size: int = 2) -> Column:
+    """A whole number with zeros before it; a longer one as it is."""
+    text = c.cast("string")
+    return F.when(F.length(text) < size, F.lpad(text, size, "0")).otherwise(text)
+
+
 def clip(c: Column, size: int = 200, least: int = 120) -> Column:
     """At most ``size`` characters, cut at the last blank but never before ``least``, with an ellipsis."""
     text = F.trim(c)

@@ -272,11 +272,12 @@ class CitationReader:
         return out
 
 
-def find_citations(texts: DataFrame, acts: list[Act] | None = None) -> DataFrame:
+def find_citations(texts: DataFrame, acts: list[Act] | None = None, bare: bool = True) -> DataFrame:
     """Citations of ``texts(row_id, body, act, route_prefix, self_kind, self_ref)``.
 
     An act that is not in the registry is known by the row's own prefix, so a
-    corpus of many acts needs no registry for its bare citations.
+    corpus of many acts needs no registry for its bare citations; with ``bare``
+    off only citations that name their act are links.
     """
     registry = acts or []
 
@@ -289,7 +290,7 @@ def find_citations(texts: DataFrame, acts: list[Act] | None = None) -> DataFrame
                     if len(readers) > 10_000:
                         readers.clear()
                     readers[act, prefix] = CitationReader([*registry, Act(act or "", "", prefix or "")])
-                for i, (start, end, href) in enumerate(readers[act, prefix].find(body, act or "", kind or "", ref or "")):
+                for i, (start, end, href) in enumerate(readers[act, prefix].find(body, act or "", kind or "", ref or "", bare)):
                     rows.append((row_id, i, start, end, href))
             if rows:
                 yield pd.DataFrame(rows, columns=["row_id", "ord", "start_pos", "end_pos", "href"])

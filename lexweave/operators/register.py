@@ -8,11 +8,11 @@ empty text.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexweave.functions.codes import is_iso_date, is_lei
-from lexweave.functions.text import csv_cell
+from lexweave.functions.text import csv_cell, without_corrigendum
 
 MAX_COLUMNS = 10_000
 
@@ -41,8 +41,8 @@ def schema_from_tables(tables: DataFrame) -> DataFrame:
 
     ``tables(cells)``; a row is code, label, kind, instruction, obligation.
     """
-    rows = tables.filter(F.trim(F.element_at(F.element_at("cells", 1), 1)) == "Code kolom").select(F.explode("cells").alias("r")).withColumn("code", F.trim(F.get("r", F.lit(0))))
-    cell = lambda i: F.trim(F.coalesce(F.get("r", F.lit(i)), F.lit("")))
+    rows = tables.filter(without_corrigendum(F.element_at(F.element_at("cells", 1), 1)) == "Code kolom").select(F.explode("cells").alias("r")).withColumn("code", without_corrigendum(F.get("r", F.lit(0))))
+    cell = lambda i: without_corrigendum(F.coalesce(F.get("r", F.lit(i)), F.lit("")))
     return rows.filter(F.col("code").rlike(r"\AB_\d{2}\.\d{2}\.\d{4}\z")).select(
         F.substring("code", 1, 7).alias("template_code"), "code", cell(1).alias("label"), cell(2).alias("soort"), cell(3).alias("instruction"), cell(4).alias("mandatory_raw"), (cell(4) == "Verplicht").alias("mandatory")
     )
@@ -51,7 +51,7 @@ def schema_from_tables(tables: DataFrame) -> DataFrame:
 def templates_from_tables(tables: DataFrame) -> DataFrame:
     """Templates from the overview table: code, name, description; other rows are no templates."""
     rows = tables.filter(F.trim(F.element_at(F.element_at("cells", 1), 1)) == "Code model").select(F.explode("cells").alias("r"))
-    cell = lambda i: F.trim(F.coalesce(F.get("r", F.lit(i)), F.lit("")))
+    cell = lambda i: without_corrigendum(F.coalesce(F.get("r", F.lit(i)), F.lit("")))
     return rows.filter(cell(0).rlike(r"\AB_\d{2}\.\d{2}\z")).select(cell(0).alias("template_code"), cell(1).alias("name"), cell(2).alias("description"))
 
 
@@ -65,21 +65,26 @@ def service_codes(table: DataFrame) -> DataFrame:
 
     ``table(cells)``, one row.
     """
-    cell = lambda i: F.trim(F.coalesce(F.get("r", F.lit(i)), F.lit("")))
+    cell = lambda i: without_corrigendum(F.coalesce(F.get("r", F.lit(i)), F.lit("")))
     rows = table.select(F.explode(F.slice("cells", F.lit(2), F.greatest(F.size("cells") - 1, F.lit(0)))).alias("r"))
     return rows.select(cell(0).alias("code"), F.regexp_replace(cell(1), r"\A\d+\.\s*", "").alias("label"), cell(2).alias("description"))
 
 
 def lists_from_matrix(matrix: DataFrame) -> DataFrame:
-    """Closed lists from a ragged matrix ``(row_no, cells)``: full rows begin a list, shorter ones continue it."""
-    from pyspark.sql import Window
+    """Closed lists from ragged matrices ``(matrix_id, row_no, cells)``: full rows begin a list, shorter ones continue it.
 
-    cells = F.transform("cells", lambda c: F.trim(F.coalesce(c, F.lit(""))))
-    rows = matrix.select("row_no", cells.alias("c")).filter(F.get("c", F.lit(0)).startswith("B_99.01.R"))
+    A matrix is one table of one document, its rows are put in order by its id;
+    without a ``matrix_id`` there is one matrix.
+    """
+    if "matrix_id" not in matrix.columns:
+        matrix = matrix.withColumn("matrix_id", F.lit(0))
+    cells = F.transform("cells", lambda c: without_corrigendum(F.coalesce(c, F.lit(""))))
+    rows = matrix.select("matrix_id", "row_no", cells.alias("c")).filter(F.get("c", F.lit(0)).startswith("B_99.01.R"))
     begins = (F.size("c") >= 4) & F.get("c", F.lit(1)).rlike(r"\AB_\d{2}\.\d{2}\.\d{4}\z")
-    code = F.last(F.when(begins, F.get("c", F.lit(1))), ignorenulls=True).over(Window.orderBy("row_no").rowsBetween(Window.unboundedPreceding, 0))
-    option = F.when(begins, F.get("c", F.lit(3))).otherwise(F.get(F.filter(F.slice("c", 2, 1000), lambda x: x != ""), F.lit(0)))
-    return rows.select("row_no", code.alias("column_code"), option.alias("official_text")).filter("column_code IS NOT NULL AND coalesce(official_text, '') <> ''")
+    in_order = Window.partitionBy("matrix_id").orderBy("row_no").rowsBetween(Window.unboundedPreceding, 0)
+    code = F.last(F.when(begins, F.get("c", F.lit(1))), ignorenulls=True).over(in_order)
+    option = F.when(begins, F.get("c", F.lit(3))).otherwise(F.get(F.filter(F.slice("c", F.lit(2), F.greatest(F.size("c") - 1, F.lit(0))), lambda x: x != ""), F.lit(0)))
+    return rows.select("matrix_id", "row_no", code.alias("column_code"), option.alias("official_text")).filter("column_code IS NOT NULL AND coalesce(official_text, '') <> ''")
 
 
 def overlay_source(columns: DataFrame, questions: DataFrame, automatic: list[str], asked: list[str]) -> DataFrame:

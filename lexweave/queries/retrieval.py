@@ -25,13 +25,13 @@ def _index(spark: SparkSession, sf_dir: str) -> S.Index:
 _saved: dict[tuple, str] = {}
 
 
-def saved_index(spark: SparkSession, sf_dir: str, name: str, docs) -> S.Index:
+def saved_index(spark: SparkSession, sf_dir: str, name: str, docs, kind: str = "") -> S.Index:
     """The stored index over the tables of a folder: built by the first query of a session, loaded by all others.
 
     A table that was written anew since has an index of its own.
     """
     stamp = table(spark, sf_dir, name).select(F.max("_metadata.file_modification_time").alias("t"), F.max("_metadata.file_size").alias("n")).first()
-    key = (spark.sparkContext.applicationId, sf_dir, name, stamp["t"], stamp["n"])
+    key = (spark.sparkContext.applicationId, sf_dir, name, kind, stamp["t"], stamp["n"])
     if key not in _saved:
         path = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
         S.build_index(docs(spark, sf_dir)).save(path)

@@ -1,9 +1,9 @@
 import pytest
 
-from lexweave.queries import corpus, records, retrieval, training
+from lexweave.queries import corpus, reading, records, retrieval, training
 from tests import oracle
 
-CASES = [(m, name) for m in (training, retrieval, corpus, records) for name in m.QUERIES]
+CASES = [(m, name) for m in (training, retrieval, corpus, reading, records) for name in m.QUERIES]
 
 
 @pytest.fixture(scope="module")
