@@ -74,8 +74,15 @@ def walk_fields(value: object, steps: tuple[str, ...]) -> Iterator[tuple[list[st
         yield from go(value, [], steps)
 
 
-def labelled(df: DataFrame, record_id: Column, prefix: Column, text: Column, walk: Callable[[object, list[str]], Iterator[tuple[list[str], dict]]]) -> DataFrame:
-    """``record_id, label, body``: the nodes ``walk`` meets in the JSON ``text`` below ``prefix``."""
+def own_body(node: dict, inner: str | None) -> str:
+    """A node as JSON without the field its own nodes stand in, which have bodies of their own."""
+    return json.dumps({k: v for k, v in node.items() if k != inner} if inner else node, ensure_ascii=False)
+
+
+def labelled(
+    df: DataFrame, record_id: Column, prefix: Column, text: Column, walk: Callable[[object, list[str]], Iterator[tuple[list[str], dict]]], inner: str | None = None, with_body: bool = True
+) -> DataFrame:
+    """``record_id, label, body``: the nodes ``walk`` meets in the JSON ``text`` below ``prefix``; bodies null where they are not wanted."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -84,31 +91,31 @@ def labelled(df: DataFrame, record_id: Column, prefix: Column, text: Column, wal
                 for label, node in walk(raw, list(pre)):
                     ids.append(rid)
                     labels.append(label)
-                    bodies.append(json.dumps(node, ensure_ascii=False))
+                    bodies.append(own_body(node, inner) if with_body else None)
             if ids:
                 yield pd.DataFrame({"record_id": pd.Series(ids, dtype="int64"), "label": labels, "body": bodies})
 
     return df.select(record_id.alias("record_id"), prefix.alias("prefix"), text.alias("raw")).filter("raw IS NOT NULL AND record_id IS NOT NULL").mapInPandas(run, LABEL_SCHEMA)
 
 
-def article_items(articles: DataFrame) -> DataFrame:
+def article_items(articles: DataFrame, with_body: bool = True) -> DataFrame:
     """Dewey-labelled items of list nodes in ``articles.paragraphs.content``."""
     flat = articles.select("article_id", F.posexplode("paragraphs").alias("pos", "p")).filter("p.content IS NOT NULL")
     prefix = F.array(F.concat(F.lit("paragraphs["), F.col("pos"), F.lit("]")))
-    return labelled(flat, F.col("article_id"), prefix, F.col("p.content"), walk_list_items)
+    return labelled(flat, F.col("article_id"), prefix, F.col("p.content"), walk_list_items, "content", with_body)
 
 
-def questionnaire_options(questionnaires: DataFrame) -> DataFrame:
+def questionnaire_options(questionnaires: DataFrame, with_body: bool = True) -> DataFrame:
     """Dewey-labelled options of ``questionnaires.raw_json``."""
-    return labelled(questionnaires, F.col("quest_id"), F.array().cast("array<string>"), F.col("raw_json"), lambda raw, _: walk_fields(raw, ("modules", "questions", "options")))
+    return labelled(questionnaires, F.col("quest_id"), F.array().cast("array<string>"), F.col("raw_json"), lambda raw, _: walk_fields(raw, ("modules", "questions", "options")), None, with_body)
 
 
-def chain_elements(arrangements: DataFrame) -> DataFrame:
+def chain_elements(arrangements: DataFrame, with_body: bool = True) -> DataFrame:
     """Dewey-labelled elements of ``arrangements.chain``; no Python, no shuffle."""
     return (
         arrangements.select(F.col("arr_row").alias("record_id"), F.posexplode("chain").alias("pos", "c"))
         .filter("c IS NOT NULL AND record_id IS NOT NULL")
-        .select("record_id", F.array(F.concat(F.lit("chain["), F.col("pos"), F.lit("]"))).alias("label"), F.to_json("c").alias("body"))
+        .select("record_id", F.array(F.concat(F.lit("chain["), F.col("pos"), F.lit("]"))).alias("label"), (F.to_json("c") if with_body else F.lit(None).cast("string")).alias("body"))
     )
 
 
@@ -141,10 +148,20 @@ def child_table(nodes: DataFrame, table_name: str, steps_to_parent: int) -> Data
     )
 
 
-def nested_tables(arrangements: DataFrame, articles: DataFrame, questionnaires: DataFrame) -> DataFrame:
+def nested_tables(arrangements: DataFrame, articles: DataFrame, questionnaires: DataFrame, with_body: bool = True) -> DataFrame:
     """All child rows of the three nested sources in one labelled form."""
     return (
-        child_table(chain_elements(arrangements), "arrangements", 1)
-        .unionByName(child_table(article_items(articles), "articles", 2))
-        .unionByName(child_table(questionnaire_options(questionnaires), "questionnaires", 1))
+        child_table(chain_elements(arrangements, with_body), "arrangements", 1)
+        .unionByName(child_table(article_items(articles, with_body), "articles", 2))
+        .unionByName(child_table(questionnaire_options(questionnaires, with_body), "questionnaires", 1))
     )
+
+
+def own_columns(children: DataFrame, fields: tuple[str, ...]) -> DataFrame:
+    """A flat table of one kind of node with its fields as columns beside its place and its parent's."""
+    return children.select("record_id", "child_path", "parent_path", "position", *[F.get_json_object("body", f"$.{f}").alias(f) for f in fields])
+
+
+CHAIN_FIELDS = ("id", "service_type", "provider_code", "code_type", "chain_rank", "recipient_code")
+ITEM_FIELDS = ("marker", "anchor")
+OPTION_FIELDS = ("value", "label")

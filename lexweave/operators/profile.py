@@ -123,9 +123,10 @@ def map_class_counts(df: DataFrame, load: str, entries: str, prefix: str, declar
 
 
 def profile(values: DataFrame) -> DataFrame:
-    """Per field and load: rows, blanks, exact distincts, range, violations, top count."""
+    """Per field and load: rows, blanks, exact distincts, range as text, as numbers and as days, violations, top count."""
     filled = F.col("cls") != BLANK
     number = F.expr("try_cast(value AS double)")
+    day = F.when(is_iso_date(F.col("value")), F.try_to_date("value", "yyyy-MM-dd"))
     return values.groupBy("field_name", "load_no").agg(
         F.sum("n").alias("n_rows"),
         F.sum(F.when(filled, 0).otherwise(F.col("n"))).alias("n_blank"),
@@ -134,6 +135,8 @@ def profile(values: DataFrame) -> DataFrame:
         F.max(F.when(filled, F.col("value"))).alias("max_value"),
         F.min(F.when(filled, number)).alias("min_number"),
         F.max(F.when(filled, number)).alias("max_number"),
+        F.min(F.when(filled, day)).alias("min_day"),
+        F.max(F.when(filled, day)).alias("max_day"),
         F.sum(F.when(F.col("violates"), F.col("n")).otherwise(0)).alias("n_violations"),
         F.max(F.when(filled, F.col("n"))).alias("top_count"),
     )

@@ -107,42 +107,54 @@ def bounded_schema(columns: DataFrame, max_columns: int = MAX_COLUMNS) -> list:
     return rows
 
 
-def _schema_array(columns: DataFrame) -> Column:
-    rows = bounded_schema(columns)
-    kinds = {f.name: f.dataType for f in columns.schema}
-    return F.array(*[F.struct(*[F.lit(r[c]).cast(kinds[c]).alias(c) for c in columns.columns]) for r in rows])
-
-
-def list_map(closed_lists: DataFrame) -> Column:
-    """Column code to official texts in order, as a literal; the lists together are checked to be small."""
+def bounded_lists(closed_lists: DataFrame) -> dict[str, list[str]]:
+    """Column code to official texts in order; the lists together are checked to be small."""
     rows = closed_lists.select("column_code", "item_no", "official_text").orderBy("column_code", "item_no").limit(MAX_COLUMNS + 1).collect()
     if len(rows) > MAX_COLUMNS:
         raise ValueError(f"closed lists of more than {MAX_COLUMNS} items")
     lists: dict[str, list[str]] = {}
     for r in rows:
         lists.setdefault(r["column_code"], []).append(r["official_text"])
-    parts = [x for code, texts in lists.items() for x in (F.lit(code), F.array(*map(F.lit, texts)))]
+    return lists
+
+
+def list_map(closed_lists: DataFrame) -> Column:
+    """The lists as a literal."""
+    parts = [x for code, texts in bounded_lists(closed_lists).items() for x in (F.lit(code), F.array(*map(F.lit, texts)))]
     return F.create_map(*parts) if parts else F.create_map().cast("map<string,array<string>>")
 
 
-def resolved(records: DataFrame, columns: DataFrame, closed_lists: DataFrame, derived: dict[str, Column] | None = None, key: str = "arr_row") -> DataFrame:
+def _text(c: Column) -> Column:
+    return F.coalesce(c, F.lit(""))
+
+
+def _with_derived(records: DataFrame, derived: dict[str, Column] | None, key: str) -> tuple[DataFrame, dict[str, Column]]:
+    """Records with the derived values as columns of their own, and these columns by column code."""
+    names = {code: f"_d{i}" for i, code in enumerate(derived or {})}
+    return records.select(key, "answers", "manual", *[v.alias(names[c]) for c, v in (derived or {}).items()]), {c: F.col(n) for c, n in names.items()}
+
+
+def resolved(records: DataFrame, columns: DataFrame, closed_lists: DataFrame, derived: dict[str, Column] | None = None, key: str = "arr_row", templates: list[str] | None = None) -> DataFrame:
     """Every column of every record: by hand before answered before derived before empty.
 
-    ``overridden`` where an entry by hand hides a different answer.
+    ``overridden`` where an entry by hand hides a different answer.  With
+    ``templates`` only their columns are entered into the records.
     """
-    def text(c: Column) -> Column:
-        return F.coalesce(c, F.lit(""))
-
+    rows, own = _with_derived(records, derived, key)
     lists = list_map(closed_lists)
-    rows = records.select(F.col(key), "answers", "manual", *[v.alias(f"_d{i}") for i, v in enumerate((derived or {}).values())], F.explode(_schema_array(columns)).alias("c"))
-    question = F.when(F.col("c.fill_source").startswith("assessment:"), F.substring(F.col("c.fill_source"), 12, 100))
-    raw = text(F.col("answers")[question])
+    schema = [r for r in bounded_schema(columns) if templates is None or r["template_code"] in templates]
+    kinds = {f.name: f.dataType for f in columns.schema}
+    if not schema:
+        return rows.select(key, *[F.lit(None).cast(k).alias(c) for c, k in kinds.items()], F.lit("").alias("value"), F.lit("").alias("origin"), F.lit(False).alias("overridden")).limit(0)
+    entered = rows.withColumn("c", F.explode(F.array(*[F.struct(*[F.lit(r[c]).cast(k).alias(c) for c, k in kinds.items()]) for r in schema])))
+    source = F.col("c.fill_source")
+    raw = _text(F.col("answers")[F.when(source.startswith("assessment:"), F.substring(source, F.lit(12), F.length(source)))])
     options = lists[F.col("c.code")]
     answered = F.when(raw.rlike(r"\AS\d{2}\z"), raw).when(options.isNotNull() & (raw != ""), official_text(raw, options)).when(raw == "ja", "Ja").when(raw == "nee", "Nee").when(raw == "nvt", "N.v.t.").otherwise(raw)
     auto = F.lit("")
-    for i, code in enumerate(derived or {}):
-        auto = F.when(F.col("c.code") == code, text(F.col(f"_d{i}"))).otherwise(auto)
-    parts = rows.select(key, "c.*", text(F.col("manual")[F.col("c.code")]).alias("by_hand"), answered.alias("answered"), auto.alias("derived"))
+    for code, value in own.items():
+        auto = F.when(F.col("c.code") == code, _text(value)).otherwise(auto)
+    parts = entered.select(key, "c.*", _text(F.col("manual")[F.col("c.code")]).alias("by_hand"), answered.alias("answered"), auto.alias("derived"))
     origin = F.when(F.col("by_hand") != "", "manual").when(F.col("answered") != "", "assessment").when(F.col("derived") != "", "auto").otherwise("leeg")
     value = F.when(F.col("by_hand") != "", F.col("by_hand")).when(F.col("answered") != "", F.col("answered")).otherwise(F.col("derived"))
     return parts.select(key, *columns.columns, value.alias("value"), origin.alias("origin"), ((F.col("by_hand") != "") & (F.col("answered") != "") & (F.col("by_hand") != F.col("answered"))).alias("overridden"))
@@ -177,11 +189,40 @@ def validated(fields: DataFrame, closed_lists: DataFrame) -> DataFrame:
 
 
 def completeness(fields: DataFrame, by: list[str]) -> DataFrame:
-    """Mandatory columns and how many of them hold a value."""
+    """Mandatory columns and how many of them hold a value, of resolved fields."""
     wanted = F.coalesce("mandatory", F.lit(False))
     return fields.groupBy(*by).agg(F.count_if(wanted & (F.trim("value") != "")).alias("filled"), F.count_if(wanted).alias("mandatory_total"))
 
 
+def completeness_of_records(records: DataFrame, columns: DataFrame, derived: dict[str, Column] | None = None, key: str = "arr_row") -> DataFrame:
+    """``key, template_code, filled, mandatory_total``: mandatory columns and how many of them hold a value.
+
+    Counted inside each record's row, without a shuffle and without its texts: a
+    value is blank where the entry that counts is, whatever official text an
+    answer stands for.  A template without mandatory columns has 0 of 0.
+    """
+    rows, own = _with_derived(records, derived, key)
+    auto = F.create_map(*[x for code, value in own.items() for x in (F.lit(code), value.cast("string"))]) if own else F.create_map().cast("map<string,string>")
+    by_template: dict[str | None, list] = {}
+    for r in bounded_schema(columns):
+        by_template.setdefault(r["template_code"], []).append(r)
+
+    def holds(c: Column) -> Column:
+        hand, raw = _text(F.col("manual")[c["code"]]), _text(F.col("answers")[c["question"]])
+        return F.trim(F.when(hand != "", hand).when(raw != "", raw).otherwise(_text(F.col("_auto")[c["code"]]))) != ""
+
+    parts = []
+    for template, rs in by_template.items():
+        wanted = [(r["code"], (r["fill_source"] or "").removeprefix("assessment:") if (r["fill_source"] or "").startswith("assessment:") else "") for r in rs if r["mandatory"]]
+        listed = F.array(*[F.struct(F.lit(c).alias("code"), F.lit(q or None).cast("string").alias("question")) for c, q in wanted])
+        filled = F.size(F.filter(listed, holds)) if wanted else F.lit(0)
+        parts.append(F.struct(F.lit(template).cast("string").alias("template_code"), filled.cast("long").alias("filled"), F.lit(len(wanted)).cast("long").alias("mandatory_total")))
+    rows = rows.withColumn("_auto", auto)
+    if not parts:
+        return rows.select(key, F.lit(None).cast("string").alias("template_code"), F.lit(0).cast("long").alias("filled"), F.lit(0).cast("long").alias("mandatory_total")).limit(0)
+    return rows.select(key, F.explode(F.array(*parts)).alias("x")).select(key, "x.*")
+
+
 def supplier_requests(fields: DataFrame, key: str = "arr_row") -> DataFrame:
     """Columns to ask of a supplier that are still empty."""
     return fields.filter(F.coalesce("ask_supplier", F.lit(False)) & (F.trim("value") == "")).select(key, "code", "label", "instruction", "mandatory_raw")
@@ -189,15 +230,15 @@ def supplier_requests(fields: DataFrame, key: str = "arr_row") -> DataFrame:
 
 def template_lines(fields: DataFrame, template: str, key: str = "arr_row") -> DataFrame:
     """A template as CSV lines: codes, labels, then one line a record (line numbers order them within the file)."""
-    own = fields.filter(F.col("template_code") == template)
-    cells = own.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("code", "label", "value"))).alias("x"))
-    line = lambda name: F.array_join(F.transform("x", lambda c: csv_cell(c[name])), ",")
-    head = cells.orderBy(key).limit(1)
-    return (
-        head.select(F.lit(1).alias("part"), F.lit(None).cast("long").alias(key), line("code").alias("line"))
-        .unionByName(head.select(F.lit(2).alias("part"), F.lit(None).cast("long").alias(key), line("label").alias("line")))
-        .unionByName(cells.select(F.lit(3).alias("part"), F.col(key).cast("long").alias(key), line("value").alias("line")))
-    )
+    return lines_of_templates(fields.filter(F.col("template_code") == template), key).drop("template_code")
+
+
+def template_heads(columns: DataFrame, key: str = "arr_row") -> DataFrame:
+    """The two head lines of every template from its columns alone, so a template without records has them too."""
+    cells = columns.groupBy("template_code").agg(F.array_sort(F.collect_list(F.struct("code", "label"))).alias("x"))
+    line = lambda name: F.array_join(F.transform("x", lambda c: csv_cell(c[name])), ",").alias("line")
+    none = F.lit(None).cast("long").alias(key)
+    return cells.select("template_code", F.lit(1).alias("part"), none, line("code")).unionByName(cells.select("template_code", F.lit(2).alias("part"), none, line("label")))
 
 
 def lines_of_templates(fields: DataFrame, key: str = "arr_row") -> DataFrame:

@@ -133,6 +133,14 @@ def obligation_groups(rows: DataFrame, by: list[str]) -> DataFrame:
     return rows.groupBy(*by).agg(F.count("*").alias("n_obligations"), F.count_if(F.col("status") == "voldaan").alias("n_met"), F.bool_or(F.col("status").isin("actie", "open")).alias("needs_attention"))
 
 
+def column_answers(evaluation: DataFrame, modules: tuple[Module, ...], key: str, answers: str = "answers") -> DataFrame:
+    """Visible questions that fill a column, with the column's code and the answer."""
+    filling = [(q.id, q.column_code) for m in modules for q in m.questions if q.column_code]
+    table = F.array(*[F.struct(F.lit(q).alias("question_id"), F.lit(c).alias("column_code")) for q, c in filling]) if filling else F.array().cast("array<struct<question_id:string,column_code:string>>")
+    shown = F.filter(table, lambda x: F.array_contains("visible_questions", x["question_id"]))
+    return evaluation.select(key, F.col(answers).alias("_a"), F.explode(shown).alias("x")).select(key, "x.question_id", "x.column_code", F.col("_a")[F.col("x.question_id")].alias("answer"))
+
+
 def progress(evaluation: DataFrame, modules: tuple[Module, ...], key: str, answers: str = "answers") -> DataFrame:
     """Answered and visible questions of each record, counted inside its row."""
     visible, a = F.col("visible_questions"), F.col(answers)

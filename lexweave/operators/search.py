@@ -83,11 +83,12 @@ class Index:
         is computed from what is written.
         """
         spark = self.postings.sparkSession
-        self.lengths.groupBy("field").agg(F.avg("size").alias("mean_size"), F.count("*").alias("n_docs")).write.parquet(f"{path}/fields")
         self.lengths.write.parquet(f"{path}/lengths")
+        lengths = spark.read.parquet(f"{path}/lengths")
+        lengths.groupBy("field").agg(F.avg("size").alias("mean_size"), F.count("*").alias("n_docs")).write.parquet(f"{path}/fields")
         unsorted = stage(self.postings, "postings")
         unsorted.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/postings")
-        written = Index.of(spark.read.parquet(f"{path}/postings"), self.lengths)
+        written = Index.of(spark.read.parquet(f"{path}/postings"), lengths)
         for name in ("frequencies", "vocabulary"):
             getattr(written, name).repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/{name}")
 

@@ -1,7 +1,6 @@
 """Keyed state from events: latest values, toggles, bounded recency lists, merges.
 
-Batch forms of what ``lexweave.streaming`` keeps incrementally; both give the
-same rows for the same events.
+Batch forms of what ``lexweave.streaming`` keeps incrementally.
 """
 
 from __future__ import annotations
@@ -45,10 +44,14 @@ def reset(state: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
 
 
 def most_recent(events: DataFrame, owner: str, item: str, at: str, size: int = 8) -> DataFrame:
-    """The items an owner visited last, ``size`` at most (without closings this is the bounded list's set)."""
+    """The items an owner visited last, ``size`` at most (without closings this is the bounded list's set).
+
+    Visits are counted per item before the ranks, and the ranks are cut to
+    ``size`` in every partition before an owner's rows meet.
+    """
     visits = events.groupBy(owner, item).agg(F.max(at).alias("last_at"))
-    rank = F.row_number().over(Window.partitionBy(owner).orderBy(F.desc("last_at"), item))
-    return visits.withColumn("rank", rank).filter(F.col("rank") <= size)
+    best = Window.partitionBy(owner).orderBy(F.desc("last_at"), item)
+    return visits.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= size)
 
 
 def bounded_lists(events: DataFrame, owner: str, item: str, at: str, closed: Column, tie: str, size: int = 8) -> DataFrame:
@@ -101,3 +104,29 @@ def with_version(raw: DataFrame, column: str, schema: str, version: int = 1) ->
     """Stored states of the version known; any other, and what cannot be read, counts as none."""
     parsed = raw.withColumn("state", F.from_json(column, schema))
     return parsed.filter((F.col("state.v") == version))
+
+
+_RECORD = "(schema_of_variant(try_variant_get(x, '$.id', 'variant')) = 'STRING' AND schema_of_variant(try_variant_get(x, '$.name', 'variant')) = 'STRING' AND schema_of_variant(try_variant_get(x, '$.answers', 'variant')) LIKE 'OBJECT%')"
+
+
+def imported(raw: DataFrame, column: str, version: int = 1) -> DataFrame:
+    """States to import with ``records``, their valid records as JSON, and ``n_imported``, how many those are.
+
+    -1 and no records for what cannot be read, is of another version, or has no
+    array of arrangements; a record is valid with a text id, a text name and
+    answers that are an object.
+    """
+    parsed = raw.withColumn("_v", F.expr(f"try_parse_json({column})"))
+    kind = F.expr("schema_of_variant(try_variant_get(_v, '$.arrangements', 'variant'))")
+    readable = F.coalesce((F.expr("try_variant_get(_v, '$.v', 'int')") == version) & kind.startswith("ARRAY"), F.lit(False))
+    parsed = parsed.withColumn("_all", F.when(readable, F.expr("try_variant_get(_v, '$.arrangements', 'array<variant>')")))
+    valid = F.expr(f"transform(filter(_all, x -> coalesce({_RECORD}, false)), x -> to_json(x))")
+    out = parsed.withColumn("records", F.coalesce(F.when(readable, valid), F.array().cast("array<string>")))
+    return out.withColumn("n_imported", F.when(readable, F.size("records")).otherwise(-1)).drop("_v", "_all")
+
+
+def exported(records: DataFrame, columns: dict[str, str], version: int = 1) -> DataFrame:
+    """``state_json``: each record as a whole state with its version; ``columns`` maps names of the state to columns. Null fields stand as null."""
+    record = F.struct(*[F.col(c).alias(name) for name, c in columns.items()])
+    whole = F.to_json(F.struct(F.lit(version).alias("v"), F.array(record).alias("arrangements")), {"ignoreNullFields": "false"})
+    return records.withColumn("state_json", whole)

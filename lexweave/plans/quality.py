@@ -60,6 +60,20 @@ def without_text(df: DataFrame, key: str, text: str, phrases: dict[str, str]) ->
     return wanted.select(key, phrase.alias("phrase"), F.contains(F.col(text), phrase).alias("found")).filter("NOT coalesce(found, false)")
 
 
+def not_exactly_once(listed: DataFrame, things: DataFrame, keys: list[str]) -> DataFrame:
+    """Things a list has not or has more than once, and entries that are no thing; ``n_listed`` tells which."""
+    counted = listed.groupBy(*keys).agg(F.count("*").alias("n_listed"))
+    joined = things.select(*keys).distinct().withColumn("is_thing", F.lit(True)).join(counted, keys, "full_outer")
+    return joined.select(*keys, F.coalesce("is_thing", F.lit(False)).alias("is_thing"), F.coalesce("n_listed", F.lit(0)).alias("n_listed")).filter("NOT is_thing OR n_listed <> 1")
+
+
+def off_list(rows: DataFrame, key: str, condition: Column, pinned: DataFrame) -> DataFrame:
+    """Keys that meet a condition and are not on its pinned list, and those on the list that do not meet it."""
+    meets = rows.filter(F.coalesce(condition, F.lit(False))).select(key).distinct().withColumn("meets", F.lit(True))
+    listed = pinned.select(key).distinct().withColumn("listed", F.lit(True))
+    return meets.join(listed, key, "full_outer").filter("meets IS NULL OR listed IS NULL").select(key, F.when(F.col("listed").isNull(), "not listed").otherwise("does not meet").alias("problem"))
+
+
 def changed_between_runs(first: DataFrame, second: DataFrame) -> DataFrame:
     """Rows that two runs of one query do not share."""
     return first.exceptAll(second).unionByName(second.exceptAll(first))

@@ -447,9 +447,9 @@ def _expected_spans() -> str:
 
 
 def _search_sql() -> str:
-    from lexweave.queries.retrieval import _sql_expanded, _prefix
+    from lexweave.queries.retrieval import _exact, _prefix, _sql_expanded
 
-    inner = _sql_expanded([_prefix(g, t) for g, t in enumerate(("exitstrategie", "herzien"))], 2.0).lstrip()
+    inner = _sql_expanded([_prefix(g, t) if len(t) >= 5 else _exact(g, t) for t, g in S.term_groups("exitstrategie herzien", S.PRECISION).items()], 2.0).lstrip()
     docs = "SELECT doc_id, title AS heading, text, source, lang FROM documents"
     return f"WITH {_SDOCS}, " + inner.removeprefix("WITH ").replace(docs, "SELECT doc_id, heading, text FROM sdocs") + """
 SELECT doc_id, type, act, heading, url, coverage, score FROM (SELECT * FROM scored ORDER BY coverage DESC, score DESC, doc_id LIMIT 50) JOIN sdocs USING (doc_id) WHERE type = 'artikel' ORDER BY coverage DESC, score DESC, doc_id LIMIT 10"""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -88,10 +90,15 @@ def register_schema(spark, sf_dir):
     return _schema(spark, sf_dir)
 
 
-def _fields(spark, sf_dir):
+def _register(spark, sf_dir):
+    """Records, columns, lists and derived values of the register."""
     records = heavy_table(spark, sf_dir, "arrangements", "arr_row", "answers", "manual")
     derived = {"B_21.01.0050": F.col("answers")["s1.1"], "B_22.01.0120": F.col("answers")["s1.3"]}
-    return G.resolved(records, _schema(spark, sf_dir), table(spark, sf_dir, "closed_lists"), derived)
+    return records, _schema(spark, sf_dir), table(spark, sf_dir, "closed_lists"), derived
+
+
+def _fields(spark, sf_dir, templates=None):
+    return G.resolved(*_register(spark, sf_dir), templates=templates)
 
 
 def field_priority_resolve(spark, sf_dir):
@@ -106,7 +113,8 @@ def field_validate(spark, sf_dir):
 
 def completeness(spark, sf_dir):
     """Mandatory columns filled per arrangement and template."""
-    return G.completeness(_fields(spark, sf_dir), ["arr_row", "template_code"])
+    records, columns, _, derived = _register(spark, sf_dir)
+    return G.completeness_of_records(records, columns, derived)
 
 
 def supplier_request(spark, sf_dir):
@@ -121,7 +129,7 @@ def request_documents(spark, sf_dir):
 
 def template_export(spark, sf_dir):
     """One template as CSV lines; ``template_export_all`` has all."""
-    return G.template_lines(_fields(spark, sf_dir), "B_21.01")
+    return G.template_lines(_fields(spark, sf_dir, ["B_21.01"]), "B_21.01")
 
 
 def template_export_all(spark, sf_dir):
@@ -162,9 +170,116 @@ def lei_mod97(spark, sf_dir):
     return table(spark, sf_dir, "chain_rows").groupBy("code_type").agg(F.count("*").alias("n"), F.count_if(is_lei(F.upper(F.trim("provider_code")))).alias("n_valid"))
 
 
+_STATE = {"id": "arrangement_id", "name": "arr_name", "answers": "answers", "manual": "manual", "chain": "chain", "createdAt": "created_at", "updatedAt": "updated_at"}
+_STATE_SCHEMA = "v int, arrangements array<struct<id string, name string, answers map<string,string>, manual map<string,string>, chain array<struct<id string, provider_code string, recipient_code string>>, createdAt long, updatedAt long>>"
+
+
 def state_export(spark, sf_dir):
-    """Arrangements as the JSON that is exported."""
-    return table(spark, sf_dir, "arrangements").select("arr_row", F.to_json(F.struct("arrangement_id", "arr_name", F.col("updated_at"))).alias("state_json"))
+    """Arrangements exported as whole states in JSON and read back: every field of each."""
+    out = S.exported(table(spark, sf_dir, "arrangements"), _STATE)
+    back = S.with_version(out, "state_json", _STATE_SCHEMA).select("arr_row", F.col("state.arrangements")[0].alias("a"))
+    entries = lambda m: F.array_join(F.transform(F.array_sort(F.map_entries(m)), lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit("~")))), "|")
+    chain = F.array_join(F.transform("a.chain", lambda c: F.coalesce(F.concat_ws(">", F.coalesce(c["provider_code"], F.lit("")), F.coalesce(c["recipient_code"], F.lit(""))), F.lit("~"))), "|")
+    return back.select("arr_row", "a.id", "a.name", entries("a.answers").alias("answers"), entries("a.manual").alias("manual"), F.when(F.col("a.chain").isNotNull(), chain).alias("chain"), "a.createdAt", "a.updatedAt")
+
+
+def _incoming(spark, sf_dir):
+    """Files to import: whole states, of other versions, cut short, or of another shape."""
+    a = S.exported(table(spark, sf_dir, "arrangements"), _STATE)
+    raw = (
+        F.when(F.col("arr_row") % 11 == 0, F.replace("state_json", F.lit('{"v":1'), F.lit('{"v":2'))).when(F.col("arr_row") % 13 == 0, F.substring("state_json", 1, 20)).when(F.col("arr_row") % 17 == 0, F.lit('{"v":1,"arrangements":{"id":"x"}}'))
+        .when(F.col("arr_row") % 19 == 0, F.lit('{"v":1,"arrangements":[{"id":"a","name":"b","answers":{}},{"id":7,"name":"b","answers":{}},{"id":"c","name":"d","answers":null},null,{"id":"e","answers":{}}]}')).otherwise(F.col("state_json"))
+    )
+    return a.select("arr_row", raw.alias("raw"))
+
+
+def import_result(spark, sf_dir):
+    """How many records each file brings in; -1 for a file that is no state of the version."""
+    return S.imported(_incoming(spark, sf_dir), "raw").select("arr_row", "n_imported", F.array_join(F.transform("records", lambda r: F.get_json_object(r, "$.id")), ",").alias("ids"))
+
+
+def template_heads(spark, sf_dir):
+    """The head lines of every template, of those without records too."""
+    return G.template_heads(_schema(spark, sf_dir).unionByName(_schema(spark, sf_dir).limit(1).withColumn("template_code", F.lit("B_98.01")).withColumn("code", F.lit("B_98.01.0010")).withColumn("label", F.lit("a;b"))))
+
+
+def _instruction_tables(spark, sf_dir):
+    """The published columns as the tables of an annex: an overview, one instruction table a template with marks of corrections, and others."""
+    c = _schema(spark, sf_dir).filter("label IS NOT NULL")
+    code = F.when(F.col("code").endswith("50"), F.concat(F.lit("►C1 "), "code", F.lit(" ◄"))).otherwise(F.col("code"))
+    row = F.array(code, F.concat(F.lit(" "), "label"), F.coalesce("soort", F.lit("")), F.coalesce("instruction", F.lit("")), F.coalesce("mandatory_raw", F.lit("")))
+    head = F.array(*map(F.lit, ("Code kolom", "Naam", "Soort", "Instructie", "Keuze")))
+    noise = F.array(F.lit("B_99.01.R0010"), F.lit("x"))
+    tables = c.groupBy("template_code").agg(F.concat(F.array(head), F.array_sort(F.collect_list(row)), F.array(noise)).alias("cells"))
+    overview = c.select("template_code").distinct().filter("template_code <> 'B_25.01'").agg(
+        F.concat(F.array(F.array(F.lit("Code model"), F.lit("Naam"), F.lit("Beschrijving"))), F.array_sort(F.collect_list(F.array(F.col("template_code"), F.concat(F.lit("Model "), "template_code"), F.lit("Tekst ◄")))), F.array(F.array(F.lit("B_99"), F.lit(""), F.lit("")))).alias("cells")
+    )
+    return tables.select("cells").unionByName(overview)
+
+
+def schema_derivation(spark, sf_dir):
+    """Columns read from instruction tables, those of templates in the overview only."""
+    tables = _instruction_tables(spark, sf_dir)
+    return G.schema_of_templates(G.schema_from_tables(tables), G.templates_from_tables(tables))
+
+
+def schema_templates(spark, sf_dir):
+    """Templates read from the overview table."""
+    return G.templates_from_tables(_instruction_tables(spark, sf_dir))
+
+
+def closed_list_matrix(spark, sf_dir):
+    """Closed lists read from ragged matrices: full rows begin a list, shorter ones continue it."""
+    l = table(spark, sf_dir, "closed_lists")
+    full = F.array(F.lit("B_99.01.R0010"), F.col("column_code"), F.col("column_label"), F.col("official_text"))
+    short = F.array(F.lit("B_99.01.R0020"), F.lit(""), F.col("official_text"))
+    rows = l.select(F.substring("column_code", 1, 7).alias("matrix_id"), F.concat("column_code", F.lpad(F.col("item_no").cast("string"), 5, "0")).alias("row_no"), F.when(F.col("item_no") == 1, full).otherwise(short).alias("cells"))
+    other = rows.filter("row_no LIKE '%00001'").select("matrix_id", F.concat(F.lit("A"), "row_no").alias("row_no"), F.array(F.lit("kop"), F.lit("B_99.01.C0010")).alias("cells"))
+    return G.lists_from_matrix(rows.unionByName(other)).select("column_code", "official_text")
+
+
+def service_codes(spark, sf_dir):
+    """Codes read from a table with a head, numbering before the labels dropped."""
+    l = table(spark, sf_dir, "closed_lists").groupBy("column_code").agg(F.array_sort(F.collect_list(F.array(F.concat(F.lit("S"), F.lpad(F.col("item_no").cast("string"), 2, "0")), F.concat(F.col("item_no"), F.lit(". Dienst "), "item_no"), F.col("column_label")))).alias("r"))
+    return G.service_codes(l.select(F.concat(F.array(F.array(F.lit("Code"), F.lit("Naam"), F.lit("Uitleg"))), "r").alias("cells")))
+
+
+def fill_sources(spark, sf_dir):
+    """Where each published column is filled from: a question before a derivation before the supplier before by hand."""
+    c = _schema(spark, sf_dir).select("code", "label")
+    questions = table(spark, sf_dir, "closed_lists").select(F.concat(F.lit("q-"), "column_code").alias("question_id"), "column_code", F.lit(1).alias("pos")).distinct().unionByName(
+        spark.createDataFrame([("q-kapot", "geen code", 1)], "question_id string, column_code string, pos int")
+    )
+    return G.overlay_source(c, questions, ["B_21.01.0020", "B_21.01.0050", "B_22.01.0090"], ["B_22.01.0090", "B_22.01.0120", "B_21.01.0020"])
+
+
+def remapped_lists(spark, sf_dir):
+    """Lists under old numbers moved to the columns that replaced them, where these exist."""
+    l = table(spark, sf_dir, "closed_lists")
+    codes = [r["column_code"] for r in l.select("column_code").distinct().orderBy("column_code").limit(G.MAX_COLUMNS).collect()]
+    old = l.withColumn("column_code", F.regexp_replace("column_code", r"\AB_", "X_"))
+    columns = l.select(F.col("column_code").alias("code")).distinct().filter("code <> 'B_21.01.0020'")
+    return G.remapped(old, columns, {f"X_{c[2:]}": c for c in codes}).select("column_code", "item_no", "official_text")
+
+
+def rule_derived_flags(spark, sf_dir):
+    """Flags derived from flags: one that holds with two others, one that ends up known only after the last question."""
+    derive = lambda flags: {"zwaar": flags.get("digitaal", F.lit(False)) & flags.get("kritiek", F.lit(False)), "licht": ~flags.get("keten", F.lit(False))}
+    return R.evaluated(_arrangements(spark, sf_dir).select("arr_row", "answers"), MODULES, derive=derive).select("arr_row", F.array_join("flags", ",").alias("flags"))
+
+
+def rule_column_questions(spark, sf_dir):
+    """Visible questions that fill a column of the register, and their answers."""
+    codes = {"s1.1": "B_21.01.0010", "s4.2": "B_22.01.0020", "s12.1": "B_23.01.0030"}
+    modules = tuple(R.Module(m.id, tuple(replace(q, column_code=codes.get(q.id)) for q in m.questions), m.show_if) for m in MODULES)
+    e = R.evaluated(_arrangements(spark, sf_dir).select("arr_row", "answers"), modules)
+    return R.column_answers(e, modules, "arr_row")
+
+
+def stream_windowed_counts(spark, sf_dir):
+    """Events per hour and kind from a stream whose windows stay open long enough."""
+    stream = keyed.windowed_counts(keyed.file_stream(spark, f"{sf_dir}/events.parquet"), "ts", "event_type", lateness="20000 days")
+    return keyed.run_available(stream, "complete")
 
 
 def versioned_state(spark, sf_dir):
@@ -271,8 +386,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         rule_visibility, rule_obligations, rule_obligation_groups, rule_progress, rule_first_incomplete, rule_labels, rule_split, regime_ladder, timeline, register_schema, field_priority_resolve, field_validate, completeness,
-        supplier_request, request_documents, template_export, template_export_all, chain_explode_rank, csv_document, csv_document_all, closed_list_prefix, lei_mod97, state_export, versioned_state, latest_per_key, latest_without_blank, alive_keys, toggle_parity, bulk_reset, lru8_recent,
-        lru8_with_closes, merge_import, stream_latest_per_key, stream_toggle_parity, stream_bounded_lists, extra_rollup, extra_cube, extra_full_outer, extra_intersect, extra_window,
+        supplier_request, request_documents, template_export, template_export_all, chain_explode_rank, csv_document, csv_document_all, template_heads, schema_derivation, schema_templates, closed_list_matrix, service_codes, fill_sources, remapped_lists, rule_derived_flags, rule_column_questions, closed_list_prefix, lei_mod97, state_export, import_result, versioned_state, latest_per_key, latest_without_blank, alive_keys, toggle_parity, bulk_reset, lru8_recent,
+        lru8_with_closes, merge_import, stream_latest_per_key, stream_toggle_parity, stream_bounded_lists, stream_windowed_counts, extra_rollup, extra_cube, extra_full_outer, extra_intersect, extra_window,
     )
 }
 
@@ -352,3 +467,23 @@ SELECT arr_row, CAST(pos AS INTEGER) AS pos, {_CSV.format(c='ref')} || ',' || {_
 SQL["template_export_all"] = _FIELDS + f""", h AS (SELECT DISTINCT template_code, code, label FROM fields)
 SELECT template_code, 1 AS part, CAST(NULL AS BIGINT) AS arr_row, string_agg({_CSV.format(c="code")}, ',' ORDER BY code) AS line FROM h GROUP BY template_code UNION ALL SELECT template_code, 2, NULL, string_agg({_CSV.format(c="label")}, ',' ORDER BY code) FROM h GROUP BY template_code UNION ALL SELECT template_code, 3, arr_row, string_agg({_CSV.format(c="value")}, ',' ORDER BY code) FROM fields GROUP BY template_code, arr_row"""
 SQL["csv_document_all"] = f"WITH {_COLS} SELECT template_code, string_agg({_CSV.format(c='code')} || ',' || {_CSV.format(c='label')} || ',' || {_CSV.format(c='mandatory_raw')}, chr(13) || chr(10) ORDER BY code) AS csv FROM c GROUP BY template_code"
+_ENTRIES = "(SELECT string_agg(e.key || '=' || coalesce(e.value, '~'), '|' ORDER BY e.key) FROM (SELECT unnest(map_entries({c})) AS e))"
+_ENTRY_TEXT = "CASE WHEN {c} IS NOT NULL THEN coalesce(" + _ENTRIES + ", '') END"
+SQL |= {
+    "state_export": f"""SELECT arr_row, arrangement_id AS id, arr_name AS name, {_ENTRY_TEXT.format(c='answers')} AS answers, {_ENTRY_TEXT.format(c='manual')} AS manual,
+  CASE WHEN chain IS NOT NULL THEN array_to_string(list_transform(chain, lambda c: CASE WHEN c IS NULL THEN '>' ELSE coalesce(c.provider_code, '') || '>' || coalesce(c.recipient_code, '') END), '|') END AS chain, created_at AS "createdAt", updated_at AS "updatedAt" FROM arrangements""",
+    "import_result": """SELECT arr_row, CASE WHEN arr_row % 11 = 0 OR arr_row % 13 = 0 OR arr_row % 17 = 0 THEN -1 WHEN arr_row % 19 = 0 THEN 1 WHEN arrangement_id IS NOT NULL AND arr_name IS NOT NULL AND answers IS NOT NULL THEN 1 ELSE 0 END AS n_imported,
+  CASE WHEN arr_row % 11 = 0 OR arr_row % 13 = 0 OR arr_row % 17 = 0 THEN '' WHEN arr_row % 19 = 0 THEN 'a' WHEN arrangement_id IS NOT NULL AND arr_name IS NOT NULL AND answers IS NOT NULL THEN arrangement_id ELSE '' END AS ids FROM arrangements""",
+    "template_heads": f"""WITH {_COLS}, a AS (SELECT template_code, code, label FROM c UNION ALL SELECT 'B_98.01', 'B_98.01.0010', 'a;b')
+SELECT template_code, 1 AS part, CAST(NULL AS BIGINT) AS arr_row, string_agg({_CSV.format(c='code')}, ',' ORDER BY code) AS line FROM a GROUP BY template_code UNION ALL SELECT template_code, 2, NULL, string_agg({_CSV.format(c='label')}, ',' ORDER BY code) FROM a GROUP BY template_code""",
+    "schema_derivation": f"WITH {_COLS} SELECT substring(code, 1, 7) AS template_code, code, trim(label, ' ') AS label, trim(coalesce(soort, ''), ' ') AS soort, trim(coalesce(instruction, ''), ' ') AS instruction, trim(coalesce(mandatory_raw, ''), ' ') AS mandatory_raw, trim(coalesce(mandatory_raw, ''), ' ') = 'Verplicht' AS mandatory FROM c WHERE label IS NOT NULL AND template_code <> 'B_25.01'",
+    "schema_templates": f"WITH {_COLS} SELECT DISTINCT template_code, 'Model ' || template_code AS name, 'Tekst' AS description FROM c WHERE label IS NOT NULL AND template_code <> 'B_25.01'",
+    "closed_list_matrix": "SELECT column_code, trim(official_text, ' ') AS official_text FROM closed_lists",
+    "service_codes": "SELECT 'S' || lpad(CAST(item_no AS VARCHAR), 2, '0') AS code, 'Dienst ' || item_no AS label, trim(column_label, ' ') AS description FROM closed_lists",
+    "fill_sources": f"""WITH {_COLS} SELECT code, label, CASE WHEN code IN (SELECT column_code FROM closed_lists) THEN 'assessment:q-' || code WHEN code IN ('B_21.01.0020', 'B_21.01.0050', 'B_22.01.0090') THEN 'auto' WHEN code IN ('B_22.01.0090', 'B_22.01.0120', 'B_21.01.0020') THEN 'supplier' ELSE 'manual' END AS fill_source,
+  code IN ('B_22.01.0090', 'B_22.01.0120', 'B_21.01.0020') AND (code IN (SELECT column_code FROM closed_lists) OR code NOT IN ('B_21.01.0020', 'B_21.01.0050', 'B_22.01.0090')) AS ask_supplier FROM c""",
+    "remapped_lists": "SELECT CASE WHEN column_code = 'B_21.01.0020' THEN 'X_21.01.0020' ELSE column_code END AS column_code, item_no, official_text FROM closed_lists",
+    "rule_derived_flags": _V + "SELECT arr_row, array_to_string(list_sort(list_filter([CASE WHEN digitaal THEN 'digitaal' END, CASE WHEN groep THEN 'groep' END, CASE WHEN keten THEN 'keten' END, CASE WHEN kritiek THEN 'kritiek' END, CASE WHEN digitaal AND kritiek THEN 'zwaar' END, CASE WHEN NOT keten THEN 'licht' END], lambda x: x IS NOT NULL)), ',') AS flags FROM g",
+    "rule_column_questions": _V + "SELECT arr_row, question_id, CASE question_id WHEN 's1.1' THEN 'B_21.01.0010' WHEN 's4.2' THEN 'B_22.01.0020' ELSE 'B_23.01.0030' END AS column_code, answer FROM v WHERE question_id IN ('s1.1', 's4.2', 's12.1')",
+    "stream_windowed_counts": SQL["extra_window"],
+}

@@ -350,3 +350,12 @@ SELECT * FROM (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id OR
     "search_reference_patterns": """SELECT * FROM (VALUES ('artikel 28 lid 3', 'dora-art-28-lid-3', true), ('Overweging 58', 'dora-rct-58', true), ('artikel 5', 'dora-art-5-', false), ('its artikel 2', 'its-art-2-', false), ('rts bijlage iii punt a', 'rts-anx-iii-punt-a', true),
   ('bijlage iv', 'dora-anx-iv-', false), ('its overweging 7', 'its-rct-7', true), ('artikel', NULL, NULL), ('artikel 5 exit', NULL, NULL), ('its-rts artikel 2', 'its-rts-art-2-', false)) t(query, named, whole)""",
 }
+SQL["roman_numbers"] = """WITH r AS (SELECT n, ['', 'M', 'MM', 'MMM'][n // 1000 + 1] || ['', 'C', 'CC', 'CCC', 'CD', 'D', 'DC', 'DCC', 'DCCC', 'CM'][n // 100 % 10 + 1] || ['', 'X', 'XX', 'XXX', 'XL', 'L', 'LX', 'LXX', 'LXXX', 'XC'][n // 10 % 10 + 1] || ['', 'I', 'II', 'III', 'IV', 'V', 'VI', 'VII', 'VIII', 'IX'][n % 10 + 1] AS sign FROM (SELECT unnest(range(1, 4000)) AS n))
+SELECT article_id, CAST(n AS INTEGER) AS chapter_no, sign AS chapter_again FROM articles LEFT JOIN r ON sign = upper(trim(chapter, ' '))"""
+_SNIPPET_TERMS = ("exitstrategie", "testverslag")
+SQL["snippet_text"] = _sql_scored(_DOCS, _TERMS) + f""", h AS (SELECT doc_id, text FROM (SELECT * FROM scored {_BEST} LIMIT 20) s JOIN documents USING (doc_id)),
+d AS (SELECT doc_id, text, {_FOLD.format(c='text')} AS f FROM h),
+s AS ({' UNION ALL '.join(_SPOT.format(t=t, n=len(t)) for t in _SNIPPET_TERMS)}),
+r AS (SELECT a.doc_id, a.position, a.term, count(DISTINCT b.term) AS n_distinct, count(*) AS n_matches FROM s a JOIN s b ON a.doc_id = b.doc_id AND b.position BETWEEN a.position AND a.position + 240 GROUP BY ALL),
+b AS (SELECT doc_id, greatest(position - 40, 0) AS st FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n_distinct DESC, n_matches DESC, position) AS k FROM r) WHERE k = 1)
+SELECT doc_id, CASE WHEN length(text) <= 600 THEN text WHEN st IS NULL THEN substring(text, 1, 400) || '…' ELSE CASE WHEN st > 0 THEN '…' ELSE '' END || trim(substring(text, st + 1, 400), E' \\n\\t\\r') || CASE WHEN st + 400 < length(text) THEN '…' ELSE '' END END AS snippet FROM d LEFT JOIN b USING (doc_id)""".replace("+ 240", "+ 400")

@@ -61,31 +61,19 @@ def p1_found(spark: SparkSession, sf_dir: str, threshold: float = 0.2) -> DataFr
 
 
 def p1_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows, blanks, exact distincts, ranges and violations per load of the fields of ``p1_found``; ``p1_profile_all`` has every answer."""
-    out = _split_name(P.profile(_counts(spark, sf_dir, P.value_counts)))
-    return out.select("table_name", "field_name", "load_no", "n_rows", "n_blank", "n_distinct", "min_value", "max_value", "n_violations", "top_count")
-
-
-def p1_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Total variation, chi-square and stability index of every load, for the fields of ``p1_found``; ``p1_drift_all`` has every answer."""
-    out = _split_name(P.drift(_counts(spark, sf_dir, P.class_counts)))
-    return out.select("table_name", "field_name", "load_no", "before_load", "degrees", *[F.round(c, 6).alias(c) for c in ("total_variation", "chi_square", "stability_index")])
-
-
-def p1_profile_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows, blanks, exact distincts, ranges as text and as numbers, and violations per field and load, for every answer id that occurs."""
+    """Rows, blanks, exact distincts, ranges as text, as numbers and as days, and violations per field and load, for every answer id that occurs."""
     out = _split_name(P.profile(_counts(spark, sf_dir, P.value_counts, P.map_value_counts)))
-    return out.select("table_name", "field_name", "load_no", "n_rows", "n_blank", "n_distinct", "min_value", "max_value", "min_number", "max_number", "n_violations", "top_count")
+    return out.select("table_name", "field_name", "load_no", "n_rows", "n_blank", "n_distinct", "min_value", "max_value", "min_number", "max_number", "min_day", "max_day", "n_violations", "top_count")
 
 
-def p1_drift_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def p1_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Total variation, chi-square and stability index of every load, for every answer id that occurs."""
     out = _split_name(P.drift(_counts(spark, sf_dir, P.class_counts, P.map_class_counts)))
     return out.select("table_name", "field_name", "load_no", "before_load", "degrees", *[F.round(c, 6).alias(c) for c in ("total_variation", "chi_square", "stability_index")])
 
 
-def _nested(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return N.nested_tables(table(spark, sf_dir, "arrangements"), heavy_table(spark, sf_dir, "articles", "article_id", "paragraphs"), heavy_table(spark, sf_dir, "questionnaires", "quest_id", "raw_json"))
+def _nested(spark: SparkSession, sf_dir: str, with_body: bool = False) -> DataFrame:
+    return N.nested_tables(table(spark, sf_dir, "arrangements"), heavy_table(spark, sf_dir, "articles", "article_id", "paragraphs"), heavy_table(spark, sf_dir, "questionnaires", "quest_id", "raw_json"), with_body)
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,14 +82,29 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_children(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The flat child tables with their own fields."""
-    return _nested(spark, sf_dir).select(
+    """The flat child tables in one form; each with its own columns are ``p2_chain_links``, ``p2_list_items`` and ``p2_options``."""
+    return _nested(spark, sf_dir, True).select(
         "table_name", "record_id", "child_path", "parent_path", "position", "schema_path",
         F.coalesce(F.get_json_object("body", "$.id"), F.get_json_object("body", "$.value"), F.get_json_object("body", "$.marker")).alias("own_key"),
         F.coalesce(F.get_json_object("body", "$.provider_code"), F.get_json_object("body", "$.label"), F.get_json_object("body", "$.anchor")).alias("own_text"),
     )
 
 
+def p2_chain_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table of ``arrangements.chain``."""
+    return N.own_columns(N.child_table(N.chain_elements(table(spark, sf_dir, "arrangements")), "arrangements", 1), N.CHAIN_FIELDS)
+
+
+def p2_list_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table of list items below ``articles.paragraphs.content``."""
+    return N.own_columns(N.child_table(N.article_items(heavy_table(spark, sf_dir, "articles", "article_id", "paragraphs")), "articles", 2), N.ITEM_FIELDS)
+
+
+def p2_options(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table of options of ``questionnaires``."""
+    return N.own_columns(N.child_table(N.questionnaire_options(heavy_table(spark, sf_dir, "questionnaires", "quest_id", "raw_json")), "questionnaires", 1), N.OPTION_FIELDS)
+
+
 def p2_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows, records and depth of each flat table (schema path)."""
     return _nested(spark, sf_dir).groupBy("table_name", "schema_path").agg(F.count("*").alias("n_rows"), F.max("depth").alias("max_depth"))
@@ -152,7 +155,7 @@ def p6_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.ancestor_pairs(_tree(spark, sf_dir, True)).select(F.col("group_key").alias("contract_ref"), "ancestor", "descendant", "distance")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_profile, p1_drift, p1_profile_all, p1_drift_all, p2_found, p2_children, p2_tables, p5_found, p5_counts, p6_found, p6_paths, p6_descendants)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_profile, p1_drift, p2_found, p2_children, p2_chain_links, p2_list_items, p2_options, p2_tables, p5_found, p5_counts, p6_found, p6_paths, p6_descendants)}
 
 _LEI_DIGITS = "list_aggregate(list_transform(regexp_split_to_array({c}, ''), lambda x: CASE WHEN x BETWEEN 'A' AND 'Z' THEN CAST(ascii(x) - 55 AS VARCHAR) ELSE x END), 'string_agg', '')"
 
@@ -283,5 +286,21 @@ def _with_all_answers(sql: str) -> str:
     return sql.replace(_sql_values(), " UNION ALL ".join([parts[0], _SQL_ANSWERS, parts[-1]]))
 
 
-SQL |= {f"{name}_all": _with_all_answers(SQL[name]) for name in ("p1_profile", "p1_drift")}
-SQL["p1_profile_all"] = SQL["p1_profile_all"].replace("AS max_value,", "AS max_value, min(TRY_CAST(value AS DOUBLE)) FILTER (cls <> 'blank') AS min_number, max(TRY_CAST(value AS DOUBLE)) FILTER (cls <> 'blank') AS max_number,")
+SQL |= {name: _with_all_answers(SQL[name]) for name in ("p1_profile", "p1_drift")}
+_DAY = "CASE WHEN regexp_full_match(value, '[0-9]{4}-[0-9]{2}-[0-9]{2}') THEN TRY_CAST(value AS DATE) END"
+SQL["p1_profile"] = SQL["p1_profile"].replace(
+    "AS max_value,", f"AS max_value, min(TRY_CAST(value AS DOUBLE)) FILTER (cls <> 'blank') AS min_number, max(TRY_CAST(value AS DOUBLE)) FILTER (cls <> 'blank') AS max_number, min({_DAY}) FILTER (cls <> 'blank') AS min_day, max({_DAY}) FILTER (cls <> 'blank') AS max_day,"
+)
+SQL["p6_paths"] = _SQL_TREE + """, u AS (SELECT contract_ref, node, parent FROM e WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.contract_ref = e.contract_ref AND t.node = e.node)),
+c AS (SELECT contract_ref, node, node AS here, 0 AS k FROM u UNION ALL SELECT c.contract_ref, c.node, u.parent, k + 1 FROM c JOIN u ON u.contract_ref = c.contract_ref AND u.node = c.here WHERE k < 1000 AND (k = 0 OR c.here <> c.node)),
+l AS (SELECT DISTINCT contract_ref, node FROM c WHERE k > 0 AND here = node),
+x AS (SELECT e.contract_ref, e.node, t.path, coalesce(t.depth, -1) AS depth, l.node IS NOT NULL AS on_loop, TRY_CAST(nullif(regexp_extract(chain_rank, '[0-9]+'), '') AS INTEGER) AS rank FROM e LEFT JOIN t ON t.contract_ref = e.contract_ref AND t.node = e.node LEFT JOIN l ON l.contract_ref = e.contract_ref AND l.node = e.node)
+SELECT contract_ref, node AS node_code, coalesce(array_to_string(path, '>'), '') AS full_path, depth AS node_depth, on_loop, CASE WHEN depth < 0 THEN 'loop' WHEN rank IS NULL THEN 'missing' WHEN rank = depth + 1 THEN 'agrees' ELSE 'differs' END AS rank_state FROM x"""
+# the tables of each schema path: as the nested rows, with the node's own fields
+_AT = "CAST(regexp_extract(child_path, '\\[([0-9]+)\\]$', 1) AS INTEGER) AS position"
+SQL["p2_chain_links"] = "SELECT arr_row AS record_id, 'chain[' || (k - 1) || ']' AS child_path, '' AS parent_path, CAST(k - 1 AS INTEGER) AS position, e.id, e.service_type, e.provider_code, e.code_type, e.chain_rank, e.recipient_code FROM (SELECT arr_row, unnest(chain) AS e, generate_subscripts(chain, 1) AS k FROM arrangements) WHERE e IS NOT NULL AND arr_row IS NOT NULL"
+SQL["p2_list_items"] = (
+    _SQL_NESTED.replace("t(record_id, parent_path, child_path, content)", "t(record_id, parent_path, child_path, content, marker, anchor)").replace("path, content FROM p\n", "path, content, CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR) FROM p\n").replace("json_extract(item, '$.content') FROM (", "json_extract(item, '$.content'), json_extract_string(item, '$.marker'), json_extract_string(item, '$.anchor') FROM (")
+    + f"SELECT record_id, child_path, parent_path, {_AT}, marker, anchor FROM t WHERE parent_path IS NOT NULL"
+)
+SQL["p2_options"] = _SQL_NESTED + "SELECT quest_id AS record_id, 'modules[' || (i - 1) || '].questions[' || (j - 1) || '].options[' || (k - 1) || ']' AS child_path, 'modules[' || (i - 1) || '].questions[' || (j - 1) || ']' AS parent_path, CAST(k - 1 AS INTEGER) AS position, json_extract_string(o, '$.value') AS value, json_extract_string(o, '$.label') AS label FROM q3 WHERE json_type(o) = 'OBJECT'"

@@ -16,6 +16,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own_dir: str | None = None
+_removed_at_exit: set[str] = set()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,17 +42,36 @@ def heavy_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> D
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a local one is made only where none is set."""
+    """The folder of this application in the folder all executors share; it is removed when the driver ends.
+
+    Where ``spark.checkpoint.dir`` is unset a local folder is made, on a local
+    master only; on a cluster that is an error.
+    """
     global _own_dir
     set_dir = spark.conf.get("spark.checkpoint.dir", None)
     if set_dir:
-        return set_dir.rstrip("/")
+        own = f"{set_dir.rstrip('/')}/lexweave-{spark.sparkContext.applicationId}"
+        if own not in _removed_at_exit:
+            _removed_at_exit.add(own)
+            atexit.register(_remove, spark, own)
+        return own
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if _own_dir is None:
         _own_dir = tempfile.mkdtemp(prefix="lexweave-")
         atexit.register(shutil.rmtree, _own_dir, ignore_errors=True)
     return f"file://{_own_dir}"
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    """Staged tables are of use to one application only; one that has ended by itself keeps them."""
+    try:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    except Exception:  # the session is gone, and with it the way to the folder
+        pass
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """``df`` written to the shared folder (zstd parquet) and read back."""
     spark = df.sparkSession

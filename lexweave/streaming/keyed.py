@@ -38,7 +38,7 @@ def toggled(stream: DataFrame, keys: list[str], at: str) -> DataFrame:
 
 def windowed_counts(stream: DataFrame, at: str, by: str, length: str = "1 hour", lateness: str = "2 hours") -> DataFrame:
     """Events per window and kind; windows close when the watermark passes them."""
-    return stream.withWatermark(at, lateness).groupBy(F.window(at, length).alias("w"), by).agg(F.count("*").alias("n")).select(F.col("w.start").alias("window_start"), by, "n")
+    return stream.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, lateness).groupBy(F.window(at, length).alias("w"), by).agg(F.count("*").alias("n")).select(F.col("w.start").alias("window_start"), by, "n")
 
 
 def bounded_lists(stream: DataFrame, owner: str, item: str, at: str, closed: str, size: int = 8) -> DataFrame:
@@ -53,7 +53,7 @@ def bounded_lists(stream: DataFrame, owner: str, item: str, at: str, closed: str
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         items, times = (list(x) for x in state.get) if state.exists else ([], [])
-        moves = pd.concat(list(batches)).sort_values(["at", "tie"], kind="stable")
+        moves = pd.concat(list(batches)).sort_values(["at", "tie"], kind="stable")  # of one owner and micro-batch
         for name, when, gone in zip(moves["item"], moves["at"], moves["closed"]):
             stamp = int(pd.Timestamp(when).value // 1000)
             if name in items:

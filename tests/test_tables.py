@@ -1,5 +1,6 @@
 from types import SimpleNamespace
 
+import pytest
 from pyspark.sql import functions as F
 
 from lexweave.session import ship_package
@@ -18,13 +19,31 @@ def test_stage_and_spread(spark, tmp_path):
     assert tables.spread(large).rdd.getNumPartitions() == cores + 3
 
 
+def session(folder, master):
+    return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: folder if folder and key == "spark.checkpoint.dir" else default), sparkContext=SimpleNamespace(applicationId="app-1", master=master))
+
+
 def test_shared_folder_is_the_one_the_session_names(spark):
-    named = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: "hdfs://cluster/shared/" if key == "spark.checkpoint.dir" else default))
-    assert tables.shared_dir(named) == "hdfs://cluster/shared"
-    unnamed = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: default))
+    assert tables.shared_dir(session("hdfs://cluster/shared/", "spark://host:7077")) == "hdfs://cluster/shared/lexweave-app-1"
+    unnamed = session(None, "local[4]")
     assert tables.shared_dir(unnamed).startswith("file:///") and tables.shared_dir(unnamed) == tables.shared_dir(unnamed)
 
 
+@pytest.mark.parametrize("master", ["spark://host:7077", "yarn", "local-cluster[2,1,1024]"])
+def test_no_local_folder_on_a_cluster(master):
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        tables.shared_dir(session(None, master))
+
+
+def test_staged_tables_are_removed(spark, tmp_path):
+    folder = tmp_path / "own"
+    folder.mkdir()
+    (folder / "part").write_text("x")
+    tables._remove(spark, f"file://{folder}")
+    assert not folder.exists()
+    tables._remove(SimpleNamespace(), "file:///nowhere")
+
+
 def test_package_reaches_the_workers(spark):
     ship_package(spark)
     ship_package(spark)
