@@ -29,6 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: packs at most, and their capacities together: the sizes that are counted on the driver
 MAX_PACKS, MAX_CAPACITY = 100, 1_000_000
 ROWS_PER_BUCKET = 1_000_000
 
@@ -219,8 +220,8 @@ class Places:
 
 def bounded_packs(pack_sizes: DataFrame) -> dict[int, int]:
     rows = pack_sizes.filter("pack_id IS NOT NULL AND capacity_tokens > 0").groupBy("pack_id").agg(F.max("capacity_tokens").alias("c")).limit(MAX_PACKS + 1).collect()
-    if len(rows) > MAX_PACKS or any(r["c"] > MAX_CAPACITY for r in rows):
-        raise ValueError(f"more than {MAX_PACKS} packs, or a capacity above {MAX_CAPACITY}")
+    if len(rows) > MAX_PACKS or sum(r["c"] for r in rows) > MAX_CAPACITY:
+        raise ValueError(f"more than {MAX_PACKS} packs, or capacities above {MAX_CAPACITY} together")
     return {r["pack_id"]: r["c"] for r in rows}
 
 
