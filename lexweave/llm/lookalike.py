@@ -15,7 +15,7 @@ to normal width; invisible characters to nothing; joined letters and Roman
 numeral signs to plain letters; letters of another script that look like a
 letter of the row's script, inside words that also hold letters of that script
 (in markers: wherever they stand).  What stays: everything that differs in
-print, letter case, repeated blanks, words wholly in another script, Hangul.
+print, letter case, repeated blanks, words wholly in another script.
 
 Defined results: null text has no form and is never reported; empty text is its
 own form; a null or unknown language counts as Latin script; repeated rows are
@@ -149,7 +149,7 @@ def may_change(text: Column, script: Column, is_marker: Column) -> Column:
     stirred = F.lit(False)
     for home in SCRIPTS:
         stirred = F.when(script == home, text.rlike(f"[{_BEYOND_ASCII if home == 'Latin' else _BEYOND_SIGNS}&&[^{_calm(home)}]]")).otherwise(stirred)
-    out = text.rlike(f"[{_BEYOND_ASCII}&&[{_restless()}]]")
+    out = text.rlike(f"[{_BEYOND_ASCII}&&[{_restless()}]]") | text.rlike(_JAMO)
     for home in SCRIPTS:
         others = "".join(rf"\p{{Is{s}}}" for s in SCRIPTS if s != home)
         mixed = rf"\p{{Is{home}}}\p{{M}}*[{others}]|[{others}]\p{{M}}*\p{{Is{home}}}"
@@ -171,30 +171,61 @@ def _literal_map(pairs: dict) -> Column:
     return F.map_from_arrays(F.array(*map(F.lit, pairs)), F.array(*map(F.lit, pairs.values())))
 
 
+#: above every class: nothing composes across a mark of class 0
+_BLOCKED = 1000
+
+
 def _composed(cluster: Column, classes: Column, pairs: Column) -> Column:
     """A starter and its marks: marks ordered by class, then composed onto the starter where not blocked."""
     chars = F.split(cluster, "")
     marks = F.transform(F.slice(chars, F.lit(2), F.size(chars)), lambda c, i: F.struct(F.coalesce(F.element_at(classes, c), F.lit(0)).alias("k"), i.alias("i"), c.alias("c")))
-    marks = F.when(F.exists(marks, lambda m: m["k"] == 0), marks).otherwise(F.array_sort(marks))
+    # marks of class 0 stay where they are; between them marks are put in order of class
+    runs = F.transform(marks, lambda m, i: F.struct(F.size(F.filter(F.slice(marks, F.lit(1), i + 1), lambda x: x["k"] == 0)).alias("run"), m["k"].alias("k"), m["i"].alias("i"), m["c"].alias("c")))
+    ordered = F.transform(F.array_sort(runs), lambda m: F.struct(m["k"].alias("k"), m["i"].alias("i"), m["c"].alias("c")))
+    marks = F.when(F.exists(marks, lambda m: m["k"] == 0), ordered).otherwise(F.array_sort(marks))
 
     def add(acc: Column, m: Column) -> Column:
         pair = F.element_at(pairs, F.concat(acc["base"], m["c"]))
         free = (acc["rest"] == "") | (acc["last"] < m["k"])
         return F.when(free & pair.isNotNull(), F.struct(pair.alias("base"), acc["rest"].alias("rest"), acc["last"].alias("last"))).otherwise(
-            F.struct(acc["base"].alias("base"), F.concat(acc["rest"], m["c"]).alias("rest"), m["k"].alias("last"))
+            F.struct(acc["base"].alias("base"), F.concat(acc["rest"], m["c"]).alias("rest"), F.greatest(acc["last"], F.when(m["k"] == 0, _BLOCKED).otherwise(m["k"])).alias("last"))
         )
 
     start = F.struct(F.element_at(chars, 1).alias("base"), F.lit("").alias("rest"), F.lit(-1).alias("last"))
     return F.aggregate(marks, start, add, lambda acc: F.concat(acc["base"], acc["rest"]))
 
 
+#: fixed values: where the letters of Hangul begin, and how many there are of the second and third kind
+_LEAD, _VOWEL, _TRAIL, _SYLLABLE, _VOWELS, _TRAILS = 0x1100, 0x1161, 0x11A7, 0xAC00, 21, 28
+_JAMO = r"[\x{1100}-\x{1112}][\x{1161}-\x{1175}][\x{11A8}-\x{11C2}]?|[\x{AC00}-\x{D7A3}][\x{11A8}-\x{11C2}]"
+
+
+def _syllable(jamo: Column) -> Column:
+    """The syllable of a run of letters: two or three letters, or a syllable without a last letter and one; others as they are."""
+    first, second, third = (F.ascii(F.substring(jamo, n, 1)) for n in (1, 2, 3))
+    letters = _SYLLABLE + ((first - _LEAD) * _VOWELS + (second - _VOWEL)) * _TRAILS + F.when(F.length(jamo) > 2, third - _TRAIL).otherwise(0)
+    code = F.when(first < _SYLLABLE, letters).when((first - _SYLLABLE) % _TRAILS == 0, first + second - _TRAIL)
+    return F.coalesce(F.decode(F.unhex(F.lpad(F.hex(code.cast("long")), 4, "0")), "UTF-16BE"), jamo)
+
+
+def _hangul(text: Column) -> Column:
+    found = F.transform(F.array_distinct(F.regexp_extract_all(text, F.lit(f"({_JAMO})"), 1)), lambda j: F.struct(j.alias("was"), _syllable(j).alias("now")))
+    # longer runs first, so that two letters of three are not taken for themselves
+    longest = F.array_sort(found, lambda a, b: F.length(b["was"]) - F.length(a["was"]))
+    return F.when(text.rlike(_JAMO), F.aggregate(longest, text, lambda t, j: F.replace(t, j["was"], j["now"]))).otherwise(text)
+
+
 def recomposed(text: Column) -> Column:
-    """A decomposed text with every cluster ordered and composed."""
+    """A decomposed text with every cluster ordered and composed, and letters of Hangul put into syllables."""
+    # marks before any starter are put in order behind one that takes part in nothing
+    headless = text.rlike(r"\A\p{M}")
+    text = F.when(headless, F.concat(F.lit("\n"), _hangul(text))).otherwise(_hangul(text))
     classes = _literal_map({c: cls for c, _, cls in code_points() if cls})
     pairs = _literal_map(compositions())
     clusters = F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(r"(\P{M}\p{M}+)"), 1)), lambda a, b: F.length(b) - F.length(a))
     done = F.transform(clusters, lambda c: F.struct(c.alias("was"), _composed(c, classes, pairs).alias("now")))
-    return F.aggregate(done, text, lambda t, c: F.replace(t, c["was"], c["now"]))
+    whole = F.aggregate(done, text, lambda t, c: F.replace(t, c["was"], c["now"]))
+    return F.when(headless, F.substring(whole, F.lit(2), F.length(whole))).otherwise(whole)
 
 
 _TOKEN = r"([\p{L}\p{M}]+|[^\p{L}\p{M}]+)"

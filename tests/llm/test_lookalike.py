@@ -58,6 +58,18 @@ def test_random_texts_against_brute_force(spark):
     assert changed == {i for i, t in enumerate(texts) if want[i] != t[0]}
 
 
+def test_hangul_and_marks_without_a_class_against_brute_force(spark):
+    rnd = random.Random(9)
+    jamo = "\u1100\u1112\u1161\u1175\u11a8\u11c2\uac00\uac01\ud7a3\uac1c a"
+    marks = "aeo\u0301\u0323\u0327\u20dd\u0903\u0308c "
+    texts = [("".join(rnd.choice(pool) for _ in range(rnd.randrange(1, 14))), "Latin", False) for pool in (jamo, marks) for _ in range(400)]
+    texts += [("\u1112\u1161\u11ab\u1100\u1173\u11af", "Latin", False), ("\uac00\u11a8", "Greek", False), ("\ud55c\uae00", "Latin", False)]
+    normal, changed = forms(spark, texts)
+    want = {i: brute(*t) for i, t in enumerate(texts)}
+    assert [(texts[i], normal[i], want[i]) for i in want if normal[i] != want[i]] == []
+    assert changed == {i for i, t in enumerate(texts) if want[i] != t[0]} and normal[800] == "\ud55c\uae00" and 802 not in changed
+
+
 def test_forms_are_final(spark):
     rnd = random.Random(7)
     texts = [("".join(rnd.choice("aоеé́ｂ  ﬁ") for _ in range(8)), "Latin", False) for _ in range(100)]
