@@ -110,8 +110,9 @@ def read_article(spark, sf_dir):
 def read_recital(spark, sf_dir):
     """A recital with the articles it explains; one that does not exist gives the range."""
     c = _corpus(spark, sf_dir)
-    act = table(spark, sf_dir, "recitals").filter("paragraphs IS NOT NULL").agg(F.min("instrument").alias("a")).first()["a"] or ""
-    both = A.get_recital(c, 1, act).unionByName(A.get_recital(c, 9999, act))
+    first = table(spark, sf_dir, "recitals").filter("paragraphs IS NOT NULL").agg(F.min(F.struct("instrument", "recital_no")).alias("x")).first()["x"]
+    act, number = first or ("", 1)
+    both = A.get_recital(c, number, act).unionByName(A.get_recital(c, 9999, act))
     return both.select("act", "recital_no", "text", F.array_join("articles", ",").alias("articles"), "error")
 
 
@@ -462,10 +463,10 @@ r AS (SELECT article_key, string_agg(recital_key, ',' ORDER BY p, recital_key) A
 SELECT act, article_no, 'Over artikel ' || article_no AS title, markdown, r.recitals, coalesce((SELECT string_agg(href, ',' ORDER BY pos, href) FROM links WHERE source = k), '') AS implemented_by, coalesce((SELECT string_agg(source, ',' ORDER BY pos, source) FROM links WHERE target = k), '') AS based_on, CAST(NULL AS VARCHAR) AS error
 FROM art JOIN one USING (act) LEFT JOIN r ON r.article_key = k WHERE article_no = 1
 UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'Artikel "9999" niet gevonden (bereik: ' || coalesce(CAST(min(article_no) AS VARCHAR), 'geen') || '–' || coalesce(CAST(max(article_no) AS VARCHAR), 'geen') || ').' FROM art JOIN one USING (act)""",
-    "read_recital": f"""WITH {_RPAIRS}, one AS (SELECT min(instrument) AS act FROM recitals WHERE paragraphs IS NOT NULL),
+    "read_recital": f"""WITH {_RPAIRS}, one AS (SELECT act, min(recital_no) AS recital_no FROM rct GROUP BY act ORDER BY act LIMIT 1),
 a AS (SELECT recital_key, string_agg(article_key, ',' ORDER BY p, article_key) AS articles FROM (SELECT recital_key, article_key, min(pos) AS p FROM rpairs GROUP BY ALL) GROUP BY 1)
-SELECT act, recital_no, array_to_string(list_transform(p, lambda x: x.body), {_NL}) AS text, articles, CAST(NULL AS VARCHAR) AS error FROM rct JOIN one USING (act) LEFT JOIN a ON recital_key = act || ':1' WHERE recital_no = 1
-UNION ALL SELECT NULL, NULL, NULL, NULL, 'Overweging 9999 niet gevonden (bereik: 1–' || coalesce(CAST(max(recital_no) AS VARCHAR), '0') || ').' FROM rct JOIN one USING (act)""",
+SELECT act, recital_no, array_to_string(list_transform(p, lambda x: x.body), {_NL}) AS text, articles, CAST(NULL AS VARCHAR) AS error FROM rct JOIN one USING (act, recital_no) LEFT JOIN a ON recital_key = act || ':' || recital_no
+UNION ALL SELECT NULL, NULL, NULL, NULL, 'Overweging 9999 niet gevonden (bereik: 1–' || coalesce(CAST(max(rct.recital_no) AS VARCHAR), '0') || ').' FROM rct JOIN one USING (act)""",
     "read_annex": f"""WITH {_ANNEXES}, one AS (SELECT min(act) AS act FROM anx)
 SELECT act, roman, 'Bijlage ' || roman AS title, 'Tekst van bijlage ' || roman || ' bij ' || act AS markdown, CAST(NULL AS VARCHAR) AS error FROM anx JOIN one USING (act) WHERE roman = 'I'
 UNION ALL SELECT NULL, NULL, NULL, NULL, 'Bijlage "XL" niet gevonden. Beschikbaar: ' || coalesce(string_agg(roman, ', ' ORDER BY roman), 'geen') || '.' FROM anx JOIN one USING (act)""",
