@@ -62,7 +62,7 @@ def words(content):
     for node in nodes_of(content):
         if node.get("type") == "list":
             for item in nodes_of(node.get("items")):
-                out += (item.get("marker") or "").split() + words(item.get("content"))
+                out += str(item.get("marker") or "").split() + words(item.get("content"))
         elif node.get("type") == "table":
             out += [w for row in elements(node.get("rows")) if isinstance(row, list) for c in row for w in str(c).split()]
         elif node.get("type") != "figure":

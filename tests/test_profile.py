@@ -1,3 +1,5 @@
+from datetime import date
+
 from pyspark.sql import functions as F
 
 from lexweave.functions.codes import is_blank, is_euid, is_iso_date, is_lei
@@ -92,7 +94,7 @@ def test_answers_beyond_the_declared_ten(spark, tmp_path):
     spark.createDataFrame([(1, {"s99.1": "x"}), (1, {})], "load_no int, answers map<string,string>").write.parquet(f"{tmp_path}/arrangements.parquet")
     spark.createDataFrame([], "load_no int, provider_code string").write.parquet(f"{tmp_path}/chain_rows.parquet")
     spark.createDataFrame([], "load_no int, mandatory boolean").write.parquet(f"{tmp_path}/roi_columns.parquet")
-    got = {r["field_name"]: r for r in training.QUERIES["p1_profile_all"](spark, str(tmp_path)).collect()}
+    got = {r["field_name"]: r for r in training.QUERIES["p1_profile"](spark, str(tmp_path)).collect()}
     assert len(got) == 11 and (got["answers.s99.1"]["n_rows"], got["answers.s99.1"]["n_blank"]) == (2, 1)
 
 
@@ -102,5 +104,11 @@ def test_numeric_range_beside_the_text_range(spark, tmp_path):
     spark.createDataFrame([(1, {"s7.2": t}) for t in ("1584", "10001", "9999.50", "volgt")], "load_no int, answers map<string,string>").write.parquet(f"{tmp_path}/arrangements.parquet")
     spark.createDataFrame([], "load_no int, provider_code string").write.parquet(f"{tmp_path}/chain_rows.parquet")
     spark.createDataFrame([], "load_no int, mandatory boolean").write.parquet(f"{tmp_path}/roi_columns.parquet")
-    got = training.QUERIES["p1_profile_all"](spark, str(tmp_path)).filter("field_name = 'answers.s7.2'").first()
+    got = training.QUERIES["p1_profile"](spark, str(tmp_path)).filter("field_name = 'answers.s7.2'").first()
     assert (got["min_value"], got["max_value"], got["min_number"], got["max_number"]) == ("10001", "volgt", 1584.0, 10001.0)
+
+
+def test_range_of_days(spark):
+    df = spark.createDataFrame([(1, t) for t in ("2024-02-01", "2023-12-31", "2024-02-30", "x", "", None)] + [(2, "x")], "load_no int, value string")
+    got = rows(P.profile(P.value_counts(df, "load_no", [P.date_field("d", F.col("value"))])), "load_no", "min_day", "max_day")
+    assert got == [(1, date(2023, 12, 31), date(2024, 2, 1)), (2, None, None)]
