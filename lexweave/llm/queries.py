@@ -42,8 +42,13 @@ def p4_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.with_normal_form(_texts(spark, sf_dir)).select("table_name", "field_name", "record_id", "normal")
 
 
+def _vocabulary(spark: SparkSession) -> str:
+    """The vocabulary file that sizes texts: the session's ``spark.lexweave.vocabulary``, else the one of this machine."""
+    return spark.conf.get("spark.lexweave.vocabulary", tokens.VOCABULARY)
+
+
 def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sizes = tokens.staged_sizes(heavy_table(spark, sf_dir, "documents", "doc_id", "text"), ["doc_id"])
+    sizes = tokens.staged_sizes(heavy_table(spark, sf_dir, "documents", "doc_id", "text"), ["doc_id"], _vocabulary(spark))
     return packing.packed_items(sizes, table(spark, sf_dir, "pack_sizes"))
 
 
@@ -58,7 +63,7 @@ def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sizes = tokens.staged_sizes(heavy_table(spark, sf_dir, "documents", "doc_id", "source", "text"), ["doc_id", "source"])
+    sizes = tokens.staged_sizes(heavy_table(spark, sf_dir, "documents", "doc_id", "source", "text"), ["doc_id", "source"], _vocabulary(spark))
     return mixing.mix(sizes, table(spark, sf_dir, "source_targets"))
 
 
