@@ -12,7 +12,7 @@ from lexweave.sources.tables import table
 from tests import oracle
 from tests.llm.test_lookalike import brute
 
-DATA = str(oracle.DATA)
+DATA, SOME = str(oracle.DATA), str(oracle.DATA.parent / "sf0.01")
 pytestmark = pytest.mark.skipif(not oracle.DATA.exists(), reason="no test data here")
 
 
@@ -53,17 +53,18 @@ def test_p7_packs_every_token_once(spark):
 
 
 def test_p8_shares_of_the_mix(spark):
-    mix = Q.p8_mix(spark, DATA).collect()
+    """A hundred texts are too few to meet shares nearly, a thousand are not."""
+    mix = Q.p8_mix(spark, SOME).collect()
     assert len({(r["doc_id"], r["repeat_no"], r["n_tokens"], r["source"]) for r in mix}) <= len(mix)
     tokens_of, whole = Counter(), sum(r["n_tokens"] for r in mix)
     for r in mix:
         tokens_of[r["source"]] += r["n_tokens"]
-    shares = {r["source"]: r for r in Q.p8_shares(spark, DATA).collect()}
+    shares = {r["source"]: r for r in Q.p8_shares(spark, SOME).collect()}
     present = sum(r["target_share"] for r in shares.values() if r["n_tokens"])
     for source, r in shares.items():
         assert r["n_tokens"] == tokens_of[source] and abs(r["share_reached"] - tokens_of[source] / whole) < 1e-5 and r["times_used"] <= r["max_repeats"]
         assert not r["n_tokens"] or abs(r["share_reached"] - r["target_share"] / present) < 0.005
-    by_shard = Q.p8_shard_shares(spark, DATA).collect()
+    by_shard = Q.p8_shard_shares(spark, SOME).collect()
     assert sum(r["n_tokens"] for r in by_shard) == whole
     for s in {r["shard_no"] for r in by_shard}:
         assert abs(sum(r["share_reached"] for r in by_shard if r["shard_no"] == s) - 1) < 1e-4
