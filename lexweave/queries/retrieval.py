@@ -215,7 +215,7 @@ def search_saved_index(spark, sf_dir):
 def search_reference_patterns(spark, sf_dir):
     """Documents that references name by their whole id or by its start, instruments before articles."""
     queries = ("artikel 28 lid 3", "Overweging 58", "artikel 5", "its artikel 2", "rts bijlage iii punt a", "bijlage iv", "its overweging 7", "artikel", "artikel 5 exit", "its-rts artikel 2")
-    rows = [(q, *(S.reference_pattern(q, ("its", "rts", "its-rts"), "dora") or (None, None))) for q in queries]
+    rows = [(q, *(S.reference_pattern(q, ("its", "rts", "its-rts"), "hoofdakte") or (None, None))) for q in queries]
     return spark.createDataFrame(rows, "query string, named string, whole boolean")
 
 
@@ -347,8 +347,8 @@ SQL |= {
 p AS (SELECT *, CASE query_id WHEN 1 THEN starts_with(doc_id, 'hoofdakte-art-1-') WHEN 2 THEN starts_with(doc_id, 'hoofdakte-art-12-') WHEN 3 THEN doc_id = 'hoofdakte-art-3-lid-2' WHEN 4 THEN starts_with(doc_id, 'hoofdakte-art-4-') ELSE false END AS pinned FROM scored)
 SELECT * FROM (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY pinned DESC, coverage DESC, score DESC, doc_id) AS INTEGER) AS rank, doc_id, pinned, coverage, score FROM p) WHERE rank <= 5""",
     "search_saved_index": _sql_index(_DOCS) + "SELECT field, n_postings, n_terms, n_words, n_docs, round(mean_size, 6) AS mean_size FROM (SELECT field, count(*) AS n_postings, count(DISTINCT term) AS n_terms, CAST(sum(tf) AS BIGINT) AS n_words FROM postings GROUP BY field) JOIN means USING (field)",
-    "search_reference_patterns": """SELECT * FROM (VALUES ('artikel 28 lid 3', 'dora-art-28-lid-3', true), ('Overweging 58', 'dora-rct-58', true), ('artikel 5', 'dora-art-5-', false), ('its artikel 2', 'its-art-2-', false), ('rts bijlage iii punt a', 'rts-anx-iii-punt-a', true),
-  ('bijlage iv', 'dora-anx-iv-', false), ('its overweging 7', 'its-rct-7', true), ('artikel', NULL, NULL), ('artikel 5 exit', NULL, NULL), ('its-rts artikel 2', 'its-rts-art-2-', false)) t(query, named, whole)""",
+    "search_reference_patterns": """SELECT * FROM (VALUES ('artikel 28 lid 3', 'hoofdakte-art-28-lid-3', true), ('Overweging 58', 'hoofdakte-rct-58', true), ('artikel 5', 'hoofdakte-art-5-', false), ('its artikel 2', 'its-art-2-', false), ('rts bijlage iii punt a', 'rts-anx-iii-punt-a', true),
+  ('bijlage iv', 'hoofdakte-anx-iv-', false), ('its overweging 7', 'its-rct-7', true), ('artikel', NULL, NULL), ('artikel 5 exit', NULL, NULL), ('its-rts artikel 2', 'its-rts-art-2-', false)) t(query, named, whole)""",
 }
 SQL["roman_numbers"] = """WITH r AS (SELECT n, ['', 'M', 'MM', 'MMM'][n // 1000 + 1] || ['', 'C', 'CC', 'CCC', 'CD', 'D', 'DC', 'DCC', 'DCCC', 'CM'][n // 100 % 10 + 1] || ['', 'X', 'XX', 'XXX', 'XL', 'L', 'LX', 'LXX', 'LXXX', 'XC'][n // 10 % 10 + 1] || ['', 'I', 'II', 'III', 'IV', 'V', 'VI', 'VII', 'VIII', 'IX'][n % 10 + 1] AS sign FROM (SELECT unnest(range(1, 4000)) AS n))
 SELECT article_id, CAST(n AS INTEGER) AS chapter_no, sign AS chapter_again FROM articles LEFT JOIN r ON sign = upper(trim(chapter, ' '))"""
