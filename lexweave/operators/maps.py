@@ -13,7 +13,11 @@ from lexweave.functions.text import clip, half_up
 
 
 def grouped(pairs: DataFrame, key: str, value: str, position: str, name: str = "targets") -> DataFrame:
-    """One row a key with its distinct values in order of first position."""
+    """One row a key with its distinct values in order of first position.
+
+    The nested form is for the edge of a system: a row is as long as its key has
+    distinct values.  Where a key may be hot, stay with the pairs.
+    """
     first = pairs.groupBy(key, value).agg(F.min(position).alias("p"))
     return first.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("p", value))), lambda x: x[value]).alias(name), F.count("*").alias("n"))
 

@@ -287,7 +287,11 @@ def request_documents(requests: DataFrame, records: DataFrame, key: str = "arr_r
 
 
 def csv_file(lines: DataFrame, order: list[str], by: list[str] | None = None) -> DataFrame:
-    """One file's text (one a group ``by``): the lines joined by carriage return and line feed, none at the end."""
+    """One file's text (one a group ``by``): the lines joined by carriage return and line feed, none at the end.
+
+    For files that fit a row, such as the columns of a template; lines of
+    records are written by ``write_lines``, by many tasks.
+    """
     return lines.groupBy(*(by or [])).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, "line"))), lambda x: x["line"]), "\r\n").alias("csv"))
 
 

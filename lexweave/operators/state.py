@@ -61,7 +61,8 @@ def bounded_lists(events: DataFrame, owner: str, item: str, at: str, closed: Col
     the least recent leaves when the list is full; a closing removes its item.
     Each event depends on the one before, so the events of an owner are sorted
     within a partition and folded as they stream by; only the list itself is
-    held, however many events an owner has.
+    held, however many events an owner has.  The events of one owner depend on
+    each other in order, so they are folded by one task.
     """
     moves = events.select(F.col(owner).cast("string").alias("owner"), F.col(at).alias("at"), F.col(tie).alias("tie"), F.col(item).cast("string").alias("item"), F.coalesce(closed, F.lit(False)).alias("closed"))
     in_order = moves.filter("owner IS NOT NULL AND at IS NOT NULL").repartition("owner").sortWithinPartitions("owner", "at", "tie")
